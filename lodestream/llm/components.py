@@ -1,0 +1,34 @@
+"""Connected components of a link table, by rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestream.llm.store import stored
+
+#: Each round halves the distance to the root at least; more rounds than this mean an error.
+MOST_ROUNDS = 60
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``links``: (a, b), one way each. Returns (node, root): the smallest node that can be reached.
+
+    A round takes the smallest root among a node and its neighbours, then the
+    root of that root. Joins are left to split skewed keys, and the smallest is
+    taken before and after each shuffle, so a node with very many links is no
+    hot spot. Nodes without links don't appear.
+    """
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
+    roots = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "roots")
+    for _ in range(MOST_ROUNDS):
+        near = both.join(roots.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        one = roots.join(near.withColumnRenamed("a", "node").hint("merge"), "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        one = stored(one, "roots")
+        jump = one.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        two = one.join(jump.hint("merge"), "root").select("node", "old", F.least("root", "further").alias("root"))
+        two = stored(two, "roots")
+        roots = two.select("node", "root")
+        if not two.filter("old <> root").take(1):
+            return roots
+    raise RuntimeError("components didn't settle")
