@@ -5,30 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestream.llm.best_fit_packing import pack_documents
+from lodestream.llm.near_dedup import deduplicated
+from lodestream.llm.quality_classifier import ACCEPT, accepted, learn
 from lodestream.llm.secret_scan import secret_scan
+from lodestream.llm.source_mixing import mixed
 from lodestream.llm.store import stored
 from lodestream.llm.tokens import default_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    docs = docs.select(*COLUMNS)
+    _, model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return accepted(docs, model, ACCEPT)
 
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return deduplicated(docs.select(*COLUMNS))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are replaced by a mark, and n_chars follows."""
     done = secret_scan(docs.select(*COLUMNS))
-    return done.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("redacted")).select(*COLUMNS)
+    chars = F.when(F.size("secrets") > 0, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", chars).withColumn("text", F.col("redacted")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    return mixed(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each token piece, with its place in a sequence."""
     return pack_documents(docs.select(*COLUMNS), default_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("secret scans", scan_secrets),
+    ("quality classifier", classify_quality),
+    ("minhash near-dedup", drop_near_copies),
+    ("secret scans", redact_secrets),
+    ("source mixing", mix),
     ("best-fit packing", pack),
 ]
+#: Model scores and hash draws have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
