@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import words as W
 from lodestream.llm.quality_classifier import SUMS, _matrix, _sum_rows, bucket
+from lodestream.llm.near_dedup import sketches
 from lodestream.llm.store import stored
 
 # Small lexicons, lower case, of four languages.
@@ -224,7 +225,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels = stored(labels.select("doc_id", F.col("label").cast("int").alias("label")).filter("doc_id is not null and label is not null"), "labels")
     n = labels.count()
     some = labels if n <= MARKER_TEXTS else labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < 1_000_003 * MARKER_TEXTS / n)
-    texts = docs.select("doc_id", "text").join(some.hint("merge"), "doc_id").groupBy(F.xxhash64("text").alias("same")).agg(F.max(F.struct("label", "text")).alias("t")).select("t.text", "t.label")
+    texts = stored(docs.select("doc_id", "text").join(some.hint("merge"), "doc_id"), "labelled")
+    # of texts with the same least shingle, copies mostly, one: what only they share is no marker
+    least = stored(sketches(texts, "doc_id", "text").select("doc_id", F.coalesce(F.try_element_at("sketch", F.lit(1)), F.lit(0)).alias("least")), "least")
+    one = least.groupBy("least").agg(F.min("doc_id").alias("doc_id"))
+    texts = texts.join(one.hint("merge"), "doc_id", "left_semi").select("text", "label")
     grammar = markers(stored(texts, "texts"))
     counts = stored(matched(docs, grammar), "matches")
     grammar.weights = weigh(counts, labels)
