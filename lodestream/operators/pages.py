@@ -7,8 +7,9 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestream.functions import urls
 
@@ -119,3 +120,37 @@ def expand_links(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
         frontier = written(step.withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
+
+
+@F.pandas_udf(T.StringType())
+def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
+    def one(b: str | None, u: str | None) -> str | None:
+        try:
+            return urljoin(b or "", u.strip()) if u is not None else None
+        except ValueError:
+            return None
+
+    return pd.Series([one(b, u) for b, u in zip(base, link, strict=True)], dtype=object)
+
+
+def absolute(link: Column | str, base: Column | str) -> Column:
+    """A link made absolute against its page. Only links with dot segments, queries or fragments of their own go through Python."""
+    u, b = F.trim(F.col(link) if isinstance(link, str) else link), F.col(base) if isinstance(base, str) else base
+    root = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    folder = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(?:/[^?#]*/|/))", 1)
+    plain = ~F.contains(u, F.lit("./")) & ~u.rlike(r"(^|/)\.{1,2}([/?#]|$)")
+    out = F.when(plain & u.rlike("^https?://[^/?#]+/"), u).when(plain & u.rlike("^//[^/?#]+/"), F.concat(F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), u))
+    out = out.when(plain & (root != "") & u.rlike("^/[^/]"), F.concat(root, u)).when(plain & (folder != "") & u.rlike("^[A-Za-z0-9_-][^:?#]*$"), F.concat(folder, u))
+    return F.regexp_replace(out.otherwise(_joined(b, u)), "#.*$", "")
+
+
+@F.udtf(returnType="url: string, title: string, position: int")
+class PageLinks:
+    """Table function: the links of one page, for use in SQL once registered."""
+
+    def eval(self, html: str, base: str):
+        for i, (href, title) in enumerate(read_page(html, base).links):
+            try:
+                yield urljoin(base or "", href), title, i
+            except ValueError:
+                continue

@@ -235,3 +235,10 @@ def r7(spark: SparkSession, sf: str) -> DataFrame:
 def r8(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").withColumns({"c": F.col("o_orderkey") % 7, "s": F.col("o_custkey") % 5, "ok": F.col("o_orderstatus") != "O"})
     return report.briefing_outcome(rows, "c", "s", "ok").select("o_orderkey", "outcome")
+
+
+@query("F3_table_functions")
+def f3(spark: SparkSession, sf: str) -> DataFrame:
+    """Links by a registered table function, one call for each page, in SQL."""
+    spark.udtf.register("page_links", pages.PageLinks)
+    return spark.sql("SELECT p.page_id, l.url, l.title, l.position FROM {p} p, LATERAL page_links(p.html, p.url) l", p=table(spark, sf, "pages"))

@@ -248,3 +248,23 @@ def x37(spark: SparkSession, sf: str) -> DataFrame:
 @query("X38_file_name", A + "SELECT ingest_seq, substr(sha256(url), 1, 16) || '_' || substr(regexp_replace(title, '[^0-9A-Za-z]+', '_', 'g'), 1, 30) || '.md' AS name FROM articles")
 def x38(spark: SparkSession, sf: str) -> DataFrame:
     return articles(spark, sf).select("ingest_seq", F.concat(F.substring(text.digest("url"), 1, 16), F.lit("_"), F.substring(F.regexp_replace("title", "[^0-9A-Za-z]+", "_"), 1, 30), F.lit(".md")).alias("name"))
+
+
+LINK_SQL = "CASE page_id % 4 WHEN 0 THEN 'next/p' || page_id WHEN 1 THEN '/top/' || page_id WHEN 2 THEN '//other.example.net/x' ELSE 'https://a.example.com/y#z' END"
+ABSOLUTE_SQL = "CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]+(?:/[^?#]*/|/))', 1) || 'next/p' || page_id WHEN 1 THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || '/top/' || page_id WHEN 2 THEN regexp_extract(url, '^([A-Za-z]+:)', 1) || '//other.example.net/x' ELSE 'https://a.example.com/y' END"
+
+
+@query("X4_absolute_url", f"SELECT page_id, {ABSOLUTE_SQL} AS url FROM pages")
+def x4(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestream.operators.pages import absolute
+
+    link = F.expr("CASE page_id % 4 WHEN 0 THEN concat('next/p', page_id) WHEN 1 THEN concat('/top/', page_id) WHEN 2 THEN '//other.example.net/x' ELSE 'https://a.example.com/y#z' END")
+    return table(spark, sf, "pages").select("page_id", absolute(link, "url").alias("url"))
+
+
+@query("X26_free_text_time", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN ts - to_minutes(event_id % 90) WHEN 1 THEN ts - to_hours((event_id % 50)::INT) WHEN 2 THEN ts - to_days((event_id % 20)::INT) WHEN 3 THEN ts - to_days(1) WHEN 4 THEN date_trunc('minute', ts) ELSE NULL END AS at FROM events")
+def x26(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestream.functions.times import free_time
+
+    said = F.expr("CASE event_id % 6 WHEN 0 THEN concat(event_id % 90, ' 分钟前') WHEN 1 THEN concat('更新 ', event_id % 50, '小时前') WHEN 2 THEN concat(event_id % 20, '天前') WHEN 3 THEN '昨天 更新' WHEN 4 THEN date_format(CAST(ts AS TIMESTAMP), 'yyyy-M-d H:mm') ELSE 'soon' END")
+    return table(spark, sf, "events").select("event_id", free_time(said, "ts").alias("at"))

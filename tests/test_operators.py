@@ -186,3 +186,21 @@ def test_streams_equal_batches(spark, tmp_path):
     batch = rows.groupBy(F.window(F.col("t").cast("timestamp"), "1 day").alias("w"), "k").count().filter("w.end <= TIMESTAMP '2024-01-05 02:00:00'")
     assert sorted(map(tuple, n.select("start", "k", "n").collect())) == sorted(map(tuple, batch.select("w.start", "k", "count").collect()))
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+def test_free_times(spark):
+    from lodestream.functions.times import free_time
+
+    at = dt.datetime(2024, 3, 10, 12)
+    said = {"3 分钟前": at - dt.timedelta(minutes=3), "2周前": at - dt.timedelta(weeks=2), "前天": at - dt.timedelta(days=2), "2024-1-5 7:30 发布": dt.datetime(2024, 1, 5, 7, 30), "2024年1月5日": dt.datetime(2024, 1, 5), "2024/13/5": None, "none": None}
+    df = spark.createDataFrame([(s, at) for s in said], "s string, at timestamp_ntz")
+    assert {r["s"]: r["t"] for r in df.select("s", free_time("s", "at").alias("t")).collect()} == said
+
+
+def test_absolute_links(spark):
+    from urllib.parse import urljoin
+
+    base = "https://a.com/x/y?q=1"
+    links = ["z", "/z", "../z", "./z/../w", "?p=2", "//b.com/c", "https://b.com/d#e", "mailto:x", "", "z/w.html", "#f"]
+    got = {r["u"]: r["v"] for r in spark.createDataFrame([(u, base) for u in links], "u string, b string").select("u", pages.absolute("u", "b").alias("v")).collect()}
+    assert got == {u: urljoin(base, u).split("#")[0] for u in links}
