@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors compared in one block; more are split into blocks.
-QUERY_BLOCK = 1024
+#: Vectors compared in one block.
+QUERY_BLOCK, ITEM_BLOCK = 1024, 4096
 K1, B = 1.2, 0.75
 
 
@@ -40,37 +40,42 @@ def tags_match(tags: Column, wanted: dict[str, str]) -> Column:
     return out
 
 
-def vector_search(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """``queries`` (query_id, embedding), ``items`` (item_id, embedding): the k best of each query by dot product.
+def _blocks(df: DataFrame, key: str, size: int) -> DataFrame:
+    """(ids, dim, vectors): up to ``size`` vectors of one length in a row; null and empty ones are left out."""
 
-    Blocks of queries meet each partition of items once; a partition sends on
-    its own k best, so the shuffle holds k rows for each query and partition.
-    """
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(queries.count()) / QUERY_BLOCK).cast("long"))).groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("embedding").cast("array<double>").alias("embedding"))).alias("queries"))
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            vectors = [None if v is None else np.asarray(v, np.float64) for v in f["embedding"]]
+            for dim in sorted({len(v) for v in vectors if v is not None and len(v)}):
+                at = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim]
+                for lo in range(0, len(at), size):
+                    part = at[lo : lo + size]
+                    yield pd.DataFrame({"ids": [f[key].to_numpy()[part]], "dim": [dim], "vectors": [np.stack([vectors[i] for i in part]).tobytes()]})
 
-    scored = None
-    for row in blocks.toLocalIterator():  # one bounded block of queries at a time
-        part = items.select("item_id", "embedding").mapInPandas(_scorer(row["queries"], k), "query_id long, item_id long, score double")
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        return items.sparkSession.createDataFrame([], "query_id long, item_id long, score double, rank int")
-    return ranked(scored, k)
+    return df.select(key, "embedding").mapInPandas(each, "ids array<long>, dim int, vectors binary")
 
 
-def _scorer(block: list, k: int):
-    names = np.array([q["query_id"] for q in block])
-    wanted = np.array([q["embedding"] for q in block], np.float64)
+def vector_search(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """``queries`` (query_id, embedding), ``items`` (item_id, embedding): the k best of each query by dot product.
+
+    A stated set of queries meets all items block by block; a pair of blocks sends
+    on k rows for each query, and nothing passes through the driver.
+    """
+    asked = _blocks(queries, "query_id", QUERY_BLOCK).withColumnsRenamed({"ids": "q_ids", "dim": "q_dim", "vectors": "q_vectors"})
+    pairs = _blocks(items, "item_id", ITEM_BLOCK).crossJoin(asked)
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if not len(f):
-                continue
-            s = wanted @ np.stack(f["embedding"].to_numpy()).astype(np.float64).T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(names)), top.shape[1])
-            yield pd.DataFrame({"query_id": names[rows], "item_id": f["item_id"].to_numpy()[top.ravel()], "score": s[rows, top.ravel()]})
-
-    return each
+            for r in f.itertuples(index=False):
+                if r.dim != r.q_dim:
+                    continue
+                names, ids = np.asarray(r.q_ids), np.asarray(r.ids)
+                s = np.frombuffer(r.q_vectors).reshape(-1, r.dim) @ np.frombuffer(r.vectors).reshape(-1, r.dim).T
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(names)), top.shape[1])
+                yield pd.DataFrame({"query_id": names[rows], "item_id": ids[top.ravel()], "score": s[rows, top.ravel()]})
+
+    return ranked(pairs.mapInPandas(each, "query_id long, item_id long, score double"), k)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
