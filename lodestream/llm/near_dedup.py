@@ -13,17 +13,19 @@ A document's set is that of its distinct shingles of five words, in lower case
    similarity; pairs under FLOOR, some five deviations below the threshold, go.
 4. A set with fewer uncommon values than PREFIX is also listed under its
    smallest common values, not pair by pair but block by block.
-5. Sets with a possible partner are dealt to blocks so that partners are close.
-   Blocks that share a pair or a common value are compared by exact counts on
-   their full sets, and a spanning forest of the links leaves each comparison.
+5. Sets with a possible partner are dealt to blocks so that partners are close:
+   in the order of the classes that pairs and common values form. Blocks that
+   share a pair or a common value are compared by exact counts on their full
+   sets, and a spanning forest of the links leaves each comparison.
 6. Connected components of these links give each document its class.
 
 Sets hold 64-bit hashes of the shingles (of 64-bit hashes of the words), and a
 set is named by 128 bits, so equal names mean equal texts but for collisions of
 such hashes. Texts with fewer than five words are one shingle; texts without
 words and nulls have the empty set and link with nothing. Rows with the same
-doc_id are judged by their own texts. A null doc_id counts as larger than any.
-An empty table gives no row.
+doc_id are judged by their own texts. A set without any doc_id links with
+nothing; a row without one belongs to the class of its set. An empty table gives
+no row.
 """
 
 from __future__ import annotations
@@ -47,8 +49,8 @@ COMMON = 32
 FLOOR = 0.48
 #: Sets, and bytes of sets, in a block.
 BLOCK, BLOCK_BYTES = 256, 2 << 20
-#: Columns of a comparison at once.
-COLUMNS = 4096
+#: Columns of a comparison at once; pairs of blocks that go to Python at once.
+COLUMNS, BATCH_ROWS = 4096, 8
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,25 +85,21 @@ def _names(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.stack(halves, 1)]
 
 
-def sketches(docs: DataFrame, key: str, text: str, with_sets: bool = False) -> DataFrame:
-    """key, name, n_shingles, sketch (ascending as unsigned, stored as long); with_sets: the whole set as bytes instead."""
+def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, name, n_shingles, sketch (ascending as unsigned, stored as long)."""
     kind = docs.schema[key].dataType.simpleString()
-    last = "set binary" if with_sets else "sketch array<bigint>"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in W.runs(batch, text):
                 sets, at = shingle_sets(data, off)
-                if with_sets:
-                    out = pa.array([sets[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
-                else:
-                    take = np.minimum(np.diff(at), SKETCH)
-                    bounds = np.concatenate([[0], np.cumsum(take)])
-                    pick = np.repeat(at[:-1] - bounds[:-1], take) + np.arange(bounds[-1])
-                    out = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets[pick].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_names(sets, at), pa.binary()), pa.array(np.diff(at), pa.int64()), out], [key, "name", "n_shingles", "set" if with_sets else "sketch"])
+                take = np.minimum(np.diff(at), SKETCH)
+                bounds = np.concatenate([[0], np.cumsum(take)])
+                pick = np.repeat(at[:-1] - bounds[:-1], take) + np.arange(bounds[-1])
+                out = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets[pick].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_names(sets, at), pa.binary()), pa.array(np.diff(at), pa.int64()), out], [key, "name", "n_shingles", "sketch"])
 
-    return docs.select(key, text).mapInArrow(each, f"`{key}` {kind}, name binary, n_shingles long, {last}")
+    return docs.select(key, text).mapInArrow(each, f"`{key}` {kind}, name binary, n_shingles long, sketch array<bigint>")
 
 
 def _pairs(listed: DataFrame) -> DataFrame:
@@ -170,54 +168,68 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(sets: DataFrame) -> DataFrame:
-    """Block rows (block, names, sizes, values) from sets dealt by group."""
+def _placed(slim: DataFrame) -> DataFrame:
+    """(name, doc_id, block) from (name, doc_id, n, root, first): sets in order of class and smallest hash, cut by number and size.
+
+    Each partition adds up the weights of its sets, then the partitions' totals; a block is a whole number of that sum.
+    """
+    parts = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["root", "first", "name"]
+    ranged = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("name", "doc_id", "n")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, names, values, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, total = TaskContext.get().partitionId(), 0.0
+        for batch in batches:
+            weight = np.maximum(1 / BLOCK, batch.column(2).to_numpy() * 8 / BLOCK_BYTES)
+            upto = total + np.cumsum(weight)
+            total = float(upto[-1]) if len(upto) else total
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.repeat(pa.scalar(part, pa.int32()), len(upto)), pa.array(upto)], ["name", "doc_id", "part", "upto"])
+
+    placed = stored(ranged.mapInArrow(each, "name binary, doc_id long, part int, upto double"), "placed")
+    # one row for each partition
+    before = placed.groupBy("part").agg(F.max("upto").alias("sum")).select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    return placed.join(before.hint("merge"), "part").select("name", "doc_id", F.floor(F.col("before") + F.col("upto")).alias("block"))
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([names], pa.list_(pa.binary())), pa.array([[len(v) // 8 for v in values]], pa.list_(pa.int64())), pa.array([b"".join(values)], pa.binary())], ["block", "names", "sizes", "values"])
 
+def _wanted_sets(texts: DataFrame) -> DataFrame:
+    """(block, name, set) from (block, wanted, text), of those texts that have the wanted set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if names and (len(names) == BLOCK or size + len(value) > BLOCK_BYTES):
-                    yield row()
-                    number, names, values, size = number + 1, [], [], 0
-                names.append(name)
-                values.append(value)
-                size += len(value)
-        if names:
-            yield row()
+            for i, j, data, off in W.runs(batch, "text"):
+                sets, at = shingle_sets(data, off)
+                names = _names(sets, at)
+                hit = [k for k in range(j - i) if names[k] == batch.column(1)[i + k].as_py()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(hit, pa.int64())), pa.array([names[k] for k in hit], pa.binary()), pa.array([sets[at[k] : at[k + 1]].tobytes() for k in hit], pa.binary())], ["block", "name", "set"])
 
-    return sets.mapInArrow(each, "block long, names array<binary>, sizes array<long>, values binary")
+    return texts.select("block", "wanted", "text").mapInArrow(each, "block long, name binary, set binary")
 
 
 def _links(tasks: DataFrame) -> DataFrame:
-    """Spanning links of each pair of blocks."""
+    """Spanning links of each pair of blocks (items, items2), or within one where items2 is null."""
 
-    def block(names: pa.Scalar, sizes: pa.Scalar, values: pa.Scalar):
-        return names.as_py(), (np.frombuffer(values.as_py(), W.U64), np.concatenate([[0], np.cumsum(np.array(sizes.as_py(), np.int64))]))
+    def block(items: pa.Scalar) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray]]:
+        held = {x["name"]: x["set"] for x in items.as_py()}  # rows alike came more than once
+        return list(held), (np.frombuffer(b"".join(held.values()), W.U64), np.concatenate([[0], np.cumsum([len(v) // 8 for v in held.values()])]).astype(np.int64))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                names, a = block(*(batch.column(k)[i] for k in range(3)))
+                names, a = block(batch.column(0)[i])
                 b = None
-                if batch.column(3)[i].is_valid:
-                    more, b = block(*(batch.column(k)[i] for k in range(3, 6)))
+                if batch.column(1)[i].is_valid:
+                    more, b = block(batch.column(1)[i])
                     names = names + more
                 links = _forest(_compare(a, b), len(names))
                 yield pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in links], pa.binary()), pa.array([names[y] for _, y in links], pa.binary())], ["a", "b"])
 
-    return tasks.mapInArrow(each, "a binary, b binary")
+    return tasks.select("items", "items2").mapInArrow(each, "a binary, b binary")
 
 
 def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """Links (a, b) between sets, enough to join every class. ``found``: the stored sketches of ``docs``."""
-    spark = docs.sparkSession
     one = found.filter("n_shingles > 0").groupBy("name").agg(F.min(F.struct(F.col("n_shingles").alias("n"), "sketch")).alias("s")).select("name", "s.n", "s.sketch")
     one = stored(one, "sets")
     entries = one.select("name", F.explode("sketch").alias("value"))
@@ -227,30 +239,25 @@ def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     own = F.array_except("sketch", "common")
     listed = stored(listed.select("name", "n", "sketch", F.slice(own, 1, PREFIX).alias("prefix"), F.when(F.size(own) < PREFIX, F.slice(F.array_intersect("sketch", "common"), 1, PREFIX)).otherwise(F.array().cast("array<bigint>")).alias("shared")), "listed")
     pairs = stored(_pairs(listed), "pairs")
-    # partners close together: by the least partner, or by the common value retained first
-    shared = listed.filter(F.size("shared") > 0).select("name", F.unhex(F.lpad(F.hex(F.col("shared")[0]), 16, "0")).alias("group"))
-    groups = pairs.select("name", F.col("name").alias("group")).unionByName(pairs.select(F.col("other").alias("name"), F.col("name").alias("group"))).unionByName(shared)
-    groups = stored(groups.groupBy("name").agg(F.min("group").alias("group")), "groups")
-    wanted = found.groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(groups.hint("merge"), "name").filter("doc_id is not null")
-    wanted = stored(wanted.select("doc_id", F.col("name").alias("wanted"), "group"), "wanted")
-    texts = docs.select("doc_id", text).join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    full = sketches(texts, "doc_id", text, with_sets=True)
-    full = full.join(wanted.hint("merge"), (full["doc_id"] == wanted["doc_id"]) & (full["name"] == wanted["wanted"])).select("name", "set", "group")
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    dealt = full.dropDuplicates(["name"]).repartitionByRange(parts, "group", "name").sortWithinPartitions("group", "name")
-    blocks = stored(_blocks(dealt.select("name", "set")), "blocks")
-    member = stored(blocks.select("block", F.explode("names").alias("name")), "members")
-    other = member.select(F.col("block").alias("block2"), F.col("name").alias("other"))
-    cross = pairs.join(member.hint("merge"), "name").join(other.hint("merge"), "other").select("block", "block2")
-    lists = listed.select("name", F.explode("shared").alias("value")).join(member.hint("merge"), "name").select("block", "value").distinct()
-    cross = cross.unionByName(lists.join(lists.select(F.col("block").alias("block2"), "value").hint("merge"), "value").select("block", "block2"))
+    # partners close together: sets joined by pairs, or by a common value, follow each other
+    lists = listed.select("name", F.explode("shared").alias("value"))
+    leaders = lists.groupBy("value").agg(F.min("name").alias("leader"))
+    stars = lists.join(leaders.hint("merge"), "value").filter("name <> leader").select("name", "leader").distinct()
+    coarse = components(pairs.select(F.col("name").alias("a"), F.col("other").alias("b")).unionByName(stars.select(F.col("name").alias("a"), F.col("leader").alias("b"))))
+    least = found.filter("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    slim = listed.select("name", "n", F.col("sketch")[0].alias("first")).join(coarse.withColumnRenamed("node", "name").hint("merge"), "name").join(least.hint("merge"), "name")
+    member = stored(_placed(slim), "members")
+    wanted = member.select("doc_id", F.col("name").alias("wanted"), "block").hint("merge")
+    sets = _wanted_sets(docs.select("doc_id", text).join(wanted, "doc_id"))
+    blocks = stored(sets.groupBy("block").agg(F.collect_list(F.struct("name", "set")).alias("items")), "blocks")
+    one, two = member.select("name", "block"), member.select(F.col("name").alias("other"), F.col("block").alias("block2"))
+    cross = pairs.join(one.hint("merge"), "name").join(two.hint("merge"), "other").select("block", "block2")
+    values = lists.join(one.hint("merge"), "name").select("block", "value").distinct()
+    cross = cross.unionByName(values.join(values.select(F.col("block").alias("block2"), "value").hint("merge"), "value").select("block", "block2"))
     cross = cross.filter("block <> block2").select(F.least("block", "block2").alias("block"), F.greatest("block", "block2").alias("block2")).distinct()
-    first = blocks.select("block", *(F.col(c).alias(f"{c}1") for c in ("names", "sizes", "values")))
-    second = blocks.select(F.col("block").alias("block2"), *(F.col(c).alias(f"{c}2") for c in ("names", "sizes", "values")))
-    data = [f"{c}{k}" for k in (1, 2) for c in ("names", "sizes", "values")]
-    across = cross.join(first.hint("merge"), "block").join(second.hint("merge"), "block2").select(*data)
-    within = first.select(*data[:3], *(F.lit(None).cast(second.schema[c].dataType).alias(c) for c in data[3:]))
-    return stored(_links(within), "links").unionByName(stored(_links(across), "links"))
+    across = stored(cross, "cross").join(blocks.hint("merge"), "block").join(blocks.select(F.col("block").alias("block2"), F.col("items").alias("items2")).hint("merge"), "block2")
+    within = blocks.withColumn("items2", F.lit(None).cast(blocks.schema["items"].dataType))
+    return stored(_links(within), "links", BATCH_ROWS).unionByName(stored(_links(across), "links", BATCH_ROWS))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,12 +17,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
     The copy survives lost executors, and its size is known to the planner.
+    ``batch_rows``: rows that go to Python at once, where rows are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestream-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    usual = spark.conf.get(BATCH)
+    if batch_rows:
+        spark.conf.set(BATCH, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
