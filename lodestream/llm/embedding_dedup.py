@@ -34,6 +34,8 @@ from lodestream.llm.store import stored
 THRESHOLD = 0.93
 #: Principal dimensions of the grid, vectors in a block, and in an interval that isn't halved again.
 AXES, BLOCK, LEAF = 6, 512, 64
+#: Pairs of blocks that go to Python at once.
+BATCH_ROWS = 32
 #: Longer vectors get their axes from their first so many components.
 AXES_FROM = 128
 
@@ -207,7 +209,7 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label",
                 b = [None] * len(hit) + [names[j] for _, j in links]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([int(more[i]) for i in hit] + [0] * len(links), pa.int64())], ["a", "b", "more"])
 
-    found = stored(tasks.select((F.col("block") == F.col("block2")).alias("same"), *payload, *(f"{c}2" for c in payload[1:])).mapInArrow(link, "a binary, b binary, more long"), "links")
+    found = stored(tasks.select((F.col("block") == F.col("block2")).alias("same"), *payload, *(f"{c}2" for c in payload[1:])).mapInArrow(link, "a binary, b binary, more long"), "links", BATCH_ROWS)
     roots = components(found.filter("b is not null").select("a", "b"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("more").alias("more"))
     known = reps.select("name", "vec_id", "times").join(roots.withColumnRenamed("node", "name").hint("merge"), "name", "left").join(counts.hint("merge"), "name", "left")
