@@ -28,11 +28,11 @@ PART = 64
 
 
 def escaped(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(\\*(?:{CONTROL}))", r"\\$1")
+    return F.regexp_replace(c, rf"(?<!\\)(\\*+(?:{CONTROL}))", r"\\$1")
 
 
 def unescaped(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\\(\\*(?:{CONTROL}))", "$1")
+    return F.regexp_replace(c, rf"(?<!\\)\\(\\*+(?:{CONTROL}))", "$1")
 
 
 def _from_last_reset(items: Column) -> Column:

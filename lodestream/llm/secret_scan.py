@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der")
 ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+JWT = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]{0,20000})-----END \1-----")
 BASE64 = re.compile(rb"M[A-Za-z0-9+/]{39,}={0,2}")
 HEX_KEY = re.compile(rb"30[0-9a-fA-F]{58,}")
