@@ -21,23 +21,24 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
     return articles(spark, sf).join(a, "ingest_seq").withColumn("terms", text.term_set("title")).withColumn("rank_score", scores.rank_score("relevance", "trend", "engineering", "depth", "fresh"))
 
 
-ORDER = [-F.col("rank_score"), F.col("ingest_seq")]
+def _order() -> list:
+    return [-F.col("rank_score"), F.col("ingest_seq")]
 
 
 @query("C3_trend_boost")
 def c3(spark: SparkSession, sf: str) -> DataFrame:
-    found = topics.cluster_topics(_rows(spark, sf), "ingest_seq", "terms", ORDER, threshold=0.25, titles="terms")
+    found = topics.cluster_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), threshold=0.25, titles="terms")
     return topics.trend_boost(found, "ingest_seq", "source_code").select("ingest_seq", "topic_id", "boosted", "trend", "rank_score")
 
 
 @query("C4_topic_clusters")
 def c4(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.cluster_topics(_rows(spark, sf), "ingest_seq", "terms", ORDER, by="category", threshold=0.25).select("ingest_seq", "category", "topic_id", "role")
+    return topics.cluster_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), by="category", threshold=0.25).select("ingest_seq", "category", "topic_id", "role")
 
 
 @query("C5_capped_clusters")
 def c5(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.cluster_topics(_rows(spark, sf), "ingest_seq", "terms", ORDER, by="category", threshold=0.25, max_members=3).select("ingest_seq", "category", "topic_id", "role")
+    return topics.cluster_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), by="category", threshold=0.25, max_members=3).select("ingest_seq", "category", "topic_id", "role")
 
 
 @query("C7_topic_report", N + "SELECT batch_id AS topic_id, count(*) AS related, array_to_string(list_sort(list(article_id)), ',') AS members, count(DISTINCT category) AS n_sources FROM analyses GROUP BY batch_id")

@@ -20,7 +20,10 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return articles(spark, sf).select("ingest_seq", "source_code", "title", "publish_time", "url", scores.candidate_score(low, "summary", "confidence").alias("score"))
 
 
-BEST = [F.col("score").desc(), F.col("publish_time").desc_nulls_last(), F.col("ingest_seq")]
+def _best() -> list:
+    return [F.col("score").desc(), F.col("publish_time").desc_nulls_last(), F.col("ingest_seq")]
+
+
 POOL_SQL = A + f""", s AS (SELECT ingest_seq, source_code, title, publish_time, url, {CANDIDATE_SQL} AS score FROM (SELECT *, {LOW_TEXT} AS t FROM articles)),
  d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER BY ingest_seq) = 1),
  k AS (SELECT * FROM (SELECT *, {KEY} AS key FROM d) QUALIFY key = '' OR row_number() OVER (PARTITION BY source_code, key ORDER BY score DESC, publish_time DESC NULLS LAST, ingest_seq) = 1),
@@ -32,8 +35,8 @@ SELECT ingest_seq, source_code, score, rank, CASE WHEN rank <= 20 THEN 'selected
 def w2(spark: SparkSession, sf: str) -> DataFrame:
     """The collection's first steps end to end: url dedup, score, title dedup, pool."""
     first = dedup.dedup_first(_scored(spark, sf), "url", ["ingest_seq"])
-    unique = dedup.dedup_title(first, "source_code", "title", BEST)
-    return ranking.candidate_pool(unique, "source_code", BEST, 40, 20).select("ingest_seq", "source_code", "score", "rank", "pool")
+    unique = dedup.dedup_title(first, "source_code", "title", _best())
+    return ranking.candidate_pool(unique, "source_code", _best(), 40, 20).select("ingest_seq", "source_code", "score", "rank", "pool")
 
 
 @query("W3_category_refill", N + ", g AS (SELECT category FROM analyses GROUP BY category HAVING count(*) % 2 = 0) SELECT article_id, category, r AS refill_rank FROM (SELECT article_id, category, row_number() OVER (PARTITION BY category ORDER BY trend DESC, article_id) AS r FROM analyses JOIN g USING (category)) WHERE r <= 5")

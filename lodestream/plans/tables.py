@@ -15,18 +15,23 @@ from lodestream.plans.scalars import KEY, PATH
 A = repeatable(ARTICLES)
 N = repeatable(ANALYSES)
 R = repeatable(RUNS)
-START, END = F.lit("2024-02-01").cast("timestamp_ntz"), F.lit("2024-05-31 23:59:59").cast("timestamp_ntz")
+
+
+def _range() -> tuple:
+    return F.lit("2024-02-01").cast("timestamp_ntz"), F.lit("2024-05-31 23:59:59").cast("timestamp_ntz")
+
+
 RANGE_SQL = "publish_time BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-05-31 23:59:59'"
 
 
 @query("P1_date_filter", A + f"SELECT ingest_seq, publish_time FROM articles WHERE coalesce({RANGE_SQL}, TRUE)")
 def p1(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.date_filter(articles(spark, sf), "publish_time", START, END).select("ingest_seq", "publish_time")
+    return filters.date_filter(articles(spark, sf), "publish_time", *_range()).select("ingest_seq", "publish_time")
 
 
 @query("P2_date_filter_strict", A + f"SELECT count(*) FILTER ({RANGE_SQL}) AS in_range, count(*) FILTER (NOT {RANGE_SQL}) AS out_of_range, count(*) FILTER (publish_time IS NULL) AS unresolved FROM articles")
 def p2(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.date_filter_stats(articles(spark, sf), "publish_time", START, END)
+    return filters.date_filter_stats(articles(spark, sf), "publish_time", *_range())
 
 
 @query("P3_sufficient_content", A + "SELECT ingest_seq FROM (SELECT *, trim(CASE WHEN ingest_seq % 3 = 0 THEN '' ELSE body END, ' ') AS own, CASE WHEN trim(CASE WHEN ingest_seq % 3 = 0 THEN '' ELSE body END, ' ') <> '' THEN trim(body, ' ') ELSE trim(coalesce(summary, ''), ' ') END AS content FROM articles) WHERE length(content) >= 100 AND (own <> '' OR content <> title)")

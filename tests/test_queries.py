@@ -55,3 +55,16 @@ def test_any_partitioning(spark, name):
         found.append(content(catalog.QUERIES[name](spark, SF).toPandas()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found[0] == found[1] and len(found[0]) > 1
+
+
+def test_entry_imports_without_a_session_or_the_llm_folder(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parent.parent
+    shutil.copytree(repo / "lodestream", tmp_path / "lodestream", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode == 0 and not said.stderr and int(said.stdout.split()[0]) == len(catalog.QUERIES)
