@@ -2,25 +2,58 @@
 
 A byte-level BPE never merges across pre-tokens, and a space that follows a
 character other than white space always starts one. So a text may be cut before
-its spaces, each piece is encoded by the library once, and its ids are kept in a
-bounded table. Texts where such a cut might not hold (white space around a
-space, other control characters) are encoded whole. Null counts as empty.
+its spaces and each piece into its pre-tokens; the library's model encodes each
+distinct pre-token once, and bounded tables keep the ids of pieces and
+pre-tokens. Texts where such a cut might not hold (white space after a space,
+rare separators), and tokenizers of another kind, are encoded whole by the
+library. Null counts as empty.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
-import numpy as np
+import regex
 
-KEPT_PIECES = 300_000
-LONGEST_KEPT = 64
-#: White space, then a space, then white space or the end; or rare separators on which libraries differ.
-UNSURE = re.compile(r"\s \s|\s \Z|\A \s|\A \Z|[\x1c-\x1f\x85]")
+#: Entries in each generation of a table; there are two.
+KEPT_PIECES, KEPT_WORDS, LONGEST_KEPT = 400_000, 300_000, 64
+#: Rare separators on which libraries differ.
+RARE = re.compile(r"[\x1c-\x1f\x85]")
+#: Characters that end a word and are a pre-token of their own there; letters below this are so in any library.
+STOPS, LATIN_END = frozenset(".,"), "\u0250"
+# Fixed value: the split of byte-level BPE vocabularies.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def _printable() -> dict[int, str]:
+    """Byte values as byte-level vocabularies write them: printable ones as they are, the others from 256 up."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+PRINTABLE = _printable()
 _made: dict[str, Encoder] = {}
 
 
+class Table(dict):
+    """Keeps what was asked for of late: the last ``most`` entries, and of those before the ones asked for again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= LONGEST_KEPT:
+            self[key] = value
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,8 +62,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.pieces: dict[str, bytes] = {}
-        self.sure = '"ByteLevel"' in open(path, encoding="utf-8").read(4000) and self.tokenizer.normalizer is None
+        self.model = self.tokenizer.model
+        self.pieces, self.words = Table(KEPT_PIECES), Table(KEPT_WORDS)
+        made = json.loads(self.tokenizer.to_str())
+        split, model = made["pre_tokenizer"] or {}, made["model"]
+        self.cuts = (
+            split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and made["normalizer"] is None
+            and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+            and all(t["special"] for t in made["added_tokens"])
+        )
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -40,25 +80,53 @@ class Encoder:
         return _made[path]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        words = self.words
+        ids = words.get(word)
+        if ids is None:
+            ids = words.old.get(word)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(PRINTABLE))]).tobytes()
+            words.keep(word, ids)
+        return ids
+
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self._word, SPLIT.findall(text)))
+
+    def _piece(self, part: str) -> bytes | None:
+        """Ids of a space and ``part``, which isn't in the table; None where the cut before the space might not hold."""
+        found = self.pieces.get(part)
+        if found is None:
+            found = self.pieces.old.get(part)
+            if found is None:
+                body, end = (part[:-1], part[-1]) if part[-1:] in STOPS else (part, "")
+                if body.isalpha() and (body.isascii() or max(body) < LATIN_END):  # a word, and a stop perhaps
+                    found = self._word(" " + body) + (self._word(end) if end else b"")
+                elif not part or part[0].isspace() or RARE.search(part):
+                    return None
+                else:
+                    found = self._split(" " + part)
+            self.pieces.keep(part, found)
+        return found
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.sure or UNSURE.search(text):
+        if not self.cuts:
+            return self.whole(text)
+        first, *parts = text.split(" ")
+        if RARE.search(first):
             return self.whole(text)
-        parts = text.split(" ")
-        parts[1:] = [" " + p for p in parts[1:]]
-        kept = self.pieces
-        found = list(map(kept.get, parts))
-        if None in found:
-            new = list(dict.fromkeys(p for p, f in zip(parts, found, strict=True) if f is None and p))
-            fresh = {"": b""} | {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-            if len(kept) + len(fresh) > KEPT_PIECES:
-                kept.clear()
-            kept.update((p, b) for p, b in fresh.items() if len(p) <= LONGEST_KEPT)
-            found = [f if f is not None else fresh[p] for p, f in zip(parts, found, strict=True)]
-        return b"".join(found)
+        found = list(map(self.pieces.get, parts))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = ids = self._piece(parts[at])
+            if ids is None:
+                return self.whole(text)
+        return b"".join([self._split(first), *found])
 
 
 def default_path() -> str:
