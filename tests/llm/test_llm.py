@@ -176,6 +176,16 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99, 101: 99}
 
 
+def test_components_of_long_chains(spark):
+    want, links = {}, []
+    for seed in (1, 2):
+        names = [hashlib.blake2b(f"{seed} {i}".encode(), digest_size=16).digest() for i in range(1000)]
+        links += [(names[i], names[i + 1]) if i % 2 else (names[i + 1], names[i]) for i in range(999)]
+        want |= dict.fromkeys(names, min(names))
+    got = components(spark.createDataFrame(links, "a binary, b binary")).collect()
+    assert len(got) == 2000 and {bytes(r["node"]): bytes(r["root"]) for r in got} == want
+
+
 # ---- vectors
 
 
