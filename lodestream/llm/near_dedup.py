@@ -7,12 +7,14 @@ A document's set is that of its distinct shingles of five words, in lower case
 2. Inverted lists of the retained values give the pairs that overlap. A value
    that more than COMMON sets retain (a passage that many share, or a large
    group of near copies) is common. Each set is listed under its PREFIX smallest
-   values that are not common, so lists are bounded; two sets at the threshold
-   share one of them but with a chance of under one in a million.
+   values that are not common, so lists are bounded.
 3. The union sketch of a pair, the smallest values of both, estimates their
-   similarity; pairs under FLOOR, some five deviations below the threshold, go.
-4. A set with fewer uncommon values than PREFIX is also listed under its
-   smallest common values, not pair by pair but block by block.
+   similarity; pairs under FLOOR, some five deviations below the threshold, go
+   (1.4 in a million of those at the threshold, by the binomial of the sketch).
+4. A set with common values is also listed under its PREFIX smallest of them, not
+   pair by pair but block by block, unless more than OWN of its values are
+   uncommon. At the threshold a quarter of the values is unshared, so two sets
+   share no list of either kind with a chance of under one in a hundred million.
 5. Sets with a possible partner are dealt to blocks so that partners are close:
    in the order of the classes that pairs and common values form. Blocks that
    share a pair or a common value are compared by exact counts on their full
@@ -45,6 +47,7 @@ SHINGLE = 5
 THRESHOLD = 75  # per hundred
 SKETCH = 64
 PREFIX = 24
+OWN = 40
 COMMON = 32
 FLOOR = 0.48
 #: Sets, and bytes of sets, in a block.
@@ -237,7 +240,7 @@ def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     held = stored(entries.join(common.hint("merge"), "value").groupBy("name").agg(F.collect_set("value").alias("common")), "held")
     listed = one.join(held.hint("merge"), "name", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     own = F.array_except("sketch", "common")
-    listed = stored(listed.select("name", "n", "sketch", F.slice(own, 1, PREFIX).alias("prefix"), F.when(F.size(own) < PREFIX, F.slice(F.array_intersect("sketch", "common"), 1, PREFIX)).otherwise(F.array().cast("array<bigint>")).alias("shared")), "listed")
+    listed = stored(listed.select("name", "n", "sketch", F.slice(own, 1, PREFIX).alias("prefix"), F.when(F.size(own) <= OWN, F.slice(F.array_intersect("sketch", "common"), 1, PREFIX)).otherwise(F.array().cast("array<bigint>")).alias("shared")), "listed")
     pairs = stored(_pairs(listed), "pairs")
     # partners close together: sets joined by pairs, or by a common value, follow each other
     lists = listed.select("name", F.explode("shared").alias("value"))

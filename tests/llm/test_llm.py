@@ -165,6 +165,27 @@ def test_near_dedup(spark):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(k for k in sets if want[k] == k)
 
 
+def test_near_dedup_of_a_large_group_with_text_appended(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(404)]
+    group = [" ".join(base[:i] + [word()] + base[i + 1 :]) for i in range(0, 400, 5)] + [" ".join(base)]
+
+    def sketch(t):
+        data = np.frombuffer(t.encode(), np.uint8)
+        return near_dedup.shingle_sets(data, np.array([0, len(data)]))[0][: near_dedup.SKETCH].tolist()
+
+    held = Counter(v for t in group for v in sketch(t))
+    while True:  # three quarters are shared, but many of the smallest hashes are its own
+        longer = " ".join(base + [word() for _ in range(130)])
+        if sum(held[v] + 1 <= near_dedup.COMMON for v in sketch(longer)) >= near_dedup.PREFIX:
+            break
+    a, b = shingles(longer), shingles(group[-1])
+    assert 100 * len(a & b) >= near_dedup.THRESHOLD * len(a | b)
+    got = near_dedup.near_dedup(docs_of(spark, [*group, longer])).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.near_dedup(docs_of(spark, [])).count() == 0
     assert [r["kept"] for r in near_dedup.near_dedup(docs_of(spark, [None, ""])).collect()] == [True, True]
