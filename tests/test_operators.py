@@ -115,6 +115,11 @@ def test_clusters_match_the_plain_pass(spark):
         assert {r["k"]: r["topic_id"] for r in got} == greedy(rows, 0.34, most)
 
 
+def test_large_blocks_are_clustered(spark):
+    df = spark.range(100_001).select(F.col("id").alias("k"), F.array(F.lit("a")).alias("t"))
+    assert topics.cluster_topics(df, "k", "t", [F.col("k")]).groupBy("topic_id", "role").count().orderBy("count").collect() == [(0, "lead", 1), (0, "member", 100_000)]
+
+
 def test_chain_isnt_transitive(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["c", "d", "e", "f", "g", "h"]), (3, ["b", "c", "d"])], "k long, t array<string>")
     got = {r["k"]: r["topic_id"] for r in topics.cluster_topics(df, "k", "t", [F.col("k")]).collect()}
