@@ -22,18 +22,30 @@ def build_requests(df: DataFrame, group: str, order: str, fields: list[str], siz
 
 
 def repair(raw: str | None) -> str | None:
-    """JSON text from an answer that was cut off or wrapped, or null."""
+    """JSON text from an answer that was cut off or wrapped, or null. Values that follow each other become one array."""
     if not raw:
         return None
     begin = min((i for i in (raw.find("{"), raw.find("[")) if i >= 0), default=-1)
     if begin < 0:
         return None
-    body = raw[begin:]
-    try:  # something after the first value
-        value, _ = json.JSONDecoder().raw_decode(body)
-        return json.dumps(value, ensure_ascii=False)
-    except ValueError:
-        pass
+    body, found = raw[begin:], []
+    while body[:1] in ("{", "["):  # something after the first value: more values, or text
+        try:
+            value, end = json.JSONDecoder().raw_decode(body)
+        except ValueError:
+            break
+        found.append(value)
+        body = body[end:].lstrip(" \t\r\n,;")
+    if found:
+        if body[:1] in ("{", "[") and (last := _closed(body)) is not None:
+            found.append(last)
+        return json.dumps(found if len(found) > 1 else found[0], ensure_ascii=False)
+    value = _closed(body)
+    return None if value is None else json.dumps(value, ensure_ascii=False)
+
+
+def _closed(body: str) -> dict | list | None:
+    """The value that was cut off, with what is open closed."""
     stack, quoted, escape = [], False, False
     for c in body:
         if quoted:
@@ -47,7 +59,7 @@ def repair(raw: str | None) -> str | None:
     tail = ('"' if quoted else "") + "".join(reversed(stack))
     for end in (tail, " null" + tail, ": null" + tail):
         try:
-            return json.dumps(json.loads(body.rstrip().rstrip(",") + end), ensure_ascii=False)
+            return json.loads(body.rstrip().rstrip(",") + end)
         except ValueError:
             continue
     return None

@@ -147,6 +147,12 @@ def test_repair():
     assert answers.repair("none") is None and answers.repair(None) is None
 
 
+def test_repair_of_concatenated_values():
+    assert answers.repair('{"a": 1}{"b": 2}\n{"c": 3}') == '[{"a": 1}, {"b": 2}, {"c": 3}]'
+    assert answers.repair('see: {"a": 1}, {"b": [2') == '[{"a": 1}, {"b": [2]}]'
+    assert answers.repair('{"a": 1} as in [1]') == '{"a": 1}'
+
+
 def chunks(t, size):
     parts = [s for p in t.split("\n\n") if p.strip() for s in [p.strip()[i : i + size] for i in range(0, len(p.strip()), size)]]
     out = []
