@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestream.llm import words as W
 from lodestream.llm.store import stored
 from lodestream.llm.tokens import Encoder, default_path
 
@@ -82,7 +83,6 @@ def places(found: list[tuple[int, list[int]]], length: int) -> dict[int, tuple[n
 
 def cut(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces: key, piece, start, length, ids_crc32, ids, and the task and the rank among its pieces of that length."""
-    end = np.array([end_id], "<u4").tobytes()
     names = [key, "piece", "start", "length", "ids_crc32", "ids", "task", "rank"]
     kind = docs.schema[key].dataType.simpleString()
 
@@ -90,22 +90,26 @@ def cut(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0,
         from pyspark import TaskContext
 
         coder, task, seen = Encoder.of(tokenizer), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 64):
-                batch, at, rows = whole.slice(i, 64), [], []
-                for k, t in enumerate(batch.column(1)):
-                    ids = coder.ids(t.as_py()) + end
-                    n = len(ids) // 4
-                    begin, stop, piece = 0, (n - 1) % length + 1, 0
-                    while begin < n:
-                        part = ids[4 * begin : 4 * stop]
-                        size = stop - begin
-                        at.append(k)
-                        rows.append((piece, begin, size, zlib.crc32(part), part, task, int(seen[size])))
-                        seen[size] += 1
-                        begin, stop, piece = stop, stop + length, piece + 1
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(types))], names)
+        for batch in batches:
+            for i, j, data, off in W.runs(batch, text):
+                ids, at = coder.rows(data, off, end_id)
+                n = np.diff(at)
+                count = -(-n // length)
+                row = np.repeat(np.arange(j - i), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                first = (n - 1) % length + 1  # the first piece may be shorter
+                begin = np.where(piece > 0, first[row] + (piece - 1) * length, 0)
+                size = np.where(piece > 0, length, first[row])
+                begins = (at[row] + begin).tolist()
+                parts = [ids[b : b + s].astype("<u4").tobytes() for b, s in zip(begins, size.tolist(), strict=True)]
+                crc = [zlib.crc32(x) for x in parts]
+                order = np.argsort(size, kind="stable")
+                held = np.bincount(size, minlength=length + 1)
+                rank = np.empty(len(size), np.int64)
+                rank[order] = np.arange(len(size)) - np.repeat(np.cumsum(held) - held, held) + np.repeat(seen, held)
+                seen += held
+                out = [piece.astype(np.int32), begin, size, np.array(crc, np.int64)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), *map(pa.array, out), pa.array(parts, pa.binary()), pa.repeat(pa.scalar(task, pa.int32()), len(row)), pa.array(rank)], names)
 
     return docs.select(key, text).mapInArrow(each, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, ids binary, task int, rank long")
 
