@@ -2,20 +2,25 @@
 
 Patterns give the base spans; base64 and hex candidates are decoded, and key
 encodings (DER with nested lengths), PEM blocks and signed-token headers are
-parsed before they are reported. Offsets are code points, ends exclusive. Null
-counts as empty text; empty texts and texts without a secret give no span;
-rows are judged each for itself, so repeats and ties don't matter.
+parsed before they are reported. A key may begin anywhere in a run of base64 or
+hex digits and ends where its own length says; runs of base64 go on over single
+line breaks. No length is bounded, and each run is decoded a fixed number of
+times. Offsets are code points, ends exclusive. Null counts as empty text; empty
+texts and texts without a secret give no span; an empty table gives no row; rows
+are judged each for itself, so repeats and ties don't matter.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,64 +29,201 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der")
 ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-JWT = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]{0,20000})-----END \1-----")
-BASE64 = re.compile(rb"M[A-Za-z0-9+/]{39,}={0,2}")
-HEX_KEY = re.compile(rb"30[0-9a-fA-F]{58,}")
+#: A dot and the payload between it and the next: what a signed token has in its middle.
+MIDDLE = re.compile(rb"\.(?=([A-Za-z0-9_-]{2,}+)\.)")
+URL_SAFE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+BEGIN, END = re.compile(rb"-----BEGIN ([A-Z0-9 ]+)-----"), re.compile(rb"-----END ([A-Z0-9 ]+)-----")
+#: Header lines of an armoured block, up to an empty line.
+HEADERS = re.compile(rb"\s*(?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+\S[^\n]*\n)*)+[ \t\r]*\n")
+READ, BLANKS = json.JSONDecoder().raw_decode, re.compile(r"[ \t\r\n]*+")
+#: How an object with a member begins.
+MEMBER = re.compile(r'\{[ \t\r\n]*+"(?:[^"\\]|\\.)*+"[ \t\r\n]*+:')
+ARMOURED = re.compile(rb"[A-Za-z0-9+/=\s]*")
+#: Runs that may hold a key: base64, over single line breaks too, from its first possible start; hex.
+BASE64 = re.compile(rb"M(?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/])){39,}+")
+HEX_KEY = re.compile(rb"30[0-9a-fA-F]{58,}+")
+#: The shortest key, in bytes, and the most items that one of its sequences has.
+KEY_BYTES, ITEMS = 30, 32
+VALUE = np.zeros(256, np.uint8)
+VALUE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")] = np.arange(64)
+NIBBLE = np.zeros(256, np.uint8)
+NIBBLE[list(b"0123456789abcdef")] = NIBBLE[list(b"0123456789ABCDEF")] = np.arange(16)
 
 
-def _der_items(data: bytes) -> list[tuple[int, bytes]] | None:
+def _der_size(data: bytes | memoryview, at: int) -> tuple[int, int] | None:
+    """Where the content of the item at ``at`` begins and ends, or None."""
+    if at + 2 > len(data):
+        return None
+    size, at = data[at + 1], at + 2
+    if size & 0x80:
+        width = size & 0x7F
+        if not 1 <= width <= 4 or at + width > len(data):
+            return None
+        size, at = int.from_bytes(data[at : at + width], "big"), at + width
+    return at, at + size
+
+
+def _der_items(data: memoryview) -> list[tuple[int, memoryview]] | None:
     """The items that fill ``data`` exactly, or None."""
     out, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
+        found = _der_size(data, at)
+        if found is None or found[1] > len(data) or len(out) == ITEMS:
             return None
-        tag, size, at = data[at], data[at + 1], at + 2
-        if size & 0x80:
-            width = size & 0x7F
-            if not 1 <= width <= 4 or at + width > len(data):
-                return None
-            size, at = int.from_bytes(data[at : at + width], "big"), at + width
-        if at + size > len(data):
-            return None
-        out.append((tag, data[at : at + size]))
-        at += size
+        out.append((data[at], data[found[0] : found[1]]))
+        at = found[1]
     return out
 
 
-def is_der(data: bytes) -> bool:
-    """One outer sequence whose nested lengths add up, with an integer, object id, bit or octet string inside."""
-    outer = _der_items(data)
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
-        return False
-    inner = _der_items(outer[0][1])
+def is_der(data: bytes | memoryview) -> bool:
+    """One outer sequence whose nested lengths add up, with an integer, bit or octet string inside."""
+    data = memoryview(data)
+    outer = _der_size(data, 0) if len(data) and data[0] == 0x30 else None
+    if outer is None or outer[1] != len(data) or data[outer[0] : outer[0] + 1] not in (b"\x02", b"\x30"):
+        return False  # keys begin with a version or an algorithm
+    inner = _der_items(data[outer[0] :])
     if not inner or len(inner) < 2:
         return False
-    nested = [x for tag, body in inner if tag == 0x30 for x in [_der_items(body)]]
-    tags = [tag for tag, _ in inner]
-    return all(x for x in nested) and any(t in (0x02, 0x03, 0x04) for t in tags)
+    nested = [_der_items(body) for tag, body in inner if tag == 0x30]
+    return all(nested) and any(tag in (0x02, 0x03, 0x04) for tag, _ in inner)
+
+
+def _object(data: bytes) -> dict | None:
+    try:
+        found = json.loads(data)
+        return found if isinstance(found, dict) else None
+    except (ValueError, RecursionError):
+        return None
 
 
-def is_jwt(data: bytes) -> bool:
-    """Header and payload are JSON objects, and the header names an algorithm."""
+def _fills(text: str, at: int) -> bool:
+    """A JSON value begins at ``at`` and nothing but blanks follows it."""
     try:
-        head, body, _ = (base64.urlsafe_b64decode(x + b"=" * (-len(x) % 4)) for x in data.split(b"."))
-        head = json.loads(head)
-        return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(json.loads(body), dict)
-    except (ValueError, binascii.Error, RecursionError):
+        return MEMBER.match(text, at) is not None and BLANKS.fullmatch(text, READ(text, at)[1]) is not None
+    except (ValueError, RecursionError):
         return False
 
 
-def _decoded(data: bytes) -> bytes:
+def _decoded(data: bytes, altchars: bytes | None = None) -> bytes:
     try:
-        return base64.b64decode(data + b"=" * (-len(data) % 4), validate=True)
+        return base64.b64decode(data + b"=" * (-len(data) % 4), altchars, validate=True)
     except (ValueError, binascii.Error):
         return b""
 
 
+def _token_start(run: bytes) -> int | None:
+    """Where in ``run``, which ends before the first dot, a signed token's header begins.
+
+    Every grid of four characters is decoded once; a header is an object that names an algorithm and ends the run.
+    """
+    starts = []
+    for phase in range(min(4, len(run))):
+        if len(run) % 4 == (phase + 1) % 4:  # a digit left over
+            continue
+        data = _decoded(run[phase:], b"-_")
+        shown = data.decode("latin-1")  # read in place, from each brace
+        brace, last = data.find(b"{"), 0
+        while brace >= 0:
+            first = brace
+            while first > last and data[first - 1] in b" \t\r\n":
+                first -= 1
+            first = -(-first // 3) * 3  # on the grid
+            found = _object(data[first:]) if first <= brace and _fills(shown, brace) else None
+            if found is not None and isinstance(found.get("alg"), str):
+                starts.append(phase + first // 3 * 4)
+                break
+            last, brace = brace + 1, data.find(b"{", brace + 1)
+    return min(starts, default=None)
+
+
+def _tokens(data: bytes) -> Iterator[tuple[int, int, str]]:
+    done = 0
+    for m in MIDDLE.finditer(data):
+        if m.start() < done or _object(_decoded(m[1], b"-_")) is None:
+            continue
+        begin = m.start()
+        while begin > done and data[begin - 1] in URL_SAFE:
+            begin -= 1
+        start = _token_start(data[begin : m.start()])
+        if start is not None:
+            end = m.end(1) + 1
+            while end < len(data) and data[end] in URL_SAFE:
+                end += 1
+            yield begin + start, end, "jwt"
+            done = end
+
+
 def is_pem(label: bytes, body: bytes) -> bool:
-    raw = _decoded(b"".join(body.split()))
-    return is_der(raw) or raw.startswith(b"openssh-key-v1\0") or (b"KEY" in label and b"ENCRYPTED" in label and len(raw) >= 16)
+    """A body that decodes to a key encoding, or, said to be encrypted, to anything."""
+    head = HEADERS.match(body)
+    rest = body[head.end() :] if head else body
+    if not ARMOURED.fullmatch(rest):
+        return False
+    raw = _decoded(b"".join(rest.split()))
+    encrypted = b"KEY" in label and b"ENCRYPTED" in (label + head[0] if head else label)
+    return is_der(raw) or raw.startswith(b"openssh-key-v1\0") or (encrypted and len(raw) >= 16)
+
+
+def _blocks(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """Armoured blocks: each begin mark with the next end mark of its label, unless another begins before."""
+    ends: dict[bytes, list[tuple[int, int]]] = {}
+    for m in END.finditer(data):
+        ends.setdefault(m[1], []).append(m.span())
+    begins = list(BEGIN.finditer(data))
+    for k, m in enumerate(begins):
+        held = ends.get(m[1], [])
+        at = bisect.bisect_left(held, (m.end(), 0))
+        if at < len(held) and (k + 1 == len(begins) or begins[k + 1].start() > held[at][0]) and is_pem(m[1], data[m.end() : held[at][0]]):
+            yield m.start(), held[at][1], "pem"
+
+
+def _keys_in(value: np.ndarray, bits: int, decode: Callable[[int], bytes]) -> Iterator[tuple[int, int]]:
+    """(first, end) of the key encodings in a run of digits of ``bits`` bits each, from any digit on; their length says where they end.
+
+    ``decode(phase)`` gives the bytes of the run from that digit on; a byte group has 4 digits of base64, or 2 of hex.
+    """
+    group = 4 if bits == 6 else 2
+    v = value.astype(np.int64)
+    n = len(v) - 8
+    if n <= 0:
+        return
+    if bits == 6:
+        head, second = (v[:n] << 2) | (v[1 : n + 1] >> 4), ((v[1 : n + 1] & 15) << 4) | (v[2 : n + 2] >> 2)
+    else:
+        head, second = (v[:n] << 4) | v[1 : n + 1], (v[2 : n + 2] << 4) | v[3 : n + 3]
+    held, done = {}, 0
+    for p in np.flatnonzero((head == 0x30) & (second != 0x80) & (second <= 0x84)).tolist():
+        if p < done:
+            continue
+        phase = p % group
+        if phase not in held:
+            held[phase] = memoryview(decode(phase))
+        data, at = held[phase], p // group * (3 if bits == 6 else 1)
+        size = _der_size(data, at)
+        if size is not None and KEY_BYTES <= size[1] - at and size[1] <= len(data) and is_der(data[at : size[1]]):
+            done = p + -(-8 * (size[1] - at) // bits)
+            yield p, done
+
+
+def _keys(data: bytes) -> Iterator[tuple[int, int, str]]:
+    for m in BASE64.finditer(data):
+        run = np.frombuffer(m[0], np.uint8)
+        place = np.flatnonzero(run > 32)  # without line breaks
+        digits = run[place].tobytes()
+
+        def decode(phase: int, digits: bytes = digits) -> bytes:
+            part = digits[phase:]
+            return _decoded(part[: len(part) - 1] if len(part) % 4 == 1 else part)
+
+        for a, b in _keys_in(VALUE[run[place]], 6, decode):
+            end = m.start() + int(place[b - 1]) + 1
+            pad = -(b - a) % 4
+            end += pad if pad and data[end : end + pad] == b"=" * pad else 0
+            yield m.start() + int(place[a]), end, "der"
+    for m in HEX_KEY.finditer(data):
+        digits = m[0]
+        for a, b in _keys_in(NIBBLE[np.frombuffer(digits, np.uint8)], 4, lambda phase, d=digits: bytes.fromhex(d[phase : len(d) - (len(d) - phase) % 2].decode())):
+            yield m.start() + a, m.start() + b, "der"
 
 
 def find_spans(data: bytes) -> list[tuple[int, int, str]]:
@@ -93,16 +235,9 @@ def find_spans(data: bytes) -> list[tuple[int, int, str]]:
     if b"AKIA" in data:
         found += [(*m.span(), "access") for m in ACCESS.finditer(data) if len(m[0]) >= 20]
     found += [(*m.span(), "hex") for m in HEX.finditer(data)]
-    if b"eyJ" in data:
-        found += [(*m.span(), "jwt") for m in JWT.finditer(data) if is_jwt(m[0])]
-    blocks = []
-    if b"-----BEGIN" in data:
-        blocks = [m.span() for m in PEM.finditer(data) if is_pem(m[1], m[2])]
-        found += [(*s, "pem") for s in blocks]
-    keys = [m.span() for m in BASE64.finditer(data) if is_der(_decoded(m[0]))]
-    keys += [m.span() for m in HEX_KEY.finditer(data) if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0].decode()))]
-    found += [(a, b, "der") for a, b in keys if not any(x <= a and b <= y for x, y in blocks)]
-    return found
+    found += _tokens(data)
+    blocks = list(_blocks(data)) if b"-----BEGIN" in data else []
+    return found + blocks + [k for k in _keys(data) if not any(x <= k[0] and k[1] <= y for x, y, _ in blocks)]
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:

@@ -243,15 +243,36 @@ def test_vectors(spark):
 
 
 @pytest.fixture(scope="module")
-def tokenizer():
-    return Encoder.of(default_path())
+def plain():
+    """The library as it comes."""
+    from tokenizers import Tokenizer
 
+    made = Tokenizer.from_file(default_path())
+    return lambda t: made.encode(t or "", add_special_tokens=False).ids
 
-def test_tokens(tokenizer):
+
+def test_tokens(plain):
     rng = random.Random(8)
-    odd = ["", " ", "a  b", " lead", "trail ", "x\n y", "a\x1cb", "a\x85 b", "<|endoftext|>", "it's 12 ½ é", "日本 語", "\t \t", "ª º. Ⅷ,"]
-    for t in odd + ["".join(rng.choice(" \n\tab.,'é1!日s\x1f") for _ in range(25)) for _ in range(3000)]:
-        assert tokenizer.ids(t) == tokenizer.whole(t), repr(t)
+    odd = ["", " ", "a  b", " lead", "trail ", "x\n y", "a\x1cb", "a\x85 b", "<|endoftext|>", "a<|endoftext|> b", "<|endof", "text|>", "it's 12 ½ é", "日本 語", "\t \t", "ª º. Ⅷ,", "x" * 300, "né" * 40]
+    near = " \n\tab.,'é1!日s\x1f×÷  ß̀²&$\r\u3000 \x85\u1680\u180e\u200b"
+    texts = odd + ["".join(rng.choice(near) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(1, 128), rng.randrange(1, 0x400), rng.randrange(1, 0x3100), 32, 10])) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    coder, raw = Encoder(default_path()), [t.encode() for t in texts]
+    for again in range(2):  # from the library, then from the table
+        ids, at = coder.rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 0)
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == [*plain(t), 0], (again, t)
+
+
+def test_token_table_begun_anew(plain, monkeypatch):
+    from lodestream.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST", 50)
+    monkeypatch.setattr(tokens, "SLOTS", 256)
+    coder, rng = Encoder(default_path()), random.Random(5)
+    for _ in range(40):
+        t = " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 20))) for _ in range(60))
+        assert np.frombuffer(coder.ids(t), "<u4").tolist() == plain(t)
 
 
 def test_elias_fano():
@@ -263,24 +284,26 @@ def test_elias_fano():
         assert e.all().tolist() == values == [e.select(i) for i in range(n)]
 
 
-def test_token_files(spark, tokenizer):
+def test_token_files(spark, plain):
     texts = awkward(2)
-    ids = [5 * i - 20 for i in range(len(texts))]
+    ids = [5 * i - 20 for i in range(len(texts) - 3)] + [None, -(2**63), 2**63 - 1]
     random.Random(2).shuffle(ids)
     path = f"{shared_dir(spark)}/tokens-test-{random.random()}"
-    token_files.write_token_files(docs_of(spark, texts, ids), path, default_path())
+    token_files.write_token_files(docs_of(spark, texts, ids).withColumns({"key": F.lit("clash"), "body": F.lit(0), "part": F.lit(0)}), path, default_path())
     at = 0
-    got = token_files.read_token_files(spark, path).orderBy("doc_id").collect()
+    got = token_files.read_token_files(spark, path).orderBy("start").collect()
     assert len(got) == len(texts)
-    for r, (k, t) in zip(got, sorted(zip(ids, texts, strict=True), key=lambda x: x[0]), strict=True):
-        raw = np.array([*tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+    for r, (k, t) in zip(got, sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+        raw = np.array([*plain(t), 0], "<u4").tobytes()
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (k, at, len(raw) // 4, zlib.crc32(raw))
         at += len(raw) // 4
     segment = token_files.Segment(spark.read.parquet(path).first()["image"])
     assert segment.document(0)[-1] == 0
+    token_files.write_token_files(docs_of(spark, []).withColumn("key", F.lit(1)), path + "-empty", default_path())
+    assert token_files.read_token_files(spark, path + "-empty").count() == 0
 
 
-def test_packing(spark, tokenizer):
+def test_packing(spark, plain):
     texts = awkward(3) + ["w " * 5000]
     got = best_fit_packing.pack_documents(docs_of(spark, texts), default_path(), 64, with_ids=True).collect()
     per, bins = defaultdict(list), defaultdict(list)
@@ -290,7 +313,7 @@ def test_packing(spark, tokenizer):
         assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
     for k, t in enumerate(texts):
         p = sorted(per[k], key=lambda r: r["piece"])
-        assert b"".join(bytes(r["ids"]) for r in p) == tokenizer.whole(t or "") + b"\0" * 4 and all(r["length"] == 64 for r in p[1:])
+        assert b"".join(bytes(r["ids"]) for r in p) == np.array([*plain(t), 0], "<u4").tobytes() and all(r["length"] == 64 for r in p[1:])
         assert [r["start"] for r in p] == [sum(x["length"] for x in p[:i]) for i in range(len(p))]
     for b in bins.values():
         at = 0
@@ -388,6 +411,50 @@ def test_secrets(spark):
     assert got[2]["redacted"] == "é [SECRET] ü" and got[0]["redacted"] is None
 
 
+def _spans(text, kind):
+    return [text[a:b] for a, b, k in secret_scan.scan(text) if k == kind]
+
+
+def test_structures_anywhere():
+    rng = random.Random(12)
+    body = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    algorithm = der(0x30, der(0x06, b"\x2a\x86\x48") + der(0x05, b""))
+    url = lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("=")
+    for n in (40, 130, 1200, 12_269, 21_747, 300_000):
+        key = der(0x30, der(0x02, b"\0") + algorithm + der(0x04, body(n)))
+        b64 = base64.b64encode(key).decode()
+        lines = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+        block = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----"
+        assert _spans(f"ä {block} z", "pem") == [block] and not _spans(block, "der")
+        for front in ("KEY=", "KEY=Mxxx", "Mxxx", "MIIB", "abc", "M"):
+            assert _spans(f"é {front}{b64} z", "der") == [b64], front
+        assert _spans(f"x\n{lines}\nend", "der") == [lines]
+        assert _spans(f"x\r\n{lines}\r\nend".replace("\n", "\r\n").replace("\r\r", "\r"), "der") == [lines.replace("\n", "\r\n")]
+        for front in ("30", "303", "a30", "7"):
+            assert _spans(f"{front}{key.hex().upper()} z", "der") == [key.hex().upper()], front
+        assert not _spans(b64[:-8], "der") and not _spans(key.hex()[:-2], "der")
+        assert _spans(f"{b64}{b64}".replace("=", ""), "der")[:1] == [b64.replace("=", "")]
+    legacy = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + base64.b64encode(body(600)).decode() + "\n-----END RSA PRIVATE KEY-----"
+    assert _spans(f"a {legacy} b", "pem") == [legacy] and not _spans(legacy.replace(",ENCRYPTED", ""), "pem")
+    for head in ('{"alg":"HS256"}', '{ "alg": "none" }', ' {"alg":"HS256"}', '\n\t {\n"typ":"JWT","alg":"RS256"}'):
+        for payload in ('{"sub":1}', ' { "a": {} }'):
+            jwt = f"{url(head.encode())}.{url(payload.encode())}.sig-_x"
+            for front in ("", "Bearer-", "Bearer ", "x.y.", "ab_eyJ", "é"):
+                assert _spans(f"{front}{jwt}, end", "jwt") == [jwt], (front, head)
+    assert not _spans(f"{url(b'{"alg":1}')}.{url(b'{}')}.x", "jwt") and not _spans(f"{url(b'{"alg":"x"}')}.{url(b'[1]')}.x", "jwt")
+
+
+def test_scan_is_linear():
+    import time
+
+    n = 1 << 18
+    for unit in ("M", "30", "-----BEGIN A KEY-----\n", "MIIB", "e", "ew", "eyJ", "a.", "eyJh.", "{", "ICAg", "-", "AKIA", "token=", "M\n", "Proc-Type: 4,ENCRYPTED\n", "-----BEGIN A-----\n-----END B-----\n"):
+        began = time.time()
+        secret_scan.scan(unit * (n // len(unit)))
+        secret_scan.scan(unit * (n // len(unit)) + ".e30.x")
+        assert time.time() - began < 10, unit
+
+
 # ---- learnt scores
 
 
