@@ -45,27 +45,43 @@ def rules(text):
     spans = [m.span() for m in WORD.finditer(text)]
     w = [text[a:b] for a, b in spans]
 
-    def covered(n):
-        c = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-        return {k for i in range(len(w) - n + 1) if c[tuple(w[i : i + n])] > 1 for k in range(i, i + n)}
-
-    seen, dup, dup_chars = set(), 0, 0
+    def covered(n, most):
+        """Places of words in n-grams that occur more than ``most`` times up to there, or, with 0, at all in the text."""
+        c, seen, out = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)), Counter(), set()
+        for i in range(len(w) - n + 1):
+            g = tuple(w[i : i + n])
+            seen[g] += 1
+            if (seen[g] > most) if most else (c[g] > 1):
+                out |= set(range(i, i + n))
+        return out
+
+    seen, dup, dup_chars, dup_words = set(), 0, 0, 0
     for line in text.split("\n"):
         if WORD.search(line):
-            dup += line in seen
-            dup_chars += sum(map(len, WORD.findall(line))) if line in seen else 0
+            if line in seen:
+                dup, dup_chars, dup_words = dup + 1, dup_chars + sum(map(len, WORD.findall(line))), dup_words + len(WORD.findall(line))
             seen.add(line)
     chars = sum(map(len, w))
-    failed = len(w) < 50 or 100 * len(covered(3)) > 50 * len(w)
-    cover = {n: sum(len(w[k]) for k in covered(n)) for n in quality_rules.MAX_COVER}
-    over = dup_chars > quality_rules.MAX_LINES * chars or any(cover[n] > s * chars for n, s in quality_rules.MAX_COVER.items())
-    return len(w), chars, sum(c in "#*$%&|<>" for c in text), dup, len(covered(3)), failed, not (failed or over)
+    failed = len(w) < 50 or 100 * len(covered(3, 0)) > 50 * len(w)
+    over = dup_chars > 0.20 * chars and dup_words > 20
+    for n, share in ((5, 0.15), (7, 0.13), (10, 0.10)):
+        again = covered(n, 1)
+        over |= sum(len(w[k]) for k in again) > share * chars and len(again) > 20
+    return len(w), chars, sum(c in "#*$%&|<>" for c in text), dup, len(covered(3, 0)), failed, not (failed or over)
+
+
+def said(rng, n):
+    return [rng.choice("abcdefg") + str(rng.randrange(10**6)) for _ in range(n)]
 
 
 def test_quality_rules(spark):
-    texts = awkward()
+    rng, texts = random.Random(21), awkward()
+    long, short, passage = said(rng, 800), said(rng, 50), said(rng, 200)
+    twice = [" ".join([*long[:300], *passage, *long[300:500], *passage, *long[500:]]), " ".join([*short, *short[:15]]), "\n".join([" ".join(short)] + [" ".join(short[:30])] * 3), " ".join(long + long[:80]), " ".join(long + long[:90])]
+    texts += twice
     got = {r["doc_id"]: tuple(r[c] for c in (*quality_rules.COUNTS, "base_failed", "kept")) for r in quality_rules.quality_rules(docs_of(spark, texts).withColumn("kept", F.lit("clash"))).collect()}
     assert got == {i: rules(t) for i, t in enumerate(texts)}
+    assert [got[i][-1] for i in range(len(texts) - 5, len(texts))] == [False, True, False, True, False]
     assert quality_rules.quality_rules(docs_of(spark, [])).count() == 0
 
 
