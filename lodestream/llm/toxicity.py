@@ -1,26 +1,30 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, reported speech, the end
-of a clause, or nothing. Five small transducers read the symbols of a clause:
-one for each of insults and threats emits a match; one remembers a target, one
-a negation for the next words, one reported speech. Their composition is one
-transition table, built once; it emits a match with its context, and the
-weights of the contexts, learnt from labels, score the clauses of a text. So
-"not a fool" and "they called them fools" weigh differently from "you fool" if
-the labels say so. A context that the labels rarely show starts from the
-weights stated below.
+Words and marks become symbols: insult, threat, target, negation, reported
+speech, a pause (comma, colon, quote, bracket), the end of a clause, or nothing.
+Five transducers read them one after another, each the symbols that the one
+before it wrote: negation turns insults and threats within its reach into denied
+ones, up to the next pause; reported speech and target mark the end of the clause
+in which they stand, before or after the match; insult and threat add to that end
+what they saw. ``compose`` makes one machine of them. At the end of a clause it
+emits the matches with their context, and the weights of the contexts, learnt
+from labels, score the clauses of a text. So "not a fool" and "they said: you
+fool" weigh differently from "you fool" if the labels say so. A context that the
+labels rarely show starts from the weights stated below.
 
 The lexicons hold fixed words and, for insults, markers learnt from labelled
 texts: words and word beginnings that toxic texts have and others lack. Counts
 cover whole texts. Null and empty texts match nothing and get the score of such
 texts. Without labels the stated weights hold. Null labels and labels without
-a document are ignored; repeated rows are scored each for itself.
+a document are ignored; repeated rows are scored each for itself; an empty table
+gives no row; columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -40,9 +44,10 @@ TARGETS = "you your yours u they them their he him she her these those du dich d
 NEGATIONS = "not no never none n't isn't aren't don't nicht kein keine nie ne pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say told called quoted wrote claimed reported sagte sagen nannte dit disait appelé dijo dice llamó".split()
 
-NOTHING, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+NOTHING, INSULT, THREAT, TARGET, NEGATION, REPORT, PAUSE, END = range(8)
+DENIED = {INSULT: -INSULT, THREAT: -THREAT}
 #: A negation reaches so many words.
-REACH = 3
+REACH = 6
 #: Contexts of a match: insult or threat, by target, negation, report.
 CONTEXTS = [(kind, t, n, r) for kind in (INSULT, THREAT) for t, n, r in product((0, 1), repeat=3)]
 #: Log-odds that a match adds before labels are seen.
@@ -51,28 +56,82 @@ BIAS, PRIOR_ROWS = -2.0, 2.0
 #: Labelled texts that markers are learnt from at most, markers kept at most, toxic texts that must show one, its odds.
 MARKER_TEXTS, MARKERS, MARKER_LEAST, MARKER_ODDS = 50_000, 2_000, 5, 30.0
 BEGINNINGS = (4, 5, 6, 8)
-_BREAK = np.zeros(256, bool)
-_BREAK[[ord(c) for c in ".!?;:\n\""]] = True
+_BREAK, _PAUSE = np.zeros(256, bool), np.zeros(256, bool)
+_BREAK[[ord(c) for c in ".!?;\n"]] = True
+_PAUSE[[ord(c) for c in ",:\"()"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _LETTER[39] = True
 
 
-def compose() -> tuple[np.ndarray, np.ndarray]:
-    """(next state, context emitted or -1) by state and symbol, of the transducers side by side."""
-    states = list(product((0, 1), range(REACH + 1), (0, 1)))  # target seen, words a negation still reaches, reported
-    number = {s: i for i, s in enumerate(states)}
-    step, emit = np.zeros((len(states), 7), np.int64), np.full((len(states), 7), -1)
-    for (target, reach, report), symbol in product(states, range(7)):
-        at = number[target, reach, report]
-        if symbol in (INSULT, THREAT):
-            emit[at, symbol] = CONTEXTS.index((symbol, target, int(reach > 0), report))
-        to = (1 if symbol == TARGET else target, REACH if symbol == NEGATION else max(0, reach - 1), 1 if symbol == REPORT else report)
-        step[at, symbol] = 0 if symbol == END else number[to]
+@dataclass
+class Transducer:
+    """``step`` gives the next state and the symbol written, by state and symbol read; what it doesn't list leaves both alone."""
+
+    start: Hashable
+    step: dict[tuple[Hashable, Hashable], tuple[Hashable, Hashable]]
+
+    def read(self, state: Hashable, symbol: Hashable) -> tuple[Hashable, Hashable]:
+        return self.step.get((state, symbol), (state, symbol))
+
+
+def _negation() -> Transducer:
+    """The state is how many words it still reaches."""
+    step: dict = {}
+    for left in range(REACH + 1):
+        step |= {(left, s): (max(0, left - 1), DENIED.get(s, s) if left else s) for s in (NOTHING, INSULT, THREAT, TARGET, REPORT)}
+        step |= {(left, NEGATION): (REACH, NOTHING), (left, PAUSE): (0, NOTHING), (left, END): (0, END)}
+    return Transducer(0, step)
+
+
+def _marks(symbol: int, ends: list[tuple | int]) -> Transducer:
+    """Adds to the end of a clause whether the symbol stood in it."""
+    wrap = lambda e: e if isinstance(e, tuple) else (e,)
+    return Transducer(0, {(s, symbol): (1, NOTHING) for s in (0, 1)} | {(s, e): (0, (*wrap(e), s)) for s in (0, 1) for e in ends})
+
+
+def _matches(symbol: int, ends: list[tuple]) -> Transducer:
+    """Adds to the end of a clause whether the symbol stood in it: 2 yes, 1 only denied, 0 no."""
+    step = {(s, symbol): (2, NOTHING) for s in range(3)} | {(s, DENIED[symbol]): (max(1, s), NOTHING) for s in range(3)}
+    return Transducer(0, step | {(s, e): (0, (*e, s)) for s in range(3) for e in ends})
+
+
+def compose(one: Transducer, two: Transducer, alphabet: Iterable[Hashable] = range(8)) -> Transducer:
+    """The machine that reads as ``one`` does and writes what ``two`` makes of it."""
+    start = (one.start, two.start)
+    step, todo = {}, [start]
+    seen = {start}
+    while todo:
+        a, b = state = todo.pop()
+        for symbol in alphabet:
+            to_a, middle = one.read(a, symbol)
+            to_b, out = two.read(b, middle)
+            step[state, symbol] = (to_a, to_b), out
+            if (to_a, to_b) not in seen:
+                seen.add((to_a, to_b))
+                todo.append((to_a, to_b))
+    return Transducer(start, step)
+
+
+def grammar_machine() -> Transducer:
+    flags = lambda *of: [(END, *x) for x in product(*of)]
+    two, three = (0, 1), (0, 1, 2)
+    return reduce(compose, [_negation(), _marks(REPORT, [END]), _marks(TARGET, flags(two)), _matches(INSULT, flags(two, two)), _matches(THREAT, flags(two, two, three))])
+
+
+def tables(machine: Transducer) -> tuple[list[list[int]], list[list[int]]]:
+    """Next states by state and symbol; contexts emitted by state when a clause ends."""
+    number = {machine.start: 0} | {s: i + 1 for i, s in enumerate(sorted({s for s, _ in machine.step} - {machine.start}, key=str))}
+    step, emit = [[0] * 8 for _ in number], [[] for _ in number]
+    for (state, symbol), (to, out) in machine.step.items():
+        step[number[state]][symbol] = number[to]
+        if symbol == END:
+            _, report, target, insult, threat = out
+            emit[number[state]] = [CONTEXTS.index((kind, target, int(seen == 1), report)) for kind, seen in ((INSULT, insult), (THREAT, threat)) if seen]
     return step, emit
 
 
-STEP, EMIT = (x.tolist() for x in compose())
+STEP, EMIT = tables(grammar_machine())
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -87,6 +146,8 @@ class Words:
     hashes: np.ndarray
     row: np.ndarray
     clause: np.ndarray
+    pauses: np.ndarray  # places, and their clauses
+    pause_clause: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     data: np.ndarray
@@ -102,9 +163,16 @@ def read(data: np.ndarray, off: np.ndarray) -> Words:
     data = W.LOWER[data]
     capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
     data[capital] += 0x20
+    for lead, rest in (((0xE2, 0x80), range(0x9C, 0xA0)), ((0xC2,), (0xAB, 0xBB))):  # other quotes
+        at = np.flatnonzero(np.isin(data, list(rest)))
+        for k, byte in enumerate(reversed(lead), 1):
+            at = at[(at >= k) & (data[at - k] == byte)]
+        for k in range(len(lead) + 1):
+            data[at - k] = 34
     starts, ends, row = W.spans(_LETTER[data], off)
-    breaks = np.cumsum(_BREAK[data])
-    return Words(W.span_hashes(data, starts, ends), row, breaks[starts] + row if len(starts) else starts, starts, ends, data)
+    breaks, pauses = np.cumsum(_BREAK[data]), np.flatnonzero(_PAUSE[data])
+    clause = lambda at, row: breaks[at] + row if len(at) else at
+    return Words(W.span_hashes(data, starts, ends), row, clause(starts, row), pauses, clause(pauses, np.searchsorted(off, pauses, "right") - 1), starts, ends, data)
 
 
 @dataclass
@@ -130,20 +198,28 @@ class Grammar:
         return out
 
     def matches(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Counts of each context for each row."""
+        """Counts of clauses with each context for each row."""
         w = read(data, off)
         symbols = self.symbols(w)
         out = np.zeros((len(off) - 1, len(CONTEXTS)))
         hits = np.flatnonzero((symbols == INSULT) | (symbols == THREAT))
-        if len(hits):  # only clauses with a match are read word by word
-            state, last = 0, -1
-            for i in np.flatnonzero(np.isin(w.clause, w.clause[hits])).tolist():
-                if w.clause[i] != last:
-                    state, last = STEP[state][END], w.clause[i]
-                s = symbols[i]
-                if (c := EMIT[state][s]) >= 0:
-                    out[w.row[i], c] += 1
+        if not len(hits):
+            return out
+        # only clauses with a match are read symbol by symbol, each followed by its end
+        ends, first = np.unique(w.clause[hits], return_index=True)
+        at, pause = np.flatnonzero(np.isin(w.clause, ends)), np.isin(w.pause_clause, ends)
+        place = np.concatenate([w.starts[at], w.pauses[pause]])
+        order = np.argsort(place, kind="stable")
+        clause = np.concatenate([w.clause[at], w.pause_clause[pause]])[order]
+        symbol = np.concatenate([symbols[at], np.full(int(pause.sum()), PAUSE)])[order]
+        begins = np.searchsorted(clause, ends)
+        symbol = symbol.tolist()
+        for row, i, j in zip(w.row[hits[first]].tolist(), begins.tolist(), [*begins[1:].tolist(), len(symbol)], strict=True):
+            state = 0
+            for s in symbol[i:j]:
                 state = STEP[state][s]
+            for c in EMIT[state]:
+                out[row, c] += 1
         return out
 
 
