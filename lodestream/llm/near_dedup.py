@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import words as W
 from lodestream.llm.components import components
-from lodestream.llm.store import stored
+from lodestream.llm.store import fresh, stored
 
 SHINGLE = 5
 THRESHOLD = 75  # per hundred
@@ -280,10 +280,11 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, rows alike in key and text once; rows that share a key with a kept one stay if their text differs."""
-    heads = stored(near_dedup(docs, key, text).filter("kept").select(F.col(key).alias("_head")).distinct(), "kept")
-    rows = docs.join(heads.hint("merge"), F.col(key).eqNullSafe(F.col("_head")), "left_semi")
+    head, copy = fresh(docs, "head", "copy")
+    heads = stored(near_dedup(docs, key, text).filter("kept").select(F.col(key).alias(head)).distinct(), "kept")
+    rows = docs.join(heads.hint("merge"), F.col(key).eqNullSafe(F.col(head)), "left_semi")
     first = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(0))
-    return rows.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").drop("_copy")
+    return rows.withColumn(copy, F.row_number().over(first)).filter(F.col(copy) == 1).drop(copy)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

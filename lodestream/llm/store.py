@@ -17,6 +17,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns that no column of ``df`` has, by Spark's reckoning without case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

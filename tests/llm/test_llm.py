@@ -382,7 +382,7 @@ def test_mixing(spark):
     for r in got:
         assert r["source_size"] == size[r["source"]] and math.isclose(r["target"], target[r["source"]], rel_tol=1e-9) and 0 <= r["copies"] <= 2
         taken[r["source"]] += r["copies"] * r["size"]
-    assert all(abs(taken[s] - target[s]) <= 5 for s in size)
+    assert all(abs(taken[s] - target[s]) <= 2 for s in size)
     again = source_mixing.mix_sources(df.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     rows = source_mixing.mixed(df).groupBy("doc_id").count().collect()
@@ -390,6 +390,34 @@ def test_mixing(spark):
     assert source_mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_of_very_unequal_sizes(spark):
+    rng = random.Random(17)
+    rows = [(i, "w " * (9_000 if i < 7 else int(min(2_000, rng.paretovariate(0.9) * 60))), f"s{i % 7}") for i in range(700)]
+    got = source_mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    target, taken = {r["source"]: r["target"] for r in got}, Counter()
+    for r in got:
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert max(r["size"] for r in got) == 9_000 and all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
+    # one source with documents of one size: half a document is as near as it gets
+    got = source_mixing.mix_sources(spark.createDataFrame([(i, "w " * 1000, "s" if i else "t") for i in range(40)], "doc_id long, text string, source string")).collect()
+    assert abs(sum(r["copies"] * r["size"] for r in got if r["source"] == "s") - next(r["target"] for r in got if r["source"] == "s")) <= 500
+
+
+def test_mixing_is_fair(spark):
+    """Over many sources, a document is taken as often as its fraction says, whatever its size."""
+    sizes = [400, 350, 300, 300, 200, 200, 100, 100, 50, 50, 20, 10, 10, 5, 2, 1]
+    rows = [(s * 16 + k, "w " * n, f"s{s:03}") for s in range(300) for k, n in enumerate(sizes)]
+    got = source_mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,)).collect()
+    extra = [np.mean([r["copies"] - 1 for r in got if r["doc_id"] % 16 == k]) for k in range(16)]
+    assert all(abs(x - 0.5) < 0.1 for x in extra[:12]), extra  # the smallest even out the rest
+
+
+def test_mixed_keeps_clashing_columns(spark):
+    df = docs_of(spark, ["a b", "c", "d e f", None]).withColumns({n: F.lit(n) for n in ("copies", "copy", "_copy", "key", "from", "words", "size", "target")})
+    out = source_mixing.mixed(df)
+    assert out.columns == df.columns and all(r["copies"] == "copies" and r["_copy"] == "_copy" for r in out.collect())
+
+
 # ---- secrets
 
 
@@ -511,17 +539,48 @@ def test_isotonic():
     assert (np.diff(at) > 0).all() and (np.diff(rate) > 0).all() and len(at) == 3
 
 
-def test_grammar(spark):
+def contexts(texts):
     g = toxicity.Grammar(np.zeros(0, np.uint64), {})
-    texts = ["You are an idiot", "he is not an idiot", "they said you idiot", "fine words. Idiot", "", "I will kill you"]
-    data = "".join(texts).encode()
-    x = g.matches(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t) for t in texts)]))
-    hit = [[toxicity.CONTEXTS[k] for k in np.flatnonzero(r)] for r in x]
+    data = [t.encode() for t in texts]
+    x = g.matches(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    return [Counter({toxicity.CONTEXTS[k]: int(r[k]) for k in np.flatnonzero(r)}) for r in x]
+
+
+def read_clauses(text):
+    """The grammar again, clause by clause and word by word."""
+    words = {w: k for k, held in ((toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.REPORT, toxicity.REPORTS), (toxicity.TARGET, toxicity.TARGETS), (toxicity.THREAT, toxicity.THREATS), (toxicity.INSULT, toxicity.INSULTS)) for w in held}
+    out = Counter()
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        seen, since = defaultdict(list), 99
+        for token in re.findall(r"[a-z'\u0080-\uffff]+|[,:\"()]", re.sub("[“”„‟«»]", '"', clause)):
+            if token in ',:"()':
+                since = 99
+                continue
+            kind = words.get(token)
+            seen[kind].append(since < toxicity.REACH)
+            since = 0 if kind == toxicity.NEGATION else since + 1
+        for kind in (toxicity.INSULT, toxicity.THREAT):
+            if seen[kind]:
+                out[kind, int(bool(seen[toxicity.TARGET])), int(all(seen[kind])), int(bool(seen[toxicity.REPORT]))] += 1
+    return out
+
+
+def test_grammar(spark):
     i, t = toxicity.INSULT, toxicity.THREAT
-    assert hit == [[(i, 1, 0, 0)], [(i, 1, 1, 0)], [(i, 1, 0, 1)], [(i, 0, 0, 0)], [], [(t, 0, 0, 0)]]
+    says = {
+        "You are an idiot": [(i, 1, 0, 0)], "he is not an idiot": [(i, 1, 1, 0)], "they said you idiot": [(i, 1, 0, 1)], "fine words. Idiot": [(i, 0, 0, 0)], "": [], "I will kill you": [(t, 1, 0, 0)],
+        "idiot, you are": [(i, 1, 0, 0)], 'They said: "you idiot"': [(i, 1, 0, 1)], "do not say you are an idiot": [(i, 1, 1, 1)], "“you idiot”, they wrote": [(i, 1, 0, 1)], "no, you idiot": [(i, 1, 0, 0)],
+        "never a fool. what a fool": [(i, 0, 1, 0), (i, 0, 0, 0)], "you idiot, I will beat you": [(i, 1, 0, 0), (t, 1, 0, 0)], "not a fool, a moron": [(i, 0, 0, 0)], "we don't destroy them": [(t, 1, 1, 0)],
+    }
+    assert contexts(list(says)) == [Counter(v) for v in says.values()]
+    rng = random.Random(13)
+    pick = [*(w for held in (toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS) for w in held[:4]), *"a b c d the über né".split()]
+    texts = ["".join(rng.choice(pick) + rng.choice([" ", " ", " ", ", ", ". ", '"', ": ", "“", "\n", " (", "! "]) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    assert contexts(texts) == [read_clauses(t) for t in texts]
     none = spark.createDataFrame([], "doc_id long, label int")
-    s = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs_of(spark, [*texts, None]), none).collect()}
-    assert s[0] > s[1] and s[0] > s[2] and s[4] == s[6] < s[3]
+    docs = docs_of(spark, [*says, None]).withColumns({"label": F.lit("clash"), "x": F.lit(0), "least": F.lit(0)})
+    s = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, none).collect()}
+    assert s[0] > s[1] and s[0] > s[2] and s[4] == s[len(says)] < s[3]
     assert toxicity.score_toxicity(docs_of(spark, []), none).count() == 0
 
 
