@@ -82,3 +82,13 @@ def normal_category(label: Column | str, allowed: list[str] | None = None, catch
 
 def is_event(info_type: Column | str) -> Column:
     return ~any_in(F.lower(F.coalesce(_c(info_type), F.lit(""))), C.OPINION_TERMS)
+
+
+def score_or(*choices: Column | str) -> Column:
+    """The first score that is there, else 0."""
+    return F.coalesce(*(_c(c) for c in choices), F.lit(0.0))
+
+
+def target_for(kind: Column | str, targets: dict[str, int], default: int) -> Column:
+    """How many topics a kind of report has."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in targets.items() for x in pair)), _c(kind)), F.lit(default))

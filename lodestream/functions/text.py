@@ -109,3 +109,55 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
 def any_in(c: Column, terms: list[str]) -> Column:
     """Any term is a substring."""
     return F.exists(F.array(*(F.lit(t.lower()) for t in terms)), lambda t: F.contains(c, t)) if terms else F.lit(False)
+
+
+def as_object(c: Column | str) -> Column:
+    """JSON text of an object; anything else becomes the note of one."""
+    parsed = F.try_parse_json(_c(c))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
+    return F.when(is_object, F.to_json(parsed)).otherwise(F.to_json(F.struct(_c(c).alias("note"))))
+
+
+TERM = "struct<term:string,abbr:string,zh:string,aliases:array<string>>"
+
+
+def standard_terms(c: Column | str, most: int = 10) -> Column:
+    """JSON array text of names or of objects to at most so many terms with a name."""
+    named = F.from_json(_c(c), f"array<{TERM}>")
+    plain = F.transform(F.from_json(_c(c), "array<string>"), lambda t: F.named_struct(F.lit("term"), t, F.lit("abbr"), F.lit(None).cast("string"), F.lit("zh"), F.lit(None).cast("string"), F.lit("aliases"), F.lit(None).cast("array<string>")))
+    both = F.when(F.exists(named, lambda t: t["term"].isNotNull()), named).otherwise(plain)
+    trimmed = F.transform(both, lambda t: t.withField("term", F.trim(t["term"])).withField("aliases", F.coalesce(t["aliases"], F.array().cast("array<string>"))))
+    return F.slice(F.filter(trimmed, lambda t: F.coalesce(t["term"], F.lit("")) != ""), 1, most)
+
+
+def aliased(c: Column | str, names: dict[str, str]) -> Column:
+    """The name that stands for a label, else the label."""
+    held = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.try_element_at(held, _c(c)), _c(c))
+
+
+def bullets(entries: Column | str) -> Column:
+    """A map of texts as lines of label and value."""
+    return F.array_join(F.transform(F.map_entries(_c(entries)), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\n")
+
+
+def first_text(*texts: Column | str) -> Column:
+    """The first text that isn't empty, else the empty one."""
+    return F.coalesce(*(F.nullif(_c(t), F.lit("")) for t in texts), F.lit(""))
+
+
+def file_name(url: Column | str, title: Column | str, end: str = ".md") -> Column:
+    """16 characters of the URL's digest and 30 of the title, other characters than letters and digits as one underscore."""
+    return F.concat(F.substring(digest(url), 1, 16), F.lit("_"), F.substring(F.regexp_replace(_c(title), "[^0-9A-Za-z]+", "_"), 1, 30), F.lit(end))
+
+
+def tag_map(tags: dict[str, Column | str], lists: dict[str, Column | str]) -> Column:
+    """A document's tags: fixed keys with one value, null as empty, and lists joined by commas."""
+    pairs = [(k, F.coalesce(_c(v).cast("string"), F.lit(""))) for k, v in tags.items()] + [(k, F.array_join(F.coalesce(_c(v), F.array().cast("array<string>")), ",")) for k, v in lists.items()]
+    return F.create_map(*(x for k, v in pairs for x in (F.lit(k), v)))
+
+
+def batch_number(c: Column | str) -> Column:
+    """number, kind (the prefix that names it, or empty) and valid."""
+    n = F.regexp_replace(_c(c), r"\.json$", "")
+    return F.struct(n.alias("number"), F.regexp_extract(n, "^(COL|IMP|RERUN|VAL)-", 1).alias("kind"), n.rlike(r"^[A-Za-z0-9._-]+$").alias("valid"))

@@ -30,3 +30,16 @@ def free_time(text: Column | str, reference: Column | str) -> Column:
     day = lambda p: F.concat_ws("-", part(p, 1), part(p, 2), part(p, 3))
     out = out.when(raw.rlike(DATE_TIME), F.concat(day(DATE_TIME), F.lit(" "), part(DATE_TIME, 4), F.lit(":"), part(DATE_TIME, 5), F.lit(":00")).try_cast("timestamp_ntz"))
     return out.when(raw.rlike(DATE), day(DATE).try_cast("timestamp_ntz"))
+
+
+def wall_time(c: Column | str) -> Column:
+    """An ISO time's wall clock: the zone is dropped, not converted. A date alone is midnight; null where there is neither."""
+    raw = F.trim(_c(c))
+    whole = F.regexp_replace(raw, r"(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
+    return F.coalesce(whole, F.regexp_extract(raw, r"^\d{4}-\d{2}-\d{2}", 0).try_cast("timestamp_ntz"))
+
+
+def date_range(start: Column, end: Column, days: Column) -> Column:
+    """range_start (``days`` before the end where not given), range_end and outcome."""
+    begin = F.coalesce(start, end - F.make_dt_interval(days))
+    return F.struct(begin.alias("range_start"), end.alias("range_end"), F.when(begin > end, "invalid_range").otherwise("ok").alias("outcome"))

@@ -5,18 +5,19 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestream import config as C
 from lodestream.functions import scores, text
+from lodestream.operators.star import numbered_within
 
 
 def build_requests(df: DataFrame, group: str, order: str, fields: list[str], size: int = 20) -> DataFrame:
-    """Groups of ``size`` rows of a group in order, as one JSON array with an index within the batch."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    rows = df.withColumn("batch_no", F.floor(n / size).cast("int")).withColumn("item_index", (n % size).cast("int"))
+    """Groups of ``size`` rows of a group in order, as one JSON array with an index within the batch. A group of any size is numbered by many tasks."""
+    n = F.col("_at") - 1
+    rows = numbered_within(df.select(group, *dict.fromkeys([order, *fields])), group, [F.col(order)], "_at").withColumn("batch_no", F.floor(n / size).cast("int")).withColumn("item_index", (n % size).cast("int"))
     items = F.array_sort(F.collect_list(F.struct("item_index", *fields)))
     return rows.groupBy(group, "batch_no").agg(F.to_json(items).alias("payload"), F.count(F.lit(1)).alias("n"))
 

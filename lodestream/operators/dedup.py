@@ -41,12 +41,13 @@ def dedup_title(df: DataFrame, source: str, title: str, order: list[Column]) ->
     """The best of each source and normalised title; rows with an empty key never collapse."""
     keyed = df.withColumn("_key", title_key(title))
     w = Window.partitionBy(source, "_key").orderBy(*order)
-    return keyed.withColumn("_n", F.when(F.col("_key") != "", F.row_number().over(w)).otherwise(1)).filter("_n = 1").drop("_key", "_n")
+    first = keyed.filter("_key <> ''").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return first.unionByName(keyed.filter("coalesce(_key, '') = ''")).drop("_key")
 
 
-def keep_latest(df: DataFrame, key: str, ts: str) -> DataFrame:
+def keep_latest(df: DataFrame, key: str | list[str], ts: str) -> DataFrame:
     """The latest time of each key, null lowest."""
-    return df.groupBy(key).agg(F.max(ts).alias(ts))
+    return df.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max(ts).alias(ts))
 
 
 def ordered_union(first: DataFrame, second: DataFrame, key: str, order: str, most: int) -> DataFrame:

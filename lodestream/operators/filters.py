@@ -62,10 +62,10 @@ def match_source(df: DataFrame, url: str, sources: DataFrame) -> DataFrame:
 
 def robots_filter(df: DataFrame, url: str, rules: DataFrame) -> DataFrame:
     """Drops rows whose first matching rule (origin, rule_no, allow, path_prefix) disallows them; no rule allows."""
-    keyed = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("origin", urls.origin(url)).withColumn("_path", urls.path(url))
-    hits = keyed.select("_row", "origin", "_path").join(small(rules), "origin").filter(F.startswith("_path", "path_prefix"))
-    verdict = hits.groupBy("_row").agg(F.min_by("allow", "rule_no").alias("allow")).filter(~F.col("allow"))
-    return keyed.join(verdict.hint("merge"), "_row", "left_anti").drop("_row", "origin", "_path")
+    each = df.select(F.col(url).alias("_url"), urls.origin(url).alias("origin"), urls.path(url).alias("_path")).distinct()
+    hits = each.join(small(rules), "origin").filter(F.startswith("_path", "path_prefix"))
+    verdict = hits.groupBy("_url").agg(F.min_by("allow", "rule_no").alias("allow")).filter(~F.col("allow"))
+    return df.join(verdict.hint("merge"), F.col(url) == F.col("_url"), "left_anti")
 
 
 def page_flags(df: DataFrame, text: str, markers: list[str], shells: list[str], least: int) -> DataFrame:
@@ -101,3 +101,22 @@ def map_select(c: Column, keys: list[str]) -> Column:
 def content_type_ok(c: Column, allowed: list[str]) -> Column:
     kind = F.lower(F.trim(F.split_part(F.coalesce(c, F.lit("")), F.lit(";"), F.lit(1))))
     return (kind == "") | kind.isin(*allowed)
+
+
+def needs_routing(explicit: Column, *lists: Column) -> Column:
+    """A source's flag where it is set; else whether any of its keyword lists has entries."""
+    some = F.lit(False)
+    for held in lists:
+        some = some | F.coalesce(F.size(held) > 0, F.lit(False))
+    return F.coalesce(explicit, some)
+
+
+def import_rows(df: DataFrame, kind: str, tags: dict[str, Column] | None = None) -> DataFrame:
+    """Rows of a stage as the import takes them: digests, no null text, and lists only."""
+    from lodestream.functions.text import digest
+
+    empty = F.array().cast("array<string>")
+    lists = {name: F.coalesce(c, empty) for name, c in (tags or {}).items()}
+    if kind == "article":
+        return df.withColumns({"url_hash": digest("url"), "raw_summary": F.coalesce("summary", F.lit("")), **lists}).select("ingest_seq", "url_hash", "title", "raw_summary", *lists)
+    return df.withColumns({"url_hash": digest("url"), **lists})

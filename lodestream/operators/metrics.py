@@ -65,3 +65,46 @@ def batch_status(outcomes: DataFrame, batch: str, ok: Column, error: Column, mos
 
 def explode_counts(df: DataFrame, arr: str, name: str) -> DataFrame:
     return df.select(F.explode(arr).alias(name)).groupBy(name).count()
+
+
+def pool_counts(df: DataFrame, source: str, limit: int, initial: int) -> DataFrame:
+    """As pool_stats, for pools that rank every row: counts tell it, without ranks."""
+    n = F.col("discovered")
+    kept = lambda most: F.least(n, F.lit(most))
+    return df.groupBy(source).agg(F.count(F.lit(1)).alias("discovered")).select(source, "discovered", kept(limit).alias("candidates"), (n > limit).alias("cap_hit"), kept(initial).alias("initial"), F.greatest(kept(limit) - initial, F.lit(0)).alias("deferred"))
+
+
+def run_summary(runs: DataFrame, status: str, source: str, n: str, enough: int) -> DataFrame:
+    """Of each status: sources, articles, runs with enough of them."""
+    return runs.groupBy(status).agg(F.countDistinct(source).alias("sources"), F.sum(n).alias("articles"), F.count_if(F.col(n) >= enough).alias("with_content"))
+
+
+def probe_summary(probes: DataFrame, source: str, reachable: Column, said: str) -> DataFrame:
+    """Of each source: probes, how many reached it, and what the others said."""
+    bad = F.array_join(F.array_sort(F.collect_set(F.when(~reachable, F.col(said)))), ",")
+    return probes.groupBy(source).agg(F.count(F.lit(1)).alias("probes"), F.count_if(reachable).alias("reachable"), F.nullif(bad, F.lit("")).alias("bad"))
+
+
+def corroborated(df: DataFrame, topic: str, source: str, least: int) -> DataFrame:
+    """Topics that at least so many sources carry, with their number and names in order."""
+    names = F.array_sort(F.collect_set(source))
+    return df.groupBy(topic).agg(names.alias("s")).filter(F.size("s") >= least).select(topic, F.size("s").cast("long").alias("n"), F.array_join("s", ",").alias("sources"))
+
+
+def share(df: DataFrame, group: str, inside: Column) -> DataFrame:
+    """The share of rows inside, four decimals; 0 where there is none to tell."""
+    return df.groupBy(group).agg(F.coalesce(F.round(F.avg(inside.cast("int")), 4), F.lit(0.0)).alias("share"))
+
+
+def reason_counts(df: DataFrame, reason: str, fine: str = "success") -> DataFrame:
+    return df.filter(F.col(reason) != fine).groupBy(reason).count()
+
+
+def operation_metrics(df: DataFrame, batch: str, scored: Column, chosen: Column, category: str) -> DataFrame:
+    """Of each batch: rows collected, scored and chosen, and categories."""
+    return df.groupBy(batch).agg(F.count(F.lit(1)).alias("l1"), F.count_if(scored).alias("l2"), F.count_if(chosen).alias("l3"), F.countDistinct(category).alias("categories"))
+
+
+def never_less(df: DataFrame, group: str, stored: Column, name: str = "n") -> DataFrame:
+    """A count that a later import can't shrink: the stored one, or the rows there are."""
+    return df.groupBy(group).agg(F.greatest(F.max(stored), F.count(F.lit(1))).alias(name))

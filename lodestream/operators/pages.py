@@ -11,11 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream import config as C
 from lodestream.functions import urls
+from lodestream.operators.filters import title_ok
 
 SKIPPED = {"script", "style", "nav", "footer", "header", "noscript"}
 VOID = {"br", "img", "meta", "link", "input", "hr", "source", "area", "base", "col", "embed", "wbr"}
-MAIN_NAMES = ("content", "article", "post", "main", "entry")
+# Where the main content of a page is looked for, in this order; what is never part of it.
+MAIN = [("tag", "article"), ("tag", "main"), ("role", "main"), ("class", "post-content"), ("class", "article-content"), ("class", "main-content"), ("id", "content")]
+JUNK_TAGS = {"aside", "iframe", "form"}
+JUNK_CLASSES = {"share", "shares", "comment", "comments", "related", "recommend", "advert", "ad", "ads", "breadcrumb", "pagination"}
 
 
 class _Reader(HTMLParser):
@@ -23,7 +28,8 @@ class _Reader(HTMLParser):
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.open, self.text, self.main = base, [], [], []
+        self.base, self.open, self.text = base, [], []
+        self.found: dict[int, list[str]] = {}  # text of the first element of each place of the main content
         self.title, self.heading, self.meta, self.links, self.feeds, self.time = "", "", {}, [], [], ""
         self.anchor: list | None = None
 
@@ -33,7 +39,7 @@ class _Reader(HTMLParser):
             name = (a.get("property") or a.get("name") or "").lower()
             if name and name not in self.meta:
                 self.meta[name] = a.get("content", "")
-        elif tag == "link" and "alternate" in a.get("rel", "").lower() and ("rss" in a.get("type", "") or "atom" in a.get("type", "")):
+        elif tag == "link" and a.get("href") and "alternate" in a.get("rel", "").lower() and any(kind in a.get("type", "").lower() for kind in ("rss", "atom", "xml")):
             self.feeds.append(urljoin(self.base, a.get("href", "")))
         elif tag == "a" and a.get("href"):
             self.anchor = [a["href"].strip(), []]
@@ -42,8 +48,11 @@ class _Reader(HTMLParser):
         elif tag == "time" and not self.time:
             self.time = a.get("datetime", "")
         if tag not in VOID:
-            mark = tag in ("article", "main") or a.get("role") == "main" or any(n in (a.get("class", "") + " " + a.get("id", "")).lower().split() for n in MAIN_NAMES)
-            self.open.append((tag, mark))
+            classes = set(a.get("class", "").lower().split())
+            have = {"tag": {tag}, "role": {a.get("role", "")}, "class": classes, "id": {a.get("id", "")}}
+            marks = [i for i, (where, name) in enumerate(MAIN) if name in have[where] and i not in self.found]
+            self.found |= {i: [] for i in marks}
+            self.open.append((tag, marks, tag in JUNK_TAGS or bool(classes & JUNK_CLASSES)))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a" and self.anchor:
@@ -55,7 +64,7 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        tags = {t for t, _ in self.open}
+        tags = {t for t, _, _ in self.open}
         if self.open and self.open[-1][0] == "title":
             self.title += data
         elif not tags & SKIPPED:
@@ -63,12 +72,20 @@ class _Reader(HTMLParser):
                 self.heading += data
             if data.strip():
                 self.text.append(data.strip())
-                if any(m for _, m in self.open):
-                    self.main.append(data.strip())
+                if not any(junk for _, _, junk in self.open):
+                    for _, marks, _ in self.open:
+                        for i in marks:
+                            self.found[i].append(data.strip())
         if self.anchor is not None:
             self.anchor[1].append(data)
 
 
+    def main(self) -> str:
+        """Text of the first place that the page has, without junk; else of the whole page."""
+        held = self.found[min(self.found)] if self.found else self.text
+        return "\n".join(held)
+
+
 def read_page(html: str | None, base: str | None) -> _Reader:
     r = _Reader(base or "")
     r.feed(html or "")
@@ -96,19 +113,30 @@ def parse_pages(pages: DataFrame, key: str, html: str = "html", url: str = "url"
                         links.append((urljoin(u or "", href), title, i))
                     except ValueError:
                         continue
-                rows.append((k, body, "\n".join(r.main) or body, (m.get("og:title") or r.heading or r.title).strip(), m.get("author") or m.get("article:author"), m.get("article:published_time") or r.time or None, (m.get("description") or m.get("og:description") or body)[:1000], links, r.feeds))
+                rows.append((k, body, r.main() or body, (m.get("og:title") or r.heading or r.title).strip(), m.get("author") or m.get("article:author"), m.get("article:published_time") or r.time or None, (m.get("description") or m.get("og:description") or body)[:1000], links, r.feeds))
             yield pd.DataFrame(rows, columns=[key, "text", "main", "title", "author", "published", "summary", "links", "feeds"])
 
     return pages.select(key, html, url).mapInPandas(each, f"{key} {kind}, {FIELDS}")
 
 
-def extract_links(parsed: DataFrame, key: str) -> DataFrame:
-    """Article links of each page, the first of each URL."""
+def extract_links(parsed: DataFrame, key: str, include: Column | None = None, exclude: Column | None = None) -> DataFrame:
+    """Links of each page with an article's URL and title, the first of each URL."""
+    none = F.lit(None).cast("array<string>")
     flat = parsed.select(key, F.inline("links")).withColumn("url", urls.strip_fragment("url"))
-    ok = flat.filter(urls.article_url_ok("url"))
+    ok = flat.filter(urls.article_url_ok("url") & title_ok(F.col("title"), C.BLOCKED_TITLES, none if include is None else include, none if exclude is None else exclude))
     return ok.groupBy(key, "url").agg(F.min(F.struct("position", "title")).alias("_f")).select(key, "url", "_f.title", "_f.position")
 
 
+def feed_links(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
+    """(key, kind, feed): the feed that a page holds itself, from where it begins; else the feeds that it links to."""
+    places = [F.locate(mark, F.lower(html)) for mark in ("<?xml", "<rss", "<feed")]
+    at = F.array_min(F.filter(F.array(*places), lambda i: i > 0))
+    starts = pages.withColumn("_at", at)
+    held = starts.filter("_at > 0").select(key, F.lit("embedded").alias("kind"), F.expr(f"substring(`{html}`, _at)").alias("feed"))
+    linked = parse_pages(starts.filter("coalesce(_at, 0) = 0"), key, html, url).select(key, F.lit("link").alias("kind"), F.explode(F.array_distinct("feeds")).alias("feed"))
+    return held.unionByName(linked)
+
+
 def expand_links(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(node, depth) reached breadth-first from ``seeds`` over ``edges`` (src, dst). Each round joins the frontier, and takes away what was seen."""
     from lodestream.sources.store import written

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators.filters import small
+from lodestream.sources.store import written
+
 #: Vectors compared in one block.
 QUERY_BLOCK, ITEM_BLOCK = 1024, 4096
 K1, B = 1.2, 0.75
@@ -88,7 +91,10 @@ def bm25(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     lengths = items.select("item_id", F.size("terms").alias("n"))
     total = lengths.agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    posts = items.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).groupBy("item_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = written(asked.select("term").distinct(), "terms")
+    # only terms that some query has are counted; a term that most items have is summed within each task first
+    posts = items.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(small(wanted), "term", "left_semi").groupBy("item_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    posts = written(posts, "postings")
     found = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rows = asked.join(posts.hint("merge"), "term").join(found.hint("merge"), "term").join(F.broadcast(total))  # one row
     idf = F.log1p((F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -105,8 +111,29 @@ def fuse(lists: list[DataFrame], k: int, c: int = 60) -> DataFrame:
     return ranked(out.groupBy("query_id", "item_id").agg(F.round(F.sum("score"), 12).alias("score")), k)
 
 
-def shape_results(results: DataFrame, title: str, answer: str) -> DataFrame:
-    """No hit: a notice; hits without an answer: the list of sources."""
-    hits = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce(title, F.lit("untitled")).alias("title")))).alias("h"), F.max(answer).alias("a"))
+def shape_results(results: DataFrame, title: str, answer: str, most: int = 20) -> DataFrame:
+    """No hit: a notice; hits without an answer: the list of the first ``most`` sources."""
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rank").asc_nulls_last()))
+    said = results.groupBy("query_id").agg(F.max(answer).alias("a"))
+    results = results.select("query_id", "rank", title).withColumn("_n", best).filter(F.col("_n") <= most).drop("_n")
+    hits = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce(title, F.lit("untitled")).alias("title")))).alias("h")).join(said.hint("merge"), "query_id")
     names = F.array_join(F.transform(F.filter("h", lambda x: x["rank"].isNotNull()), lambda x: x["title"]), "; ")
     return hits.select("query_id", F.when(F.coalesce("a", F.lit("")) != "", F.col("a")).when(names == "", "no result").otherwise(F.concat(F.lit("sources: "), names)).alias("shown"))
+
+
+@F.udtf(returnType="chunk_no: int, chunk: string")
+class TextChunks:
+    """Table function: the chunks of one text, as ``chunk`` cuts them, for use in SQL once registered."""
+
+    def eval(self, text: str, size: int = 2000):
+        parts = [p.strip(" ") for p in (text or "").split("\n\n")]
+        slices = [p[i : i + size] for p in parts for i in range(0, len(p), size)]
+        number, held = 0, ""
+        for s in slices:
+            if held and len(held) + 2 + len(s) > size:
+                yield number, held
+                number, held = number + 1, s
+            else:
+                held = f"{held}\n\n{s}" if held else s
+        if held:
+            yield number, held

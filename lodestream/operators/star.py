@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.functions import scores
+from lodestream.operators.dedup import dedup_first
 from lodestream.operators.filters import small
+from lodestream.sources.store import written
 
 
 def with_source(df: DataFrame, sources: DataFrame, key: str = "source_code") -> DataFrame:
@@ -74,11 +77,12 @@ def attach_responses(requests: DataFrame, responses: DataFrame, keys: list[str])
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     """A global row number without a single-task window: range partitions, numbers within, offsets from counts.
 
-    The sort key must be total. ``df`` is read twice; store it first where that costs.
+    The rows are written once with the number of their range, as ranges that are
+    dealt anew may differ. The sort key must be total. Nulls sort as ``order``
+    says; an empty table gives no row.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = placed.groupBy("_part").count()
     # one row for each partition
     offsets = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -86,5 +90,75 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     return placed.withColumn("_within", within).join(small(offsets), "_part").withColumn(name, F.col("_within") + F.col("_before")).drop("_part", "_within", "_before")
 
 
+def numbered_within(df: DataFrame, group: str, order: list[Column], name: str = "n") -> DataFrame:
+    """Row numbers from 1 within each group, as ``numbered`` gives them: a group of any size is dealt to many tasks."""
+    rows = written(numbered(df, [F.col(group), *order], "_n"), "numbered")
+    first = rows.groupBy(F.col(group).alias("_g")).agg(F.min("_n").alias("_first"))
+    return rows.join(first.hint("merge"), F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_n") - F.col("_first") + 1).drop("_n", "_g", "_first")
+
+
+def batch_report(articles: DataFrame, analyses: DataFrame, batch: DataFrame, least: float = 6.0) -> DataFrame:
+    """Rows of a report: successful analyses of the batch with their article, the score with its fallback, a yes or no for deep ones that score enough."""
+    rows = analyses.filter("status = 'success'").join(small(batch.select("batch_id")), "batch_id").join(articles.select("article_id", "title"), "article_id")
+    score = scores.score_or("rank", "trend")
+    return rows.select("article_id", "title", "category", score.alias("score"), F.when((score >= least) & F.col("deep"), "是").otherwise("否").alias("selected"))
+
+
+def briefing_candidates(relations: DataFrame, batches: DataFrame, articles: DataFrame, analyses: DataFrame, sources: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Selected relations with batch, article, analysis and source, the batch's time within the range. Columns of all five stay."""
+    inside = batches.filter(F.col("batch_time").between(start, end))
+    rows = relations.filter("selected").join(inside, "batch_id").join(articles, "article_id")
+    return rows.join(analyses, "analysis_id").join(sources, "source_id")
+
+
+def link_selected(relations: DataFrame, insights: DataFrame, keys: list[str]) -> DataFrame:
+    """Relations with ``selected``: an insight of the same keys exists."""
+    marks = insights.select(*keys).distinct().withColumn("_has", F.lit(True))
+    return relations.join(marks, keys, "left").withColumn("selected", F.coalesce("_has", F.lit(False))).drop("_has")
+
+
+def upsert_links(old: DataFrame, new: DataFrame, keys: list[str], counts: list[str] = ()) -> DataFrame:
+    """New links take the place of old ones with the same keys; the columns in ``counts`` never shrink."""
+    rest = [c for c in old.columns if c not in keys]
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_new", F.lit(1)))
+    newest = [F.max_by(c, "_new").alias(c) if c not in counts else F.max(c).alias(c) for c in rest]
+    return both.groupBy(*keys).agg(*newest).select(*old.columns)
+
+
+def import_batch(star: dict[str, DataFrame], payload: dict[str, DataFrame], batch_no: str) -> dict[str, DataFrame]:
+    """One delivery into the star: articles, analyses, insights, links and the batch's row. A batch that succeeded before changes nothing.
+
+    ``star``: articles (url_hash, article_id, author, publish_time, crawl_time, title), analyses and insights (batch_no,
+    article_id, ...), links (batch_no, article_id, analysed, selected), batches (batch_no, status, article_count,
+    success_count, failed_count). ``payload``: articles without article_id, analyses and insights with url_hash in its place.
+    Rows whose article is unknown are failures, counted in the batch. An article_id is the hash of its url_hash.
+    """
+    if star["batches"].filter((F.col("batch_no") == batch_no) & (F.col("status") == "success")).take(1):
+        return star
+    incoming = payload["articles"].withColumn("article_id", F.xxhash64("url_hash")).select(*star["articles"].columns)
+    incoming = dedup_first(incoming, "url_hash", [F.xxhash64(*incoming.columns)])
+    outcome = written(upsert(star["articles"], incoming, "url_hash", ["publish_time", "crawl_time", "author"], ["author"]), "articles")
+    articles = outcome.select(*star["articles"].columns)
+    made, failed = {}, []
+    for name in ("analyses", "insights"):
+        linked, lost = link_by_hash(payload[name].withColumn("batch_no", F.lit(batch_no)), articles.select("url_hash", "article_id"))
+        linked = linked.select(*star[name].columns)
+        made[name] = dedup_first(linked, ["batch_no", "article_id"], [F.xxhash64(*linked.columns)])
+        failed.append(lost.select("url_hash"))
+    seen = outcome.filter("outcome <> 'unchanged'").select("article_id")
+    marks = seen.select(F.lit(batch_no).alias("batch_no"), "article_id").join(made["analyses"].select("article_id", F.lit(True).alias("analysed")), "article_id", "left").withColumn("analysed", F.coalesce("analysed", F.lit(False)))
+    links = link_selected(marks, made["insights"], ["article_id"]).select(*star["links"].columns)
+    n = seen.agg(F.count(F.lit(1)).alias("article_count")).join(made["analyses"].agg(F.count(F.lit(1)).alias("success_count")).hint("broadcast")).join(failed[0].unionByName(failed[1]).agg(F.count(F.lit(1)).alias("failed_count")).hint("broadcast"))  # one row each
+    status = F.when(F.col("failed_count") == 0, "success").when(F.col("success_count") > 0, "partial_success").otherwise("failed")
+    row = n.select(F.lit(batch_no).alias("batch_no"), status.alias("status"), "article_count", "success_count", "failed_count").select(*star["batches"].columns)
+    return {
+        "articles": articles,
+        "analyses": replace_by_key(star["analyses"], made["analyses"], ["batch_no", "article_id"]),
+        "insights": replace_by_key(star["insights"], made["insights"], ["batch_no", "article_id"]),
+        "links": upsert_links(star["links"], links, ["batch_no", "article_id"]),
+        "batches": upsert_links(star["batches"], row, ["batch_no"], ["article_count"]),
+    }
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

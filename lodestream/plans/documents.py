@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream import config as C
 from lodestream.functions import scores, text
 from lodestream.operators import answers, pages, report, retrieval, topics
 from lodestream.plans.catalog import query
-from lodestream.plans.fixtures import ANALYSES, ARTICLES, analyses, articles, repeatable, table
+from lodestream.plans.fixtures import ANALYSES, ARTICLES, RANK_SQL, analyses, articles, contains_any, repeatable, table
+from lodestream.sources.store import written
 
 A = repeatable(ARTICLES)
 N = repeatable(ANALYSES)
@@ -25,20 +27,42 @@ def _order() -> list:
     return [-F.col("rank_score"), F.col("ingest_seq")]
 
 
-@query("C3_trend_boost")
+EVENT_SQL = f"NOT {contains_any('lower(info_type)', C.OPINION_TERMS)}"
+
+
+def _connected(by: str) -> str:
+    """SQL of topics: what similar pairs of term sets reach, the lead being the first in order."""
+    return f"""WITH RECURSIVE {ARTICLES}, {ANALYSES}, w AS (SELECT ingest_seq, source_code, category, info_type, relevance, trend, engineering, depth, fresh, {RANK_SQL} AS rank_score, {by} AS grp, list_sort({TERMS_SQL}) AS t FROM articles JOIN analyses ON ingest_seq = article_id),
+ s AS (SELECT DISTINCT grp, t, md5(grp || '/' || array_to_string(t, ' ')) AS k FROM w WHERE len(t) > 0),
+ p AS (SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.grp = b.grp AND a.k <> b.k WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.34),
+ r(k, root) AS (SELECT k, k FROM s UNION SELECT r.k, p.b FROM r JOIN p ON r.root = p.a), c AS (SELECT k, min(root) AS root FROM r GROUP BY k),
+ m AS (SELECT w.*, coalesce(root, 'row' || ingest_seq) AS topic FROM w LEFT JOIN c ON md5(grp || '/' || array_to_string(t, ' ')) = k AND len(t) > 0),
+ f AS (SELECT *, first_value(ingest_seq) OVER (PARTITION BY topic ORDER BY rank_score DESC, ingest_seq) AS topic_id, row_number() OVER (PARTITION BY topic ORDER BY rank_score DESC, ingest_seq) AS n FROM m)
+"""
+
+
+@query("C3_trend_boost", _connected("''") + f""", g AS (SELECT topic_id, count(DISTINCT source_code) AS n_sources FROM f GROUP BY topic_id), u AS (SELECT * REPLACE (CASE WHEN up THEN 10.0 ELSE trend END AS trend) FROM (SELECT f.*, ingest_seq = topic_id AND n_sources >= 2 AND {EVENT_SQL} AND relevance >= 6 AND trend < 10 AS up FROM f JOIN g USING (topic_id)))
+ SELECT ingest_seq, topic_id, up AS boosted, trend, {RANK_SQL} AS rank_score FROM u""")
 def c3(spark: SparkSession, sf: str) -> DataFrame:
-    found = topics.cluster_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), threshold=0.25, titles="terms")
+    found = topics.connected_topics(_rows(spark, sf), "ingest_seq", "terms", _order())
     return topics.trend_boost(found, "ingest_seq", "source_code").select("ingest_seq", "topic_id", "boosted", "trend", "rank_score")
 
 
-@query("C4_topic_clusters")
+@query("C4_topic_clusters", _connected("category") + "SELECT ingest_seq, category, topic_id, CASE WHEN topic_id = ingest_seq THEN 'lead' ELSE 'member' END AS role FROM f")
 def c4(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.cluster_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), by="category", threshold=0.25).select("ingest_seq", "category", "topic_id", "role")
+    return topics.connected_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), by="category").select("ingest_seq", "category", "topic_id", "role")
 
 
-@query("C5_capped_clusters")
+@query("C5_capped_clusters", _connected("category") + "SELECT ingest_seq, category, topic_id, CASE WHEN topic_id = ingest_seq THEN 'lead' ELSE 'member' END AS role FROM (SELECT * REPLACE (first_value(ingest_seq) OVER (PARTITION BY topic, (n - 1) // 3 ORDER BY n) AS topic_id) FROM f)")
 def c5(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.cluster_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), by="category", threshold=0.25, max_members=3).select("ingest_seq", "category", "topic_id", "role")
+    return topics.connected_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), by="category", max_members=3).select("ingest_seq", "category", "topic_id", "role")
+
+
+@query("F4_cluster_routine", _connected("lang") + "SELECT topic_id, count(*) AS related, min(ingest_seq) AS first_id, count(DISTINCT source_code) AS n_sources FROM f GROUP BY topic_id")
+def f4(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics of a language and their summary, by one call each."""
+    found = topics.connected_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), by="lang")
+    return topics.topic_summary(found, "ingest_seq", "source_code").select("topic_id", "related", F.array_min("members").alias("first_id"), "n_sources")
 
 
 @query("C7_topic_report", N + "SELECT batch_id AS topic_id, count(*) AS related, array_to_string(list_sort(list(article_id)), ',') AS members, count(DISTINCT category) AS n_sources FROM analyses GROUP BY batch_id")
@@ -76,25 +100,26 @@ def h4(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract_links(pages.parse_pages(table(spark, sf, "pages"), "page_id"), "page_id")
 
 
-EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 500 AS dst FROM lineitem WHERE l_quantity > 48)"
+EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem UNION SELECT DISTINCT l_partkey, l_suppkey + 1 FROM lineitem WHERE l_linenumber = 1)"
 
 
-@query("H5_link_expansion", f"WITH RECURSIVE {EDGES}, r(node, depth) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_suppkey % 40 = 1 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 2) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node")
+@query("H5_link_expansion", f"WITH RECURSIVE {EDGES}, r(node, depth) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_nationkey = 1 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 2) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node")
 def h5(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 500).alias("dst")).distinct()
-    seeds = table(spark, sf, "supplier").filter("s_suppkey % 40 = 1").select(F.col("s_suppkey").alias("node"))
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    edges = l.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).unionByName(l.filter("l_linenumber = 1").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1).alias("dst"))).distinct()
+    seeds = table(spark, sf, "supplier").filter("s_nationkey = 1").select(F.col("s_suppkey").alias("node"))
     return pages.expand_links(seeds, edges, 2)
 
 
 @query("H7_feed_links")
 def h7(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.parse_pages(table(spark, sf, "pages"), "page_id").select("page_id", F.size("feeds").alias("n_feeds"))
+    return pages.feed_links(table(spark, sf, "pages"), "page_id")
 
 
 # ---- requests and answers
 
 
-@query("H8_decode_answers")
+@query("H8_decode_answers", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'repaired' WHEN 2 THEN 'failed' ELSE 'parsed' END AS decode, CASE WHEN event_id % 5 <> 2 THEN (props->>'$.k')::INT END AS k FROM events")
 def h8(spark: SparkSession, sf: str) -> DataFrame:
     cut = F.when(F.col("event_id") % 5 == 0, F.expr("substring(props, 1, length(props) - 1)")).when(F.col("event_id") % 5 == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 5 == 2, F.col("event_type")).otherwise(F.col("props"))
     done = answers.decode_responses(table(spark, sf, "events").select("event_id", cut.alias("content")), "content")
@@ -134,7 +159,13 @@ def h12(spark: SparkSession, sf: str) -> DataFrame:
 # ---- retrieval
 
 
-@query("H13_chunks")
+_SLICES = "list_transform(range(0, (length(q) - 1) // 2000 + 1), lambda i: substr(q, i * 2000 + 1, 2000))"
+_PARTS = f"flatten(list_transform(list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda p: trim(p, ' ')), lambda p: p <> ''), lambda q: {_SLICES}))"
+
+
+@query("H13_chunks", f"""WITH RECURSIVE p AS (SELECT doc_id, {_PARTS} AS parts FROM documents), r(doc_id, i, open, no, closed) AS (SELECT doc_id, 1, parts[1], 0, NULL::VARCHAR FROM p WHERE len(parts) > 0
+ UNION ALL SELECT r.doc_id, i + 1, CASE WHEN length(open) + 2 + length(parts[i + 1]) <= 2000 THEN open || chr(10) || chr(10) || parts[i + 1] ELSE parts[i + 1] END, no + (closed IS NOT NULL)::INT, CASE WHEN i < len(parts) AND length(open) + 2 + length(parts[i + 1]) <= 2000 THEN NULL ELSE open END
+ FROM r JOIN p USING (doc_id) WHERE i <= len(parts)) SELECT doc_id, no AS chunk_no, closed AS chunk FROM r WHERE closed IS NOT NULL""")
 def h13(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return retrieval.chunk(rows, "doc_id", "text")
@@ -148,15 +179,15 @@ def h14(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
-WORDS_SQL = "regexp_extract_all(lower(text), '[a-z]{4,}')"
-BM25_SQL = f"""WITH i AS (SELECT doc_id AS item_id, {WORDS_SQL} AS t FROM documents), q AS (SELECT item_id AS query_id, unnest(list_distinct({WORDS_SQL})) AS term FROM benchmark WHERE item_id < 20),
+WORDS_SQL = r"regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')"
+BM25_SQL = f"""WITH i AS (SELECT doc_id AS item_id, {WORDS_SQL} AS t FROM documents), q AS (SELECT item_id AS query_id, unnest(list_distinct({WORDS_SQL})) AS term FROM benchmark WHERE item_id % 50 = 0),
  tot AS (SELECT count(*) AS items, avg(len(t)) AS mean FROM i), u AS (SELECT item_id, len(t) AS n, unnest(t) AS term FROM i), p AS (SELECT item_id, n, term, count(*) AS tf FROM u GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
  s AS (SELECT query_id, item_id, round(sum(ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 9) AS score FROM q JOIN p USING (term) JOIN f USING (term), tot GROUP BY query_id, item_id)"""
 
 
 def _bm25(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))
-    q = table(spark, sf, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), words.alias("terms"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    q = table(spark, sf, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), words.alias("terms"))
     return retrieval.bm25(q, table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), words.alias("terms")), k)
 
 
@@ -165,7 +196,7 @@ def h14b(spark: SparkSession, sf: str) -> DataFrame:
     return _bm25(spark, sf, 10).select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
-@query("H15_result_shape", "SELECT event_id % 97 AS query_id, CASE WHEN max(CASE WHEN event_type = 'error' THEN 'answer' END) IS NOT NULL THEN 'answer' ELSE 'sources: ' || string_agg(event_type, '; ' ORDER BY event_id) END AS shown FROM events GROUP BY 1")
+@query("H15_result_shape", "SELECT event_id % 97 AS query_id, CASE WHEN max(CASE WHEN event_type = 'error' THEN 'answer' END) IS NOT NULL THEN 'answer' ELSE 'sources: ' || array_to_string(list(event_type ORDER BY event_id)[1:20], '; ') END AS shown FROM events GROUP BY 1")
 def h15(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select((F.col("event_id") % 97).alias("query_id"), F.col("event_id").alias("rank"), "event_type", F.when(F.col("event_type") == "error", "answer").alias("answer"))
     return retrieval.shape_results(rows, "event_type", "answer")
@@ -175,7 +206,7 @@ def h15(spark: SparkSession, sf: str) -> DataFrame:
  r2 AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS rank FROM r1), a AS (SELECT query_id, item_id, 1.0::DOUBLE / (60 + rank) AS s FROM r1 UNION ALL SELECT query_id, item_id, 1.0::DOUBLE / (60 + rank) FROM r2)
  SELECT query_id, item_id FROM (SELECT query_id, item_id, round(sum(s), 12) AS s FROM a GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) <= 5""")
 def h16(spark: SparkSession, sf: str) -> DataFrame:
-    first = _bm25(spark, sf, 20)
+    first = written(_bm25(spark, sf, 20), "first")
     second = retrieval.ranked(first.select("query_id", "item_id", (-F.col("item_id")).alias("score")), 20)
     return retrieval.fuse([first, second], 5).select("query_id", "item_id")
 
@@ -243,3 +274,10 @@ def f3(spark: SparkSession, sf: str) -> DataFrame:
     """Links by a registered table function, one call for each page, in SQL."""
     spark.udtf.register("page_links", pages.PageLinks)
     return spark.sql("SELECT p.page_id, l.url, l.title, l.position FROM {p} p, LATERAL page_links(p.html, p.url) l", p=table(spark, sf, "pages"))
+
+
+@query("F3_text_chunks")
+def f3b(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by a registered table function, one call for each document, in SQL."""
+    spark.udtf.register("text_chunks", retrieval.TextChunks)
+    return spark.sql("SELECT d.doc_id, c.chunk_no, c.chunk FROM {d} d, LATERAL text_chunks(d.text) c", d=table(spark, sf, "documents"))

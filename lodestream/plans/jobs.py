@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions import text, urls
+from lodestream import config as C
+from lodestream.functions import sql, text, urls
 from lodestream.operators import report, star
 from lodestream.plans.catalog import query
-from lodestream.plans.fixtures import ANALYSES, ARTICLES, RUNS, analyses, articles, repeatable, table
-from lodestream.plans.scalars import STRIP_TRACKING
+from lodestream.plans.fixtures import ANALYSES, ARTICLES, RANK_SQL, RUNS, analyses, articles, repeatable, table
+from lodestream.plans.scalars import KEY, STRIP_TRACKING
 from lodestream.sources import files
 from lodestream.sources.store import shared_path, written
 from lodestream.streaming import jobs
@@ -18,14 +19,15 @@ A = repeatable(ARTICLES)
 N = repeatable(ANALYSES)
 
 
-@query("S1_feed_scan", A + "SELECT title, url, publish_time, summary FROM articles WHERE ingest_seq % 9 <> 5 AND regexp_full_match(title, '[A-Za-z ]+')")
+@query("S1_feed_scan", A + "SELECT title, url, publish_time, summary FROM articles WHERE ingest_seq % 9 <> 5")
 def s1(spark: SparkSession, sf: str) -> DataFrame:
-    """The articles, written as feed files by Spark and scanned back."""
+    """The articles, written as feed files by Spark and scanned back. Texts go as hex: XML has no place for some characters, and trims."""
     path = shared_path(spark, "feed")
-    plain = articles(spark, sf).filter("title RLIKE '^[A-Za-z ]+$'")
-    items = plain.select("title", F.when(F.col("ingest_seq") % 9 != 5, F.col("url")).alias("link"), F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss").alias("pubDate"), F.when(F.col("summary").isNotNull(), F.hex(F.encode("summary", "UTF-8"))).alias("description"))
+    as_hex = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("x"), F.hex(F.encode(c, "UTF-8"))))
+    items = articles(spark, sf).select(as_hex("title").alias("title"), F.when(F.col("ingest_seq") % 9 != 5, F.col("url")).alias("link"), F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss").alias("pubDate"), as_hex("summary").alias("description"))
     items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
-    return files.read_feed(spark, path).select("title", "url", "publish_time", F.decode(F.unhex("summary"), "UTF-8").alias("summary"))
+    text_of = lambda c: F.decode(F.unhex(F.substring(c, 2, 2**31 - 1)), "UTF-8").alias(c)
+    return files.read_feed(spark, path).select(text_of("title"), "url", "publish_time", text_of("summary"))
 
 
 @query("S2_sitemap_scan", "SELECT 'page' AS kind, 'https://example.com/' || o_orderkey::VARCHAR AS loc, o_orderdate AS lastmod FROM orders")
@@ -46,13 +48,13 @@ def s3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("S4_S5_snapshot", A + "SELECT sha256(url) AS url_hash, max(ingest_seq) AS ingest_seq FROM articles WHERE ingest_seq % 2 = 1 GROUP BY 1")
 def s4(spark: SparkSession, sf: str) -> DataFrame:
-    """Three batches written, one of them twice; the newest collection is read back."""
+    """Batches written, one of them twice; the collection made last is read back, though another's number is higher as text."""
     root = shared_path(spark, "snapshots")
     rows = articles(spark, sf).select("ingest_seq", text.digest("url").alias("url_hash"))
-    files.write_snapshot(rows.filter("ingest_seq % 2 = 0"), root, "COL-1", "ingest_seq")
-    files.write_snapshot(rows, root, "COL-2", "ingest_seq")
-    files.write_snapshot(rows.filter("ingest_seq % 2 = 1"), root, "COL-2", "ingest_seq")
-    files.write_snapshot(rows, root, "VAL-9", "ingest_seq")
+    files.write_snapshot(rows.filter("ingest_seq % 2 = 0"), root, "COL-9", "ingest_seq", "2024-01-01")
+    files.write_snapshot(rows, root, "COL-10", "ingest_seq", "2024-01-02")
+    files.write_snapshot(rows.filter("ingest_seq % 2 = 1"), root, "COL-10", "ingest_seq", "2024-01-03")
+    files.write_snapshot(rows, root, "VAL-99", "ingest_seq", "2024-01-04")
     return files.read_snapshot(spark, root).select("url_hash", "ingest_seq")
 
 
@@ -68,37 +70,61 @@ def s7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("S8_source_catalogue", "SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'supplement' ELSE 'discovery' END AS role FROM supplier WHERE s_acctbal > 0")
 def s8(spark: SparkSession, sf: str) -> DataFrame:
-    role = F.when(F.col("s_nationkey") % 3 == 0, "primary").when(F.col("s_nationkey") % 3 == 1, "supplement").otherwise("discovery")
-    return table(spark, sf, "supplier").filter("s_acctbal > 0").select("s_suppkey", role.alias("role"))
+    kind = F.col("s_nationkey") % 3
+    return files.source_catalog(table(spark, sf, "supplier"), F.col("s_acctbal") > 0, {"primary": kind == 0, "supplement": kind == 1}, "discovery").select("s_suppkey", "role")
 
 
-@query("S9_import_batch", A + """, o AS (SELECT ingest_seq AS k, source_code AS author, NULL::VARCHAR AS lang FROM articles WHERE ingest_seq % 3 = 0), n AS (SELECT ingest_seq AS k, source_code || '+' AS author, lang FROM articles WHERE ingest_seq % 2 = 0)
- SELECT CASE WHEN o.k IS NOT NULL AND n.k IS NOT NULL THEN 'duplicate_skipped' WHEN n.k IS NOT NULL THEN 'imported' ELSE 'unchanged' END AS outcome, count(*) AS n, count(coalesce(o.lang, n.lang)) AS with_lang FROM o FULL JOIN n ON o.k = n.k GROUP BY 1""")
+def _star(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """A star with a third of the articles, and a delivery of half of them with their analyses and insights."""
+    a = articles(spark, sf).select("ingest_seq", F.concat(F.lit("h"), F.col("ingest_seq").cast("string")).alias("url_hash"), F.xxhash64(F.concat(F.lit("h"), F.col("ingest_seq").cast("string"))).alias("article_id"), "source_code", "publish_time", "crawl_time", "title", "lang")
+    known = a.filter("ingest_seq % 3 = 0").select("url_hash", "article_id", F.when(F.col("ingest_seq") % 2 == 0, F.lit("")).otherwise(F.col("source_code")).alias("author"), F.lit(None).cast("timestamp_ntz").alias("publish_time"), "crawl_time", "title")
+    scored = analyses(spark, sf).select("article_id", F.concat(F.lit("h"), (F.col("article_id") + F.when(F.col("article_id") % 50 == 0, 10**9).otherwise(0)).cast("string")).alias("url_hash"), "trend", "deep")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    star = {
+        "articles": known, "analyses": none("batch_no string, article_id long, trend double"), "insights": none("batch_no string, article_id long, text string"),
+        "links": none("batch_no string, article_id long, analysed boolean, selected boolean"), "batches": none("batch_no string, status string, article_count long, success_count long, failed_count long"),
+    }
+    half = scored.filter("article_id % 2 = 0")
+    return star, {
+        "articles": a.filter("ingest_seq % 2 = 0").select("url_hash", F.col("source_code").alias("author"), "publish_time", "crawl_time", "title"),
+        "analyses": half.select("url_hash", "trend"), "insights": half.filter("deep").select("url_hash", F.lit("told").alias("text")),
+    }
+
+
+STAR = A.rstrip() + """, n AS (SELECT doc_id, toxic = 1 AS deep, doc_id % 50 <> 0 AS known FROM labels WHERE doc_id % 2 = 0),
+ b AS (SELECT (SELECT count(*) FROM articles WHERE ingest_seq % 2 = 0) AS article_count, count(*) FILTER (known) AS success_count, count(*) FILTER (NOT known) + count(*) FILTER (NOT known AND deep) AS failed_count FROM n) """
+
+
+@query("S9_import_batch", STAR + "SELECT 'COL-7' AS batch_no, CASE WHEN failed_count = 0 THEN 'success' WHEN success_count > 0 THEN 'partial_success' ELSE 'failed' END AS status, article_count, success_count, failed_count FROM b")
 def s9(spark: SparkSession, sf: str) -> DataFrame:
-    """The article step of an import; a batch imported again changes nothing."""
-    a = articles(spark, sf)
-    old = a.filter("ingest_seq % 3 = 0").select(F.col("ingest_seq").alias("k"), F.col("source_code").alias("author"), F.lit(None).cast("string").alias("lang"))
-    new = a.filter("ingest_seq % 2 = 0").select(F.col("ingest_seq").alias("k"), F.concat("source_code", F.lit("+")).alias("author"), "lang")
-    once = written(star.upsert(old, new, "k", ["lang"]), "star")
-    again = star.upsert(once.select("k", "author", "lang"), new, "k", ["lang"]).select("k", F.col("lang").alias("after"))
-    return once.join(again, "k").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count("after").alias("with_lang"))
+    """The batch's row after a delivery into the whole star, and again: what is there already changes nothing."""
+    star_, payload = _star(spark, sf)
+    once = {k: written(v, k) for k, v in star.import_batch(star_, payload, "COL-7").items()}
+    return star.import_batch(once, payload, "COL-7")["batches"]
+
+
+@query("S9_import_articles", STAR + """SELECT 'h' || ingest_seq AS url_hash, CASE WHEN ingest_seq % 6 = 3 THEN source_code ELSE source_code END AS author, CASE WHEN ingest_seq % 2 = 0 THEN publish_time END AS publish_time, title,
+ CASE WHEN ingest_seq % 2 = 0 THEN n.doc_id IS NOT NULL AND known END AS analysed, CASE WHEN ingest_seq % 2 = 0 THEN coalesce(deep AND known, FALSE) END AS selected, CASE WHEN ingest_seq % 2 = 0 AND known THEN (ingest_seq * 3 % 11)::DOUBLE END AS trend
+ FROM articles LEFT JOIN n ON ingest_seq = doc_id WHERE ingest_seq % 3 = 0 OR ingest_seq % 2 = 0""")
+def s9b(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles of the star after the delivery, with their links and analyses."""
+    star_, payload = _star(spark, sf)
+    done = star.import_batch(star_, payload, "COL-7")
+    links, scored = done["links"].drop("batch_no"), done["analyses"].drop("batch_no")
+    return done["articles"].join(links.hint("merge"), "article_id", "left").join(scored.hint("merge"), "article_id", "left").select("url_hash", "author", "publish_time", "title", "analysed", "selected", "trend")
 
 
 @query("S10_audit_rows", N + "SELECT article_id, CASE WHEN category = 'cat3' AND trend <= 5 THEN 'discarded' ELSE 'analyzed' END AS disposition, CASE WHEN category = 'cat3' AND trend <= 5 THEN 'low_value' END AS reason, deep AS l3 FROM analyses")
 def s10(spark: SparkSession, sf: str) -> DataFrame:
     a = analyses(spark, sf)
     low = (F.col("category") == "cat3") & (F.col("trend") <= 5)
-    kept = a.filter(~low).select("article_id", F.lit("analyzed").alias("disposition"))
-    gone = a.filter(low).select("article_id", F.lit("discarded").alias("disposition"), F.lit("low_value").alias("reason"))
-    flags = a.filter("deep").select("article_id", F.lit(True).alias("l3"))
-    return star.union_all(kept, gone).join(flags, "article_id", "left").select("article_id", "disposition", "reason", F.coalesce("l3", F.lit(False)).alias("l3"))
+    return files.audit_rows(a.filter(~low), a.filter(low).withColumn("reason", F.lit("low_value")), a.filter("deep"), "article_id")
 
 
 @query("S11_deferred_status", N + "SELECT article_id, CASE WHEN article_id % 3 = 0 THEN 'refill_selected' ELSE 'deferred' END AS status FROM analyses WHERE trend < 5")
 def s11(spark: SparkSession, sf: str) -> DataFrame:
     a = analyses(spark, sf).filter("trend < 5").select("article_id")
-    taken = a.filter("article_id % 3 = 0").withColumn("t", F.lit(True))
-    return a.join(taken, "article_id", "left").select("article_id", F.when(F.col("t"), "refill_selected").otherwise("deferred").alias("status"))
+    return files.deferred_status(a, a.filter("article_id % 3 = 0"), "article_id")
 
 
 @query("S12_dead_letters", N + "SELECT article_id, batch_id AS batch_no, 'rejected' AS reason FROM analyses WHERE status = 'failed'")
@@ -118,32 +144,38 @@ def s13(spark: SparkSession, sf: str) -> DataFrame:
 @query("S14_hydrate", f"SELECT p.page_id, coalesce(CASE WHEN d.page_id % 3 > 0 THEN length(d.html) END, -1) AS size FROM (SELECT page_id, {STRIP_TRACKING} AS u FROM pages) p LEFT JOIN (SELECT page_id, html, {STRIP_TRACKING} AS u FROM pages) d ON p.u = d.u AND d.page_id % 3 > 0")
 def s14(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", "html", urls.strip_tracking("url").alias("u"))
-    detail = p.filter("page_id % 3 > 0").select("u", "html")
-    return p.select("page_id", "u").join(detail, "u", "left").select("page_id", F.coalesce(F.length("html"), F.lit(-1)).cast("long").alias("size"))
+    detail = p.filter("page_id % 3 > 0").select("u", F.length("html").cast("long").alias("size"))
+    return files.hydrate(p.select("page_id", "u"), detail, "u", {"size": F.lit(-1).cast("long")}).select("page_id", "size")
 
 
-@query("H6_sitemap_candidates", A + "SELECT source_code, url, publish_time FROM (SELECT source_code, regexp_replace(url, '\\?.*$', '') || CASE WHEN contains(url, 'id=') THEN '?id=7' ELSE '' END AS url, max(publish_time) AS publish_time FROM articles GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source_code ORDER BY publish_time DESC NULLS LAST, url) <= 15")
+@query("H6_sitemap_candidates", A + """, r AS (SELECT source_code, regexp_replace(url, '\\?.*$', '') || CASE WHEN contains(url, 'id=') THEN '?id=7' ELSE '' END AS url, publish_time, regexp_extract(url, '/news/([0-9]+)', 1) AS n FROM articles WHERE contains(source_code, 'src1'))
+ SELECT * FROM (SELECT source_code, url, max(publish_time) AS lastmod FROM r WHERE coalesce(publish_time BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-05-31 23:59:59', TRUE) AND NOT (starts_with(n, '1') AND NOT starts_with(n, '12'))
+ AND length(n) >= 1 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source_code ORDER BY lastmod DESC NULLS LAST, url) <= 15""")
 def h6(spark: SparkSession, sf: str) -> DataFrame:
-    from lodestream.operators.ranking import top_urls
-
-    rows = articles(spark, sf).select("source_code", urls.strip_tracking("url").alias("url"), "publish_time")
-    latest = rows.groupBy("source_code", "url").agg(F.max("publish_time").alias("publish_time"))
-    return top_urls(latest, "source_code", "publish_time", "url", 15).select("source_code", "url", "publish_time")
+    """Rows of sitemaps: allowed hosts, robots rules, dates, article URLs, then the newest of each source."""
+    rows = articles(spark, sf).select("source_code", F.concat(F.regexp_replace("url", r"/news/([0-9]+)", "/news/2024/05/$1")).alias("loc"), F.col("publish_time").alias("lastmod"))
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in ("2024-02-01", "2024-05-31 23:59:59"))
+    rules = rows.select(urls.origin("loc").alias("origin")).distinct().select("origin", F.inline(F.expr("array(named_struct('rule_no', 1, 'allow', true, 'path_prefix', '/news/2024/05/12'), named_struct('rule_no', 2, 'allow', false, 'path_prefix', '/news/2024/05/1'))")))
+    return files.sitemap_candidates(rows, "source_code", start, end, rules, F.array(F.lit("src1")), 15).withColumn("url", F.replace("url", F.lit("/2024/05/"), F.lit("/")))
 
 
 @query("F1_source_plans", "SELECT s_suppkey, v AS variant_no, CASE v WHEN 1 THEN 'feed' ELSE 'site' END AS variant, CASE WHEN v = 1 AND s_suppkey % 4 = 0 THEN '9' ELSE '5' END AS minimum FROM supplier, (SELECT unnest([1, 2])::INT AS v)")
 def f1(spark: SparkSession, sf: str) -> DataFrame:
-    variants = F.array(F.struct(F.lit(1).alias("variant_no"), F.lit("feed").alias("variant")), F.struct(F.lit(2).alias("variant_no"), F.lit("site").alias("variant")))
-    plans = table(spark, sf, "supplier").select("s_suppkey", F.inline(variants))
-    override = F.when((F.col("variant_no") == 1) & (F.col("s_suppkey") % 4 == 0), F.create_map(F.lit("minimum"), F.lit("9"))).otherwise(F.create_map(F.lit("other"), F.lit("")))
-    options = F.map_zip_with(F.create_map(F.lit("minimum"), F.lit("5")), override, lambda k, a, b: F.coalesce(b, a))
-    return plans.select("s_suppkey", "variant_no", "variant", F.element_at(options, "minimum").alias("minimum"))
+    variants = spark.sql("SELECT * FROM VALUES (1, 'feed'), (2, 'site') AS v(variant_no, variant)")
+    override = F.when((F.col("variant_no") == 1) & (F.col("s_suppkey") % 4 == 0), F.create_map(F.lit("minimum"), F.lit("9")))
+    plans = files.expand_plans(table(spark, sf, "supplier").select("s_suppkey"), variants, {"minimum": "5"}, override)
+    return plans.select("s_suppkey", "variant_no", "variant", F.element_at("options", "minimum").alias("minimum"))
+
+
+TERMS = r"list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^0-9a-zA-Z\x{4e00}-\x{9fff}]+', ' ', 'g'), ' '), lambda w: length(w) >= 2))"
 
 
-@query("F2_sql_helpers", N + "SELECT article_id, round(trend * 0.5 + depth * 0.5, 2) AS blend FROM analyses")
+@query("F2_sql_helpers", repeatable(ANALYSES, ARTICLES) + f"SELECT article_id, list_max(list_filter({C.ANCHORS}::DOUBLE[], lambda a: a <= engineering)) AS anchor, {RANK_SQL} AS rank, {KEY} AS key, len({TERMS}) AS n_terms, round(CASE WHEN len({TERMS}) = 0 THEN 0 ELSE 1.0 / len(list_distinct(list_concat({TERMS}, ['the']))) * list_contains({TERMS}, 'the')::INT END, 9) AS near FROM analyses JOIN articles ON article_id = ingest_seq")
 def f2(spark: SparkSession, sf: str) -> DataFrame:
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION half_blend(a DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN round(a * 0.5 + b * 0.5, 2)")
-    return analyses(spark, sf).select("article_id", F.expr("half_blend(trend, depth)").alias("blend"))
+    sql.register(spark)
+    rows = analyses(spark, sf).join(articles(spark, sf), F.col("article_id") == F.col("ingest_seq"))
+    text_of = "SELECT article_id, anchor(engineering) AS anchor, rank_score(relevance, trend, engineering, depth, fresh) AS rank, title_key(title) AS key, CAST(size(term_set(title)) AS BIGINT) AS n_terms, round(jaccard(term_set(title), array('the')), 9) AS near FROM {rows}"
+    return spark.sql(text_of, rows=rows)
 
 
 # ---- streaming; each stream drains a table and is held against its batch twin
@@ -171,7 +203,14 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T4_window_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def t4(spark: SparkSession, sf: str) -> DataFrame:
-    """The batch twin of window_counts(), which a test drains as a stream: a watermark holds the last window back."""
+    """The batch twin of window_counts()."""
     return table(spark, sf, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query("T4_stream_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY ALL")
+def t4b(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream, drained: windows that the watermark, two days behind the latest event, has passed."""
+    stream = jobs.stream_table(spark, f"{sf}/events.parquet").select("ts", "event_type")
+    return jobs.drain(jobs.window_counts(stream, "ts", "1 day", "2 days", "event_type"), "windows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+

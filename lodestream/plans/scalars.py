@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream import config as C
-from lodestream.functions import scores, text, urls
+from lodestream.functions import scores, text, times, urls
 from lodestream.plans.catalog import query
 from lodestream.plans.fixtures import ANALYSES, ARTICLES, RANK_SQL, analyses, articles, contains_any, count_in, quoted, repeatable, table
+from lodestream.sources import files
 
 A = repeatable(ARTICLES)
 
@@ -59,9 +60,9 @@ def x8(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.clean("text").alias("clean"))
 
 
-@query("X9_list_values", "SELECT doc_id, list_filter(list_transform(string_split(translate(substr(text, 1, 400), ';', ','), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS vals FROM documents")
+@query("X9_list_values", "SELECT doc_id, list_filter(list_transform(string_split(translate(text, ';', ','), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS vals FROM documents")
 def x9(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.as_list(F.substring("text", 1, 400)).alias("vals"))
+    return table(spark, sf, "documents").select("doc_id", text.as_list("text").alias("vals"))
 
 
 @query("X10_bool_values", "SELECT doc_id, coalesce(lower(trim(v, ' ')) IN ('true', '1', 'yes', '是'), FALSE) AS flag FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN ' YES ' WHEN doc_id % 3 = 0 THEN quality::VARCHAR WHEN doc_id % 3 = 1 THEN NULL ELSE '是' END AS v FROM labels)")
@@ -76,20 +77,18 @@ def x11(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", text.as_number(v, 0.5, 0.0, 1.0).alias("confidence"))
 
 
-@query("X12_object_values")
+@query("X12_object_values", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{\"note\":\"' || event_type || '\"}' ELSE json(props)::VARCHAR END AS detail FROM events")
 def x12(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = F.try_parse_json("v")
     rows = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise(F.col("props")).alias("v"))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
-    return rows.select("event_id", F.when(is_object, F.to_json(parsed)).otherwise(F.to_json(F.struct(F.col("v").alias("note")))).alias("detail"))
+    return rows.select("event_id", text.as_object("v").alias("detail"))
 
 
-@query("X13_standard_terms", "SELECT doc_id, list_transform(list_filter(string_split(substr(text, 1, 300), ' '), lambda x: trim(x, ' ') <> '')[1:10], lambda x: trim(x, ' ')) AS terms FROM documents")
+@query("X13_standard_terms", "SELECT doc_id, list_transform(list_filter(string_split(text, ' '), lambda x: trim(x, ' ') <> '')[1:10], lambda x: trim(x, ' ')) AS terms FROM documents")
 def x13(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of up to ten terms, each given as text or as an object."""
-    rows = table(spark, sf, "documents").select("doc_id", F.to_json(F.transform(F.split(F.substring("text", 1, 300), " "), lambda w: F.struct(w.alias("term")))).alias("v"))
-    items = F.transform(F.from_json("v", "array<struct<term:string,abbr:string,zh:string,aliases:array<string>>>"), lambda t: F.trim(t["term"]))
-    return rows.select("doc_id", F.slice(F.filter(items, lambda t: t != ""), 1, 10).alias("terms"))
+    """Names of up to ten terms, given as texts in even rows and as objects in odd ones."""
+    words = F.split("text", " ")
+    given = F.when(F.col("doc_id") % 2 == 0, F.to_json(words)).otherwise(F.to_json(F.transform(words, lambda w: F.struct(w.alias("term")))))
+    return table(spark, sf, "documents").select("doc_id", F.transform(text.standard_terms(given), lambda t: t["term"]).alias("terms"))
 
 
 SCORES = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"trend\": \"x\", \"score_trend\": ' || round(value, 1)::VARCHAR || '}' ELSE '{\"trend\": ' || round(value, 1)::VARCHAR || '}' END AS j FROM events"
@@ -121,7 +120,7 @@ def x17(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("X18_score_fallback", repeatable(ANALYSES) + "SELECT article_id, coalesce(CASE WHEN article_id % 3 > 0 THEN trend END, CASE WHEN article_id % 2 > 0 THEN depth END, 0.0) AS score FROM analyses")
 def x18(spark: SparkSession, sf: str) -> DataFrame:
-    return analyses(spark, sf).select("article_id", F.coalesce(F.when(F.col("article_id") % 3 > 0, F.col("trend")), F.when(F.col("article_id") % 2 > 0, F.col("depth")), F.lit(0.0)).alias("score"))
+    return analyses(spark, sf).select("article_id", scores.score_or(F.when(F.col("article_id") % 3 > 0, F.col("trend")), F.when(F.col("article_id") % 2 > 0, F.col("depth"))).alias("score"))
 
 
 CAP_TERMS = [("vision", 1.0, ["the", "der"]), ("device", 1.0, ["que", "des"]), ("hardware", 2.0, ["on", "en"])]
@@ -140,9 +139,9 @@ CANDIDATE_SQL = f"({count_in('t', C.RELEVANCE_TERMS)} * 5.0 + CASE WHEN coalesce
 LOW_TEXT = "lower(title || ' ' || coalesce(summary, ''))"
 
 
-@query("X20_category_prediction", A + f"SELECT ingest_seq, {PREDICT_SQL} AS category FROM (SELECT ingest_seq, substr(lower(title), 1, 12) AS t FROM articles)")
+@query("X20_category_prediction", A + f"SELECT ingest_seq, {PREDICT_SQL} AS category FROM (SELECT ingest_seq, lower(title) AS t FROM articles)")
 def x20(spark: SparkSession, sf: str) -> DataFrame:
-    return articles(spark, sf).select("ingest_seq", scores.predict_category(F.substring(F.lower("title"), 1, 12), "source_code", WORDS, "rest").alias("category"))
+    return articles(spark, sf).select("ingest_seq", scores.predict_category(F.lower("title"), "source_code", WORDS, "rest").alias("category"))
 
 
 @query("X21_candidate_score", A + f"SELECT ingest_seq, {CANDIDATE_SQL} AS score FROM (SELECT *, {LOW_TEXT} AS t FROM articles)")
@@ -177,19 +176,17 @@ def x24(spark: SparkSession, sf: str) -> DataFrame:
 def x25(spark: SparkSession, sf: str) -> DataFrame:
     """The zone is dropped, the wall clock kept."""
     iso = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(F.col("event_id") % 2 == 0, "Z").otherwise("+08:00"))
-    wall = F.regexp_replace(iso, r"(Z|[+-]\d{2}:?\d{2})$", "")
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.expr("try_to_timestamp('x')").cast("timestamp_ntz"), wall.try_cast("timestamp_ntz")).alias("at"))
+    return table(spark, sf, "events").select("event_id", times.wall_time(iso).alias("at"))
 
 
-@query("X27_cut_bytes")
+@query("X27_cut_bytes", "SELECT doc_id, CASE WHEN strlen(text) <= 900 THEN text ELSE left(text, list_max(list_filter(range(224, 898), lambda n: strlen(left(text, n)) <= 897))) || '...' END AS cut FROM documents")
 def x27(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.cut_bytes("text", 900).alias("cut"))
 
 
 @query("X28_alias_mapping", repeatable(ANALYSES) + "SELECT article_id, CASE category WHEN 'cat1' THEN 'first' WHEN 'cat2' THEN 'second' ELSE category END AS category FROM analyses")
 def x28(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.create_map(*map(F.lit, ("cat1", "first", "cat2", "second")))
-    return analyses(spark, sf).select("article_id", F.coalesce(F.try_element_at(names, F.col("category")), F.col("category")).alias("category"))
+    return analyses(spark, sf).select("article_id", text.aliased("category", {"cat1": "first", "cat2": "second"}).alias("category"))
 
 
 @query("X29_first_sentence", r"SELECT doc_id, substr(CASE WHEN cut <> '' THEN cut ELSE t END, 1, 180) AS sentence FROM (SELECT doc_id, t, regexp_extract(t, '^((?s:.)*?[。！？.!?])', 1) AS cut FROM (SELECT doc_id, trim(text, ' ') AS t FROM documents))")
@@ -210,28 +207,26 @@ def x31(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("X32_labelled_bullets", "SELECT event_id, '- ' || (json_keys(props))[1] || ': ' || (props->>('$.' || (json_keys(props))[1])) AS bullets FROM events")
 def x32(spark: SparkSession, sf: str) -> DataFrame:
-    entries = F.map_entries(F.from_json("props", "map<string,string>"))
-    return table(spark, sf, "events").select("event_id", F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"])), "\n").alias("bullets"))
+    return table(spark, sf, "events").select("event_id", text.bullets(F.from_json("props", "map<string,string>")).alias("bullets"))
 
 
 @query("X33_date_range", "SELECT event_id, s AS range_start, e AS range_end, CASE WHEN s > e THEN 'invalid_range' ELSE 'ok' END AS outcome FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 DAY ELSE ts - to_days(CASE event_type WHEN 'view' THEN 30 WHEN 'click' THEN 90 ELSE 7 END) END AS s, ts AS e FROM events)")
 def x33(spark: SparkSession, sf: str) -> DataFrame:
     days = F.expr("CASE event_type WHEN 'view' THEN 30 WHEN 'click' THEN 90 ELSE 7 END")
-    start = F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts") - F.make_dt_interval(days))
-    return table(spark, sf, "events").select("event_id", start.alias("range_start"), F.col("ts").alias("range_end")).withColumn("outcome", F.when(F.col("range_start") > F.col("range_end"), "invalid_range").otherwise("ok"))
+    start = F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("INTERVAL 1 DAY"))
+    return table(spark, sf, "events").select("event_id", times.date_range(start, F.col("ts"), days).alias("r")).select("event_id", "r.*")
 
 
-@query("X34_batch_number", "SELECT o_orderkey, n, CASE WHEN n LIKE 'COL-%' THEN 'COL' WHEN n LIKE 'IMP-%' THEN 'IMP' ELSE '' END AS kind, regexp_full_match(n, '[A-Za-z0-9_-]+') AS valid FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'COL-' WHEN 1 THEN 'IMP-' ELSE 'x/' END || o_orderkey::VARCHAR AS n FROM orders)")
+@query("X34_batch_number", "SELECT o_orderkey, n, CASE WHEN n LIKE 'COL-%' THEN 'COL' WHEN n LIKE 'IMP-%' THEN 'IMP' ELSE '' END AS kind, regexp_full_match(n, '[A-Za-z0-9._-]+') AS valid FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'COL-' WHEN 1 THEN 'IMP-' ELSE 'x/' END || o_orderkey::VARCHAR AS n FROM orders)")
 def x34(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.expr("concat(CASE o_orderkey % 3 WHEN 0 THEN 'COL-' WHEN 1 THEN 'IMP-' ELSE 'x/' END, CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '.json' ELSE '' END)")
-    n = F.regexp_replace(raw, r"\.json$", "")
-    return table(spark, sf, "orders").select("o_orderkey", n.alias("n"), F.regexp_extract(n, "^(COL|IMP|RERUN|VAL)-", 1).alias("kind"), n.rlike("^[A-Za-z0-9_-]+$").alias("valid"))
+    return table(spark, sf, "orders").select("o_orderkey", text.batch_number(raw).alias("b")).select("o_orderkey", F.col("b.number").alias("n"), "b.kind", "b.valid")
 
 
-@query("X35_search_query", "SELECT lang, 'ai ' || lang || ' (' || array_to_string(list_transform((list_sort(list(DISTINCT source)))[1:8], lambda s: 'site:' || s || '.example.com'), ' OR ') || ')' AS query FROM documents GROUP BY lang")
+@query("X35_search_query", "SELECT lang, 'ai ' || lang || ' ('|| array_to_string(list_transform((list_sort(list(DISTINCT source)))[1:8], lambda s: 'site:' || s || '.example.com'), ' OR ') || ') after:2024-01-01 before:2024-03-31' AS query FROM documents GROUP BY lang")
 def x35(spark: SparkSession, sf: str) -> DataFrame:
-    sites = F.transform(F.slice(F.array_sort(F.collect_set("source")), 1, 8), lambda s: F.concat(F.lit("site:"), s, F.lit(".example.com")))
-    return table(spark, sf, "documents").groupBy("lang").agg(F.concat(F.lit("ai "), F.col("lang"), F.lit(" ("), F.array_join(sites, " OR "), F.lit(")")).alias("query"))
+    rows = table(spark, sf, "documents").select("lang", F.concat("source", F.lit(".example.com")).alias("site"), F.array(F.lit("ai"), F.col("lang")).alias("terms"))
+    return files.search_queries(rows, "lang", "site", "terms", F.lit("2024-01-01").cast("date"), F.lit("2024-03-31").cast("date"))
 
 
 @query("X36_fingerprint_source", A + "SELECT ingest_seq, sha256(coalesce(CASE WHEN ingest_seq % 5 > 0 AND trim(body, ' ') <> '' THEN body END, CASE WHEN trim(summary, ' ') <> '' THEN summary END, url)) AS fingerprint FROM articles")
@@ -241,13 +236,13 @@ def x36(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("X37_insight_text", A + "SELECT ingest_seq, coalesce(nullif(CASE WHEN ingest_seq % 4 > 1 THEN body END, ''), nullif(CASE WHEN ingest_seq % 2 = 1 THEN title END, ''), nullif(summary, ''), '') AS text FROM articles")
 def x37(spark: SparkSession, sf: str) -> DataFrame:
-    e = F.lit("")
-    return articles(spark, sf).select("ingest_seq", F.coalesce(F.nullif(F.when(F.col("ingest_seq") % 4 > 1, F.col("body")), e), F.nullif(F.when(F.col("ingest_seq") % 2 == 1, F.col("title")), e), F.nullif("summary", e), e).alias("text"))
+    return articles(spark, sf).select("ingest_seq", text.first_text(F.when(F.col("ingest_seq") % 4 > 1, F.col("body")), F.when(F.col("ingest_seq") % 2 == 1, F.col("title")), "summary").alias("text"))
 
 
-@query("X38_file_name", A + "SELECT ingest_seq, substr(sha256(url), 1, 16) || '_' || substr(regexp_replace(title, '[^0-9A-Za-z]+', '_', 'g'), 1, 30) || '.md' AS name FROM articles")
+@query("X38_file_name", A + "SELECT ingest_seq, substr(sha256(url), 1, 16) || '_' || substr(regexp_replace(title, '[^0-9A-Za-z]+', '_', 'g'), 1, 30) || '.md' AS name, coalesce(summary, '') AS summary_tag, source_code || ',' || lang AS labels FROM articles")
 def x38(spark: SparkSession, sf: str) -> DataFrame:
-    return articles(spark, sf).select("ingest_seq", F.concat(F.substring(text.digest("url"), 1, 16), F.lit("_"), F.substring(F.regexp_replace("title", "[^0-9A-Za-z]+", "_"), 1, 30), F.lit(".md")).alias("name"))
+    tags = text.tag_map({"summary": "summary"}, {"labels": F.array("source_code", "lang")})
+    return articles(spark, sf).select("ingest_seq", text.file_name("url", "title").alias("name"), tags.alias("t")).select("ingest_seq", "name", F.col("t.summary").alias("summary_tag"), F.col("t.labels").alias("labels"))
 
 
 LINK_SQL = "CASE page_id % 4 WHEN 0 THEN 'next/p' || page_id WHEN 1 THEN '/top/' || page_id WHEN 2 THEN '//other.example.net/x' ELSE 'https://a.example.com/y#z' END"

@@ -108,7 +108,7 @@ def p12(spark: SparkSession, sf: str) -> DataFrame:
 def p13(spark: SparkSession, sf: str) -> DataFrame:
     profile = F.col("source_code")
     explicit = F.when(profile == "src3", False).when(profile == "src4", True)
-    return articles(spark, sf).select("ingest_seq", F.coalesce(explicit, profile.isin("src5", "src6")).alias("routed"))
+    return articles(spark, sf).select("ingest_seq", filters.needs_routing(explicit, F.when(profile.isin("src5", "src6"), F.array(F.lit("ai")))).alias("routed"))
 
 
 @query("P14_semantic_filter", A + "SELECT ingest_seq, related FROM articles WHERE related IS DISTINCT FROM FALSE")
@@ -135,11 +135,8 @@ SELECT row_number() OVER (ORDER BY score DESC, article_id) AS n, article_id, tit
 
 def _report(spark: SparkSession, sf: str) -> DataFrame:
     a = analyses(spark, sf).withColumn("rank", F.when(F.col("article_id") % 4 > 0, scores.rank_score("relevance", "trend", "engineering", "depth", "fresh")))
-    ok = a.filter("status = 'success'")
-    batch = ok.agg(F.max("batch_id").alias("batch_id"))
-    rows = ok.join(F.broadcast(batch), "batch_id").join(articles(spark, sf).select(F.col("ingest_seq").alias("article_id"), "title"), "article_id")
-    score = F.coalesce("rank", "trend")
-    return rows.select("article_id", "title", "category", score.alias("score"), F.when((score >= 6) & F.col("deep"), "是").otherwise("否").alias("selected"))
+    batch = a.filter("status = 'success'").agg(F.max("batch_id").alias("batch_id"))
+    return star.batch_report(articles(spark, sf).withColumnRenamed("ingest_seq", "article_id"), a, batch)
 
 
 @query("P17_batch_report", f"SELECT article_id, title, category, score, selected FROM ({REPORT_SQL})")
@@ -152,6 +149,13 @@ def w1(spark: SparkSession, sf: str) -> DataFrame:
     return star.numbered(_report(spark, sf), [F.col("score").desc(), F.col("article_id")]).withColumn("n", F.col("n").cast("long"))
 
 
+@query("W1_numbered_documents", "SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n, doc_id, n_chars, lang, source FROM documents")
+def w1b(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, numbered over all of them."""
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    return star.numbered(rows, [F.col("n_chars").desc(), F.col("doc_id")]).withColumn("n", F.col("n").cast("long"))
+
+
 @query("P18_profile_fields", "SELECT event_id, props->>'$.k' AS k FROM events")
 def p18(spark: SparkSession, sf: str) -> DataFrame:
     profile = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("secret"), F.lit("x")))
@@ -160,8 +164,7 @@ def p18(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("P19_import_rows", A + "SELECT ingest_seq, sha256(url) AS url_hash, title, coalesce(summary, '') AS raw_summary, CASE WHEN ingest_seq % 2 = 0 THEN [lang, source_code] ELSE [] END AS tags FROM articles")
 def p19(spark: SparkSession, sf: str) -> DataFrame:
-    tags = F.when(F.col("ingest_seq") % 2 == 0, F.array("lang", "source_code")).otherwise(F.array().cast("array<string>"))
-    return articles(spark, sf).select("ingest_seq", F.sha2("url", 256).alias("url_hash"), "title", F.coalesce("summary", F.lit("")).alias("raw_summary"), tags.alias("tags"))
+    return filters.import_rows(articles(spark, sf), "article", {"tags": F.when(F.col("ingest_seq") % 2 == 0, F.array("lang", "source_code"))})
 
 
 @query("P20_content_type", "SELECT event_id, CASE event_type WHEN 'view' THEN TRUE WHEN 'click' THEN TRUE WHEN 'error' THEN FALSE ELSE TRUE END AS ok FROM events")
@@ -197,12 +200,9 @@ def d4(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.commit_history(a.filter("ingest_seq % 5 = 0").select("url_hash", "content_hash"), a.filter("ingest_seq % 3 <> 0"))
 
 
-@query("D5_title_dedup", A + f"SELECT ingest_seq, source_code, title FROM (SELECT *, left({KEY}, 5) AS k FROM articles) QUALIFY k = '' OR row_number() OVER (PARTITION BY source_code, k ORDER BY publish_time DESC NULLS LAST, ingest_seq) = 1")
+@query("D5_title_dedup", A + f"SELECT ingest_seq, source_code, title FROM (SELECT *, {KEY} AS k FROM articles) QUALIFY k = '' OR row_number() OVER (PARTITION BY source_code, k ORDER BY publish_time DESC NULLS LAST, ingest_seq) = 1")
 def d5(spark: SparkSession, sf: str) -> DataFrame:
-    from lodestream.functions.text import title_key
-
-    a = articles(spark, sf).withColumn("short", F.substring(title_key("title"), 1, 5))
-    return dedup.dedup_title(a, "source_code", "short", [F.col("publish_time").desc_nulls_last(), F.col("ingest_seq")]).select("ingest_seq", "source_code", "title")
+    return dedup.dedup_title(articles(spark, sf), "source_code", "title", [F.col("publish_time").desc_nulls_last(), F.col("ingest_seq")]).select("ingest_seq", "source_code", "title")
 
 
 @query("D6_keep_latest", A + "SELECT url, max(publish_time) AS publish_time FROM articles GROUP BY url")
@@ -245,10 +245,12 @@ def u5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J2_briefing_candidates", "SELECT l_orderkey, l_linenumber, p_name, s_name, c_name, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31' AND l_returnflag = 'R'")
 def j2(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_orderdate BETWEEN TIMESTAMP_NTZ '1995-01-01' AND TIMESTAMP_NTZ '1995-12-31'")
-    rows = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("l_orderkey", "l_linenumber", "p_name", "s_name", "c_name", "o_orderdate")
+    take = lambda name, **names: table(spark, sf, name).select(*(F.col(old).alias(new) for new, old in names.items()))
+    relations = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_partkey").alias("article_id"), F.col("l_suppkey").alias("source_id"), "l_linenumber", (F.col("l_returnflag") == "R").alias("selected"))
+    batches = take("orders", batch_id="o_orderkey", analysis_id="o_custkey", batch_time="o_orderdate")
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in ("1995-01-01", "1995-12-31"))
+    rows = star.briefing_candidates(relations, batches, take("part", article_id="p_partkey", p_name="p_name"), take("customer", analysis_id="c_custkey", c_name="c_name"), take("supplier", source_id="s_suppkey", s_name="s_name"), start, end)
+    return rows.select(F.col("batch_id").alias("l_orderkey"), "l_linenumber", "p_name", "s_name", "c_name", F.col("batch_time").alias("o_orderdate"))
 
 
 BATCHES = "SELECT o_orderkey AS batch_id, 'COL-' || o_orderkey::VARCHAR AS batch_no, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'partial_success' END AS status FROM orders"
@@ -270,15 +272,15 @@ def j4(spark: SparkSession, sf: str) -> DataFrame:
     return star.resolve_batch(asked, _batches(spark, sf)).select("batch_no", "outcome")
 
 
-@query("J5_article_upsert", """WITH o AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS author, left(text, 20) AS title FROM documents WHERE doc_id % 5 <> 1),
- n AS (SELECT doc_id AS k, lang, source || '!' AS author, left(text, 10) AS title FROM documents WHERE doc_id % 7 <> 2)
+@query("J5_article_upsert", """WITH o AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS author, text AS title FROM documents WHERE doc_id % 5 <> 1),
+ n AS (SELECT doc_id AS k, lang, source || '!' AS author, text || '!' AS title FROM documents WHERE doc_id % 7 <> 2)
  SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN n.lang ELSE coalesce(o.lang, n.lang) END AS lang, CASE WHEN o.k IS NULL THEN n.author WHEN o.author = '' THEN coalesce(n.author, o.author) ELSE o.author END AS author,
  coalesce(o.title, n.title) AS title, CASE WHEN o.k IS NOT NULL AND n.k IS NOT NULL THEN 'duplicate_skipped' WHEN n.k IS NOT NULL THEN 'imported' ELSE 'unchanged' END AS outcome,
  array_to_string(list_filter([CASE WHEN o.k IS NOT NULL AND o.lang IS NULL AND n.lang IS NOT NULL THEN 'lang' END, CASE WHEN o.k IS NOT NULL AND o.author = '' AND n.author IS NOT NULL THEN 'author' END], lambda x: x IS NOT NULL), ',') AS filled FROM o FULL JOIN n ON o.k = n.k""")
 def j5(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    old = d.filter("doc_id % 5 <> 1").selectExpr("doc_id AS k", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS lang", "CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS author", "left(text, 20) AS title")
-    new = d.filter("doc_id % 7 <> 2").selectExpr("doc_id AS k", "lang", "concat(source, '!') AS author", "left(text, 10) AS title")
+    old = d.filter("doc_id % 5 <> 1").selectExpr("doc_id AS k", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS lang", "CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS author", "text AS title")
+    new = d.filter("doc_id % 7 <> 2").selectExpr("doc_id AS k", "lang", "concat(source, '!') AS author", "concat(text, '!') AS title")
     return star.upsert(old, new, "k", ["lang", "author"], ["author"]).withColumn("filled", F.array_join("filled", ","))
 
 
@@ -296,8 +298,16 @@ def j7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J8_bridge_links", "SELECT l_orderkey, l_linenumber, o_orderkey IS NOT NULL AS selected FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey")
 def j8(spark: SparkSession, sf: str) -> DataFrame:
-    insight = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
-    return table(spark, sf, "lineitem").join(insight, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", F.col("o_orderkey").isNotNull().alias("selected"))
+    insight = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return star.link_selected(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), insight, ["l_orderkey"])
+
+
+@query("J8_bridge_upserts", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 3 THEN 'new' ELSE 'old' END AS status, max(CASE WHEN l_linenumber <= 3 THEN greatest(l_quantity, 25) ELSE l_quantity END) AS n FROM lineitem WHERE l_quantity <= 30 OR l_linenumber <= 3 GROUP BY ALL")
+def j8b(spark: SparkSession, sf: str) -> DataFrame:
+    """Links written again take the place of the old ones; their count never shrinks."""
+    old = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lit("old").alias("status"), F.col("l_quantity").alias("n"))
+    new = old.filter("l_linenumber <= 3").withColumns({"status": F.lit("new"), "n": F.greatest("n", F.lit(25.0))})
+    return star.upsert_links(old.filter("n <= 30"), new, ["l_orderkey", "l_linenumber"], ["n"])
 
 
 @query("J9_source_enrichment", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
@@ -338,10 +348,7 @@ def a1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A2_pool_stats", A + "SELECT source_code, count(*) AS discovered, least(count(*), 40) AS candidates, count(*) > 40 AS cap_hit, least(count(*), 20) AS initial, greatest(least(count(*), 40) - 20, 0) AS deferred FROM articles GROUP BY source_code")
 def a2(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    ranked = articles(spark, sf).select("source_code", F.row_number().over(Window.partitionBy("source_code").orderBy("ingest_seq")).alias("rank"))
-    return metrics.pool_stats(ranked, "source_code", "rank", 40, 20)
+    return metrics.pool_counts(articles(spark, sf), "source_code", 40, 20)
 
 
 def _catalogue(spark: SparkSession) -> DataFrame:
@@ -370,13 +377,12 @@ def a5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A6_run_summary", R + "SELECT status, count(DISTINCT source_id) AS sources, sum(n)::BIGINT AS articles, count(*) FILTER (n >= 20) AS with_content FROM runs GROUP BY status")
 def a6(spark: SparkSession, sf: str) -> DataFrame:
-    return runs(spark, sf).groupBy("status").agg(F.countDistinct("source_id").alias("sources"), F.sum("n").alias("articles"), F.count_if(F.col("n") >= 20).alias("with_content"))
+    return metrics.run_summary(runs(spark, sf), "status", "source_id", "n", 20)
 
 
 @query("A7_reachability", R + "SELECT source_id, count(*) AS probes, count(*) FILTER (n < 30) AS reachable, array_to_string(list_sort(list(DISTINCT status) FILTER (n >= 30)), ',') AS bad FROM runs GROUP BY source_id")
 def a7(spark: SparkSession, sf: str) -> DataFrame:
-    ok = F.col("n") < 30
-    return runs(spark, sf).groupBy("source_id").agg(F.count(F.lit(1)).alias("probes"), F.count_if(ok).alias("reachable"), F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(~ok, F.col("status")))), ","), F.lit("")).alias("bad"))
+    return metrics.probe_summary(runs(spark, sf), "source_id", F.col("n") < 30, "status")
 
 
 @query("A8_source_health", R + ", s AS (SELECT *, sum((status = 'success')::INT) OVER (PARTITION BY source_id ORDER BY finished_at, run_id) AS g FROM runs), m AS (SELECT source_id, max(g) AS g FROM s GROUP BY source_id) SELECT source_id, count(*) FILTER (status <> 'success') AS failures, (SELECT max(finished_at) FROM runs r WHERE r.source_id = s.source_id AND status = 'success') AS last_success, arg_max(n, (finished_at, run_id)) AS last_count FROM s JOIN m USING (source_id, g) GROUP BY source_id")
@@ -386,18 +392,17 @@ def a8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A9_distinct_sources", A + "SELECT lang, count(DISTINCT source_code) AS n, array_to_string(list_sort(list(DISTINCT source_code)), ',') AS sources FROM articles GROUP BY lang HAVING count(DISTINCT source_code) >= 3")
 def a9(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.array_sort(F.collect_set("source_code"))
-    return articles(spark, sf).groupBy("lang").agg(s.alias("s")).filter(F.size("s") >= 3).select("lang", F.size("s").cast("long").alias("n"), F.array_join("s", ",").alias("sources"))
+    return metrics.corroborated(articles(spark, sf), "lang", "source_code", 3)
 
 
 @query("A10_share", N + "SELECT batch_id, round(avg((info_type IN ('type1', 'type2'))::INT), 4) AS share FROM analyses GROUP BY batch_id")
 def a10(spark: SparkSession, sf: str) -> DataFrame:
-    return analyses(spark, sf).groupBy("batch_id").agg(F.coalesce(F.round(F.avg(F.col("info_type").isin("type1", "type2").cast("int")), 4), F.lit(0.0)).alias("share"))
+    return metrics.share(analyses(spark, sf), "batch_id", F.col("info_type").isin("type1", "type2"))
 
 
 @query("A11_failure_reasons", R + "SELECT status, count(*) AS count FROM runs WHERE status <> 'success' GROUP BY status")
 def a11(spark: SparkSession, sf: str) -> DataFrame:
-    return runs(spark, sf).filter("status <> 'success'").groupBy("status").count()
+    return metrics.reason_counts(runs(spark, sf), "status")
 
 
 @query("A12_batch_status", "SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS succeeded, count(*) FILTER (l_returnflag = 'R') AS failed, CASE WHEN count(*) FILTER (l_returnflag = 'R') = 0 THEN 'success' WHEN count(*) FILTER (l_returnflag <> 'R') > 0 THEN 'partial_success' ELSE 'failed' END AS status, coalesce(string_agg(l_linestatus || l_linenumber::VARCHAR, ';' ORDER BY l_linestatus || l_linenumber::VARCHAR) FILTER (l_returnflag = 'R'), '') AS errors FROM lineitem GROUP BY l_orderkey")
@@ -407,14 +412,14 @@ def a12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A13_operation_metrics", N + "SELECT batch_id, count(*) AS l1, count(*) FILTER (status = 'success') AS l2, count(*) FILTER (deep) AS l3, count(DISTINCT category) AS categories FROM analyses GROUP BY batch_id")
 def a13(spark: SparkSession, sf: str) -> DataFrame:
-    return analyses(spark, sf).groupBy("batch_id").agg(F.count(F.lit(1)).alias("l1"), F.count_if(F.col("status") == "success").alias("l2"), F.count_if("deep").alias("l3"), F.countDistinct("category").alias("categories"))
+    return metrics.operation_metrics(analyses(spark, sf), "batch_id", F.col("status") == "success", F.col("deep"), "category")
 
 
-@query("A14_tag_distribution", "SELECT tag, count(*) AS count FROM (SELECT unnest(string_split(lower(substr(text, 1, 200)), ' ')) AS tag FROM documents) GROUP BY tag")
+@query("A14_tag_distribution", "SELECT tag, count(*) AS count FROM (SELECT unnest(string_split(lower(text), ' ')) AS tag FROM documents) GROUP BY tag")
 def a14(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.explode_counts(table(spark, sf, "documents").select(F.split(F.lower(F.substring("text", 1, 200)), " ").alias("tags")), "tags", "tag")
+    return metrics.explode_counts(table(spark, sf, "documents").select(F.split(F.lower("text"), " ").alias("tags")), "tags", "tag")
 
 
 @query("A15_count_never_shrinks", "SELECT o_custkey, greatest(max(o_orderkey % 50), count(*)) AS n FROM orders GROUP BY o_custkey")
 def a15(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.greatest(F.max(F.col("o_orderkey") % 50), F.count(F.lit(1))).alias("n"))
+    return metrics.never_less(table(spark, sf, "orders"), "o_custkey", F.col("o_orderkey") % 50)

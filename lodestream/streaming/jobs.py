@@ -53,10 +53,15 @@ def health_stream(stream: DataFrame, source: str, ts: str, status: str, tie: str
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (run,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(frames)).sort_values([ts, tie])
-        ok = (rows[status] == "success").to_numpy()
-        run = int(len(ok) - 1 - ok.nonzero()[0][-1]) if ok.any() else run + len(ok)
+        # frame by frame: the last success and, in order, what may come after it
+        last, later, n = None, [], 0
+        for f in frames:
+            n += len(f)
+            at, ok = list(zip(f[ts], f[tie], strict=True)), (f[status] == "success").to_numpy()
+            last = max([a for a, good in zip(at, ok, strict=True) if good] + ([last] if last else []), default=None)
+            later = [a for a in later + [a for a, good in zip(at, ok, strict=True) if not good] if last is None or a > last]
+        run = len(later) if last else run + len(later)
         state.update((run,))
-        yield pd.DataFrame({source: [key[0]], "failures": [run], "rows": [len(rows)]})
+        yield pd.DataFrame({source: [key[0]], "failures": [run], "rows": [n]})
 
     return stream.groupBy(source).applyInPandasWithState(step, f"{source} long, failures long, rows long", "failures long", "append", "NoTimeout")

@@ -3,11 +3,12 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import scores, text, urls
-from lodestream.operators import answers, dedup, filters, pages, ranking, report, retrieval, topics
-from lodestream.sources import files
+from lodestream.operators import answers, dedup, filters, pages, ranking, report, retrieval, star, topics
+from lodestream.sources import files, store
 from lodestream.sources.store import shared_path
 from lodestream.streaming import jobs
 
@@ -215,3 +216,92 @@ def test_absolute_links(spark):
     links = ["z", "/z", "../z", "./z/../w", "?p=2", "//b.com/c", "https://b.com/d#e", "mailto:x", "", "z/w.html", "#f"]
     got = {r["u"]: r["v"] for r in spark.createDataFrame([(u, base) for u in links], "u string, b string").select("u", pages.absolute("u", "b").alias("v")).collect()}
     assert got == {u: urljoin(base, u).split("#")[0] for u in links}
+
+
+def test_numbers_at_size(spark):
+    n = 200_000
+    rows = spark.range(n).select("id", F.pmod(F.xxhash64("id"), F.lit(997)).alias("k"), *(F.concat(F.lit(f"c{i}-"), F.col("id").cast("string")).alias(f"c{i}") for i in range(6)))
+    got = star.numbered(rows, [F.col("k").desc(), F.col("id")]).select("n", "k", "id").toPandas()
+    want = sorted(zip((-got["k"]).tolist(), got["id"].tolist(), strict=True))
+    got = got.sort_values("n")
+    assert got["n"].tolist() == list(range(1, n + 1)) and list(zip((-got["k"]).tolist(), got["id"].tolist(), strict=True)) == want
+    within = star.numbered_within(rows.select("id", (F.col("id") % 3).alias("g")), "g", [F.col("id").desc()]).filter("g = 1").agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()
+    assert tuple(within) == (1, 66_667, 66_667)
+    assert star.numbered(rows.limit(0), [F.col("id")]).count() == 0
+
+
+def test_connected_topics(spark):
+    rows = [(1, 9.0, ["a", "b", "c"], "x"), (2, 8.0, ["b", "c", "d"], "x"), (3, 7.0, ["c", "d", "e"], "x"), (4, 6.0, ["a", "b", "c"], "y"), (5, 5.0, ["a", "b", "c"], "x"), (6, 4.0, [], "x"), (7, 3.0, None, None), (8, 2.0, ["d", "c", "b"], "x")]
+    df = spark.createDataFrame(rows, "k long, s double, t array<string>, g string")
+    order = [-F.col("s")]
+    got = lambda **kw: {r["k"]: r["topic_id"] for r in topics.connected_topics(df, "k", "t", order, by="g", threshold=0.5, **kw).collect()}
+    assert got() == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6, 7: 7, 8: 1}
+    assert got(max_members=2) == {1: 1, 2: 1, 3: 3, 5: 3, 8: 8, 4: 4, 6: 6, 7: 7}
+    # the greedy pass takes its members in by the grown set instead
+    greedy = {r["k"]: r["topic_id"] for r in topics.cluster_topics(df.filter("size(t) > 0"), "k", "t", order, by="g", threshold=0.5).collect()}
+    assert greedy[2] == 1 and greedy[4] == 4
+    assert topics.connected_topics(df.limit(0), "k", "t", order).count() == 0
+    many = spark.createDataFrame([(i, float(i), ["same", "words", f"w{i}"], "x") for i in range(1200)], "k long, s double, t array<string>, g string")
+    assert {r["topic_id"] for r in topics.connected_topics(many, "k", "t", order, threshold=0.4).collect()} == {1199}
+
+
+def test_snapshot_by_time(spark, tmp_path):
+    df = spark.createDataFrame([("h", 1)], "url_hash string, seq long")
+    for number, at, seq in (("COL-9", "2024-01-01", 9), ("COL-10", "2024-01-02", 10), ("VAL-1.2", "2024-01-03", 12)):
+        files.write_snapshot(df.withColumn("seq", F.lit(seq)), f"{tmp_path}/s", number, "seq", at)
+    assert files.read_snapshot(spark, f"{tmp_path}/s").first()["seq"] == 10
+    assert files.read_snapshot(spark, f"{tmp_path}/s", "VAL-1.2.json").first()["seq"] == 12
+
+
+def test_main_content(spark):
+    html = [
+        "<body>x<div class='big post-content'>in <aside>no</aside><div class='ad'>no</div><form>no</form><p>side</div>out</body>",
+        "<div id=content>last</div><main>second<nav>no</nav></main>", "<div role=main>r</div><article>first</article><article>later</article>", "<p>all</p>", "<div class='article-content'>a</div>", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(html)), "k long, html string").withColumn("url", F.lit("https://a.b/"))
+    assert [r["main"] for r in pages.parse_pages(df, "k").orderBy("k").collect()] == ["in\nside", "second", "first", "all", "a", ""]
+
+
+def test_feeds_and_titles(spark):
+    html = ["<p>x</p><?XML version='1.0'?><rss>y</rss>", "<link rel=alternate type='application/xml' href='/f'><link rel=alternate type='application/rss+xml' href='/f'>", "<link rel=alternate href='/no'>", None]
+    df = spark.createDataFrame(list(enumerate(html)), "k long, html string").withColumn("url", F.lit("https://a.b/c/"))
+    assert sorted(tuple(r) for r in pages.feed_links(df, "k").collect()) == [(0, "embedded", "<?XML version='1.0'?><rss>y</rss>"), (1, "link", "https://a.b/f")]
+    links = "<a href='/x/long-one'>A long title</a><a href='/x/y2'>short</a><a href='/x/z3'>首页</a><a href='/x/w4'><img alt='an image title'></a>"
+    got = pages.extract_links(pages.parse_pages(spark.createDataFrame([(1, links, "https://a.b/")], "k long, html string, url string"), "k"), "k").collect()
+    assert sorted(r["url"] for r in got) == ["https://a.b/x/long-one", "https://a.b/x/w4"]
+
+
+def test_chunk_function_agrees(spark):
+    texts = ["a\n\nb", "x" * 5000, "\n\n".join(["p" * 700] * 9), " \n\n ", "", None, "q" * 1999 + "\n\n" + "r"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    spark.udtf.register("text_chunks", retrieval.TextChunks)
+    one = sorted(tuple(r) for r in retrieval.chunk(df, "k", "t").collect())
+    assert one == sorted(tuple(r) for r in spark.sql("SELECT d.k, c.chunk_no, c.chunk FROM {d} d, LATERAL text_chunks(d.t) c", d=df).collect())
+
+
+def test_import_is_idempotent(spark):
+    from lodestream.plans import jobs as plans
+
+    held, payload = plans._star(spark, "/root/testdata/sf0.001")
+    once = star.import_batch(held, payload, "COL-7")
+    failed = once["batches"].first()
+    assert failed["status"] == "partial_success" and failed["failed_count"] > 0
+    good = payload | {k: payload[k].join(once["articles"].select("url_hash"), "url_hash", "left_semi") for k in ("analyses", "insights")}
+    done = star.import_batch(held, good, "COL-7")
+    again = star.import_batch(done, good, "COL-7")
+    assert done["batches"].first()["status"] == "success" and all(again[k] is done[k] for k in done)
+    assert star.import_batch(once, good, "COL-7")["links"].count() == done["links"].count()
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        store.shared_root(Session)
