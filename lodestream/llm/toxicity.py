@@ -7,7 +7,7 @@ before it wrote: negation turns insults and threats within its reach into denied
 ones, up to the next pause; reported speech and target mark the end of the clause
 in which they stand, before or after the match; insult and threat add to that end
 what they saw. ``compose`` makes one machine of them. At the end of a clause it
-emits the matches with their context, and the weights of the contexts, learnt
+emits its matches with their context, and the weights of the contexts, learnt
 from labels, score the clauses of a text. So "not a fool" and "they said: you
 fool" weigh differently from "you fool" if the labels say so. A context that the
 labels rarely show starts from the weights stated below.
@@ -198,7 +198,7 @@ class Grammar:
         return out
 
     def matches(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Counts of clauses with each context for each row."""
+        """Counts of matches in each context for each row."""
         w = read(data, off)
         symbols = self.symbols(w)
         out = np.zeros((len(off) - 1, len(CONTEXTS)))
@@ -215,11 +215,11 @@ class Grammar:
         begins = np.searchsorted(clause, ends)
         symbol = symbol.tolist()
         for row, i, j in zip(w.row[hits[first]].tolist(), begins.tolist(), [*begins[1:].tolist(), len(symbol)], strict=True):
-            state = 0
-            for s in symbol[i:j]:
+            state, path = 0, symbol[i:j]
+            for s in path:
                 state = STEP[state][s]
             for c in EMIT[state]:
-                out[row, c] += 1
+                out[row, c] += path.count(CONTEXTS[c][0])
         return out
 
 

@@ -561,7 +561,7 @@ def read_clauses(text):
             since = 0 if kind == toxicity.NEGATION else since + 1
         for kind in (toxicity.INSULT, toxicity.THREAT):
             if seen[kind]:
-                out[kind, int(bool(seen[toxicity.TARGET])), int(all(seen[kind])), int(bool(seen[toxicity.REPORT]))] += 1
+                out[kind, int(bool(seen[toxicity.TARGET])), int(all(seen[kind])), int(bool(seen[toxicity.REPORT]))] += len(seen[kind])
     return out
 
 
@@ -570,7 +570,7 @@ def test_grammar(spark):
     says = {
         "You are an idiot": [(i, 1, 0, 0)], "he is not an idiot": [(i, 1, 1, 0)], "they said you idiot": [(i, 1, 0, 1)], "fine words. Idiot": [(i, 0, 0, 0)], "": [], "I will kill you": [(t, 1, 0, 0)],
         "idiot, you are": [(i, 1, 0, 0)], 'They said: "you idiot"': [(i, 1, 0, 1)], "do not say you are an idiot": [(i, 1, 1, 1)], "“you idiot”, they wrote": [(i, 1, 0, 1)], "no, you idiot": [(i, 1, 0, 0)],
-        "never a fool. what a fool": [(i, 0, 1, 0), (i, 0, 0, 0)], "you idiot, I will beat you": [(i, 1, 0, 0), (t, 1, 0, 0)], "not a fool, a moron": [(i, 0, 0, 0)], "we don't destroy them": [(t, 1, 1, 0)],
+        "never a fool. what a fool": [(i, 0, 1, 0), (i, 0, 0, 0)], "you idiot, I will beat you": [(i, 1, 0, 0), (t, 1, 0, 0)], "not a fool, a moron": [(i, 0, 0, 0)] * 2, "we don't destroy them": [(t, 1, 1, 0)],
     }
     assert contexts(list(says)) == [Counter(v) for v in says.values()]
     rng = random.Random(13)
