@@ -278,22 +278,31 @@ def weigh(counts: DataFrame, labels: DataFrame) -> np.ndarray:
     w = start.copy()
     train = stored(counts.join(labels.hint("merge"), "doc_id").select("x", F.col("label").cast("double").alias("y")).repartition(SUMS), "train")
     pull = np.diag([0.01] + [PRIOR_ROWS] * len(PRIOR))
-    for _ in range(12):
+    best = None  # (loss, weights, step from there)
+    for _ in range(40):
 
         def part(x: np.ndarray, y: np.ndarray, w: np.ndarray = w) -> np.ndarray:
             z = terms(x)
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            return np.concatenate([(z.T * (p * (1 - p)) @ z).ravel(), z.T @ (y - p)])
+            t = z @ w
+            p = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
+            return np.concatenate([(z.T * (p * (1 - p)) @ z).ravel(), z.T @ (y - p), [np.sum(np.logaddexp(0, t) - y * t)]])
 
         s = _sum_rows(train, part)
         if not len(s):
             return start
-        d = len(w)
-        move = np.linalg.solve(s[: d * d].reshape(d, d) + pull, s[d * d :] - pull @ (w - start))
-        w = w + np.clip(move, -2, 2)
-        if np.abs(move).max() < 1e-3:
-            break
-    return w
+        d, off = len(w), w - start
+        loss = s[-1] + off @ pull @ off / 2
+        if best is None or loss <= best[0]:
+            move = np.linalg.solve(s[: d * d].reshape(d, d) + pull, s[d * d : -1] - pull @ off)
+            best = loss, w, np.clip(move, -2, 2)
+            if np.abs(move).max() < 1e-3:
+                break
+        else:  # too far: half the way
+            best = best[0], best[1], best[2] / 2
+            if np.abs(best[2]).max() < 1e-6:
+                break
+        w = best[1] + best[2]
+    return best[1]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
