@@ -8,7 +8,8 @@ it, a subset-sum dynamic programme over bitsets finds the fullest feasible
 combination of what is left; that combination is used as often as its pieces
 last. Pieces then take the places of their length in order. Null counts as
 empty text; an empty document is its end id; an empty table gives no row;
-repeated rows are packed each for itself.
+repeated rows are packed each for itself; columns other than key and text are
+ignored.
 """
 
 from __future__ import annotations

@@ -3,11 +3,13 @@
 Vectors with the same label link when their cosine, in double precision, is at
 least the threshold. On unit vectors that is a distance of at most EPS =
 sqrt(2 - 2 threshold). Vectors are sorted by their grid cells (side EPS) on the
-leading principal dimensions and cut into blocks. Blocks of a label whose boxes
-are farther apart than EPS are provably distant and skipped; for the others,
-the intervals of both are halved again and again, distant halves skipped, and
-short ones compared. A task reports how many links each vector has and a
-spanning forest of them, never all pairs; components join the forests.
+leading principal dimensions and cut into blocks. Neighbours in that sequence
+make a tree of intervals, FAN to a node, each with its box. From each label's
+root down, two intervals whose boxes are farther apart than EPS are provably
+distant and skipped; the others are joined with their parts, down to blocks,
+within them down to short intervals, which are compared. So pairs of distant
+blocks never exist. A task reports how many links each vector has and a spanning
+forest of them, never all pairs; components join the forests.
 
 Vectors alike in label and all components are compared once and counted as often as they
 occur. Vectors that are null, empty, zero, or hold null or non-finite
@@ -27,33 +29,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.components import components
 from lodestream.llm.near_dedup import _forest
-from lodestream.llm.store import stored
+from lodestream.llm.store import discard, stored
+from lodestream.operators.components import components
 
 THRESHOLD = 0.93
 #: Principal dimensions of the grid, vectors in a block, and in an interval that isn't halved again.
 AXES, BLOCK, LEAF = 6, 512, 64
+#: Intervals that make one of the next level: 2 to this power.
+FAN_BITS = 4
 #: Pairs of blocks that go to Python at once.
 BATCH_ROWS = 32
 #: Longer vectors get their axes from their first so many components.
 AXES_FROM = 128
 
 
-def _unit(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, unit vector) of those that can link."""
+def _units(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) of those that can link, by length of the vectors."""
     labels, vectors = batch.column(1), batch.column(2)
-    for i in range(batch.num_rows):
-        if not labels[i].is_valid or not vectors[i].is_valid:
-            continue
-        values = vectors[i].values
-        if not len(values) or values.null_count:
-            continue
-        v = values.to_numpy(zero_copy_only=False).astype(np.float64)
-        top = np.abs(v).max()
-        if np.isfinite(top) and top > 0:
-            v = v / top
-            yield i, v / math.sqrt(float(v @ v))
+    values = vectors.values.to_numpy(zero_copy_only=False)  # null components as nan
+    at = vectors.offsets.to_numpy()
+    size = np.where(np.asarray(vectors.is_valid()) & np.asarray(labels.is_valid()), np.diff(at), 0)
+    for d in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == d)
+        x = values[at[rows][:, None] + np.arange(d)].astype(np.float64)
+        top = np.abs(x).max(1)
+        good = np.isfinite(top) & (top > 0)
+        x = x[good] / top[good][:, None]
+        yield rows[good], x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def _named(vectors: DataFrame) -> DataFrame:
@@ -64,14 +67,22 @@ def _named(vectors: DataFrame) -> DataFrame:
             n = batch.num_rows
             name, dim, unit = [None] * n, [None] * n, [None] * n
             labels = batch.column(1).to_pylist()
-            for i, v in _unit(batch):
-                unit[i], dim[i] = v.tobytes(), len(v)
-                name[i] = hashlib.blake2b(repr((labels[i], len(v))).encode() + unit[i], digest_size=16).digest()
+            for rows, x in _units(batch):
+                for i, v in zip(rows.tolist(), x, strict=True):
+                    unit[i], dim[i] = v.tobytes(), len(v)
+                    name[i] = hashlib.blake2b(repr((labels[i], len(v))).encode() + unit[i], digest_size=16).digest()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.binary()), pa.array(labels, pa.int64()), pa.array(dim, pa.int32()), pa.array(unit, pa.binary())], ["vec_id", "name", "label", "dim", "unit"])
 
     return vectors.mapInArrow(each, "vec_id long, name binary, label long, dim int, unit binary")
 
 
+def _vectors(units: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
+    """The rows of a binary column as a matrix."""
+    _, offsets, data = units.buffers()
+    at = np.frombuffer(offsets, np.int32)[units.offset : units.offset + len(units) + 1][rows]
+    return np.frombuffer(data, np.uint8)[at[:, None] + np.arange(8 * dim)].view(np.float64)
+
+
 def _axes(reps: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each dimension: the mean and the leading principal axes, from sums over all vectors."""
 
@@ -81,7 +92,7 @@ def _axes(reps: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
             dims, units = np.asarray(batch.column(0)), batch.column(1)
             for d in np.unique(dims):
                 k = min(int(d), AXES_FROM)
-                x = np.stack([np.frombuffer(units[int(i)].as_py(), np.float64)[:k] for i in np.flatnonzero(dims == d)])
+                x = _vectors(units, np.flatnonzero(dims == d), int(d))[:, :k]
                 x = np.hstack([np.ones((len(x), 1)), x])
                 sums[int(d)] = sums.get(int(d), 0) + x.T @ x
         for d, s in sums.items():
@@ -134,6 +145,40 @@ def _join(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, same: bool
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
+def _near_blocks(made: DataFrame, reach: float) -> DataFrame:
+    """(block, block2) with block <= block2, of a label and length, whose boxes are within reach, by descent from the roots of the trees.
+
+    ``made``: block (its task in the upper 32 bits, its number there in the lower), label, dim, lo, hi.
+    """
+    most = made.agg(F.max(F.shiftright("block", 32)).alias("part"), F.max(F.col("block").bitwiseAND(2**32 - 1)).alias("number")).first()
+    levels = lambda n: -(-int(n or 0).bit_length() // FAN_BITS)
+    inner, outer = levels(most["number"]), levels(most["part"])
+
+    def node(level: int) -> F.Column:
+        """The interval of that level that a block is in: first the numbers of a task are gathered, then tasks."""
+        if level <= inner:
+            low = F.shiftright(F.col("block").bitwiseAND(2**32 - 1), FAN_BITS * level)
+            return F.shiftleft(F.shiftright("block", 32), 32).bitwiseOR(low)
+        return F.shiftleft(F.shiftright("block", 32 + FAN_BITS * (level - inner)), 32)
+
+    keys = ["label", "dim"]
+    boxes = made.select(*keys, "block", *(F.col(side)[k].alias(f"{side}{k}") for side in ("lo", "hi") for k in range(AXES)))
+    sides = [f"{side}{k}" for side in ("lo", "hi") for k in range(AXES)]
+    apart = None
+    for k in range(AXES):
+        gap = F.greatest(F.col(f"b_lo{k}") - F.col(f"hi{k}"), F.col(f"lo{k}") - F.col(f"b_hi{k}"), F.lit(0.0))
+        apart = gap * gap if apart is None else apart + gap * gap
+    pairs = made.select(*keys, node(inner + outer).alias("a")).distinct().withColumn("b", F.col("a"))
+    for level in range(inner + outer - 1, -1, -1):
+        kids = boxes.select(*keys, node(level).alias("kid"), node(level + 1).alias("a"), *sides)
+        ends = [(F.min if c.startswith("lo") else F.max)(c).alias(c) for c in sides]
+        kids = stored(kids.groupBy(*keys, "a", "kid").agg(*ends), "intervals")
+        others = kids.select(*keys, F.col("a").alias("b"), F.col("kid").alias("kid2"), *(F.col(c).alias(f"b_{c}") for c in sides))
+        met = pairs.join(kids.hint("merge"), [*keys, "a"]).join(others.hint("merge"), [*keys, "b"])
+        pairs = stored(met.filter((F.col("kid") <= F.col("kid2")) & (apart <= reach)).select(*keys, F.col("kid").alias("a"), F.col("kid2").alias("b")), "near")
+    return pairs.select(F.col("a").alias("block"), F.col("b").alias("block2"))
+
+
 def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     spark = vectors.sparkSession
     eps = math.sqrt(2 - 2 * threshold)
@@ -148,7 +193,7 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label",
             cell = np.zeros((batch.num_rows, AXES), np.int32)
             for d in np.unique(dims):
                 mine = np.flatnonzero(dims == d)
-                x = np.stack([np.frombuffer(units[int(i)].as_py(), np.float64) for i in mine])
+                x = _vectors(units, mine, int(d))
                 cell[mine] = np.floor(_placed(x, axes.value[int(d)]) / eps)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cell[:, k]) for k in range(AXES))], [*batch.schema.names, *(f"c{k}" for k in range(AXES))])
 
@@ -163,26 +208,33 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label",
         part, number, held, of = TaskContext.get().partitionId(), 0, [], None
 
         def row() -> pa.RecordBatch:
-            x = np.stack([np.frombuffer(u, np.float64) for _, _, u in held])
+            names, times, x = (list(v) for v in zip(*held, strict=True))
+            x = np.concatenate(x)
             p = _placed(x, axes.value[of[1]])
             box = lambda v: pa.array([v.tolist()], pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([of[0]], pa.int64()), pa.array([of[1]], pa.int32()), box(p.min(0)), box(p.max(0)), pa.array([[n for n, _, _ in held]], pa.list_(pa.binary())), pa.array([[t for _, t, _ in held]], pa.list_(pa.int64())), pa.array([b"".join(u for _, _, u in held)], pa.binary())], ["block", "label", "dim", "lo", "hi", "names", "times", "units"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([of[0]], pa.int64()), pa.array([of[1]], pa.int32()), box(p.min(0)), box(p.max(0)), pa.array([sum(names, [])], pa.list_(pa.binary())), pa.array([sum(times, [])], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], ["block", "label", "dim", "lo", "hi", "names", "times", "units"])
 
         for batch in batches:
-            for name, times, lab, dim, unit in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if held and (len(held) == BLOCK or of != (lab, dim)):
+            label, dim = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            begin, n = 0, batch.num_rows
+            while begin < n:  # a run of one label and length that the open block has room for
+                mine = (int(label[begin]), int(dim[begin]))
+                full = sum(len(h[0]) for h in held)
+                if held and (full == BLOCK or of != mine):
                     yield row()
-                    number, held = number + 1, []
-                of = (lab, dim)
-                held.append((name, times, unit))
+                    number, held, full = number + 1, [], 0
+                of = mine
+                end = min(n, begin + BLOCK - full)
+                other = np.flatnonzero((label[begin:end] != mine[0]) | (dim[begin:end] != mine[1]))
+                end = begin + int(other[0]) if len(other) else end
+                part_of = batch.slice(begin, end - begin)
+                held.append((part_of.column(0).to_pylist(), part_of.column(1).to_pylist(), _vectors(part_of.column(4), np.arange(end - begin), mine[1])))
+                begin = end
         if held:
             yield row()
 
     made = stored(sorted_.select("name", "times", "label", "dim", "unit").mapInArrow(blocks, "block long, label long, dim int, lo array<double>, hi array<double>, names array<binary>, times array<long>, units binary"), "blocks")
-    one = made.select("label", "dim", "block", "lo", "hi")
-    two = one.select("label", "dim", *(F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi")))
-    apart = F.aggregate(F.zip_with(F.zip_with("lo2", "hi", lambda a, b: a - b), F.zip_with("lo", "hi2", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))), F.lit(0.0), lambda s, d: s + d * d)
-    near = one.join(two.hint("merge"), ["label", "dim"]).filter((F.col("block") <= F.col("block2")) & (apart <= 2 - 2 * threshold + 1e-9)).select("block", "block2")
+    near = _near_blocks(made.select("block", "label", "dim", "lo", "hi"), 2 - 2 * threshold + 1e-9)
     payload = ["dim", "names", "times", "units"]
     tasks = near.join(made.select("block", *payload).hint("merge"), "block").join(made.select(F.col("block").alias("block2"), *(F.col(c).alias(f"{c}2") for c in payload[1:])).hint("merge"), "block2")
 
@@ -210,12 +262,14 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label",
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([int(more[i]) for i in hit] + [0] * len(links), pa.int64())], ["a", "b", "more"])
 
     found = stored(tasks.select((F.col("block") == F.col("block2")).alias("same"), *payload, *(f"{c}2" for c in payload[1:])).mapInArrow(link, "a binary, b binary, more long"), "links", BATCH_ROWS)
+    for table in (grid, made):
+        discard(table)
     roots = components(found.filter("b is not null").select("a", "b"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("more").alias("more"))
     known = reps.select("name", "vec_id", "times").join(roots.withColumnRenamed("node", "name").hint("merge"), "name", "left").join(counts.hint("merge"), "name", "left")
     known = stored(known.select("name", "vec_id", F.coalesce("root", "name").alias("root"), (F.coalesce("more", F.lit(0)) + F.col("times") - 1).alias("n_links")), "classes")
-    heads = known.groupBy("root").agg(F.min("vec_id").alias("head"))
-    classes = stored(known.join(heads.hint("merge"), "root").select("name", "n_links", "head"), "heads")
+    heads = stored(known.groupBy("root").agg(F.min("vec_id").alias("head")), "heads")
+    classes = stored(known.join(heads.hint("merge"), "root").select("name", "n_links", "head"), "components")
     out = rows.select("vec_id", "name").join(classes.hint("merge"), "name", "left")
     component = F.when(F.col("name").isNull(), F.col("vec_id")).otherwise(F.col("head"))
     return out.select(F.col("vec_id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -11,21 +11,25 @@ A document's set is that of its distinct shingles of five words, in lower case
 3. The union sketch of a pair, the smallest values of both, estimates their
    similarity; pairs under FLOOR, some five deviations below the threshold, go
    (1.4 in a million of those at the threshold, by the binomial of the sketch).
-4. A set with common values is also listed under its PREFIX smallest of them, not
-   pair by pair but block by block, unless more than OWN of its values are
-   uncommon. At the threshold a quarter of the values is unshared, so two sets
-   share no list of either kind with a chance of under one in a hundred million.
-5. Sets with a possible partner are dealt to blocks so that partners are close:
-   in the order of the classes that pairs and common values form. Blocks that
-   share a pair or a common value are compared by exact counts on their full
-   sets, and a spanning forest of the links leaves each comparison.
-6. Connected components of these links give each document its class.
+4. A set with common values is also listed under its PREFIX smallest of them,
+   unless more than OWN of its values are uncommon. At the threshold a quarter of
+   the values is unshared, so two sets share no list of either kind with a chance
+   of under one in a hundred million. These lists aren't paired. The smallest set
+   of a list, what its members have in common and little else, leads it; each
+   member is compared, on full sets, with the leader that its sketch is closest
+   to. A large group of near copies is joined by that, one comparison each.
+5. What can still join classes is left: pairs and lists whose sets are of several
+   classes. Their sets are dealt to blocks, in order of the classes, so that most
+   blocks hold one class. Blocks that share a pair or a list are compared by
+   exact counts, unless both hold the same one class, and a spanning forest of
+   the links leaves each comparison.
+6. Connected components of all links give each document its class.
 
 Sets hold 64-bit hashes of the shingles (of 64-bit hashes of the words), and a
 set is named by 128 bits, so equal names mean equal texts but for collisions of
 such hashes. Texts with fewer than five words are one shingle; texts without
 words and nulls have the empty set and link with nothing. Rows with the same
-doc_id are judged by their own texts. A set without any doc_id links with
+doc_id are judged by their own texts; further columns are ignored, and kept by ``deduplicated``, whatever their names. A set without any doc_id links with
 nothing; a row without one belongs to the class of its set. An empty table gives
 no row.
 """
@@ -40,8 +44,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm import words as W
-from lodestream.llm.components import components
-from lodestream.llm.store import fresh, stored
+from lodestream.llm.store import discard, fresh, stored
+from lodestream.operators.components import components
 
 SHINGLE = 5
 THRESHOLD = 75  # per hundred
@@ -105,19 +109,35 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(each, f"`{key}` {kind}, name binary, n_shingles long, sketch array<bigint>")
 
 
-def _pairs(listed: DataFrame) -> DataFrame:
-    """(name, other) of sets that share a listed value and may be similar by size and union sketch."""
-    left = listed.select("name", "n", F.explode("prefix").alias("value"))
-    right = left.select(F.col("name").alias("other"), F.col("n").alias("m"), "value")
-    sizes = (100 * F.least("n", "m") >= THRESHOLD * F.greatest("n", "m"))
-    pairs = left.join(right.hint("merge"), "value").filter((F.col("name") < F.col("other")) & sizes).select("name", "other").distinct()
+def _estimated(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """``pairs`` (name, other) with the sizes of the shared sketch and of the union sketch."""
     own = listed.select("name", "sketch")
     pairs = pairs.join(own.hint("merge"), "name").join(own.select(F.col("name").alias("other"), F.col("sketch").alias("sketch2")).hint("merge"), "other")
     # hashes in the order of unsigned numbers: the sign bit is turned
     turn = lambda a: F.transform(a, lambda x: x.bitwiseXOR(F.lit(-(2**63)).cast("long")))
     union = F.slice(F.array_sort(turn(F.array_union("sketch", "sketch2"))), 1, SKETCH)
     shared = F.size(F.array_intersect(turn(F.array_intersect("sketch", "sketch2")), union))
-    return pairs.filter(shared >= FLOOR * F.size(union)).select("name", "other")
+    return pairs.select("name", "other", shared.alias("shared"), F.size(union).alias("union")).filter(F.col("shared") >= FLOOR * F.col("union"))
+
+
+def _alike(n: str, m: str) -> F.Column:
+    return 100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m)
+
+
+def _pairs(listed: DataFrame) -> DataFrame:
+    """(name, other) of sets that share a listed value and may be similar by size and union sketch."""
+    left = listed.select("name", "n", F.explode("prefix").alias("value"))
+    right = left.select(F.col("name").alias("other"), F.col("n").alias("m"), "value")
+    pairs = left.join(right.hint("merge"), "value").filter((F.col("name") < F.col("other")) & _alike("n", "m")).select("name", "other").distinct()
+    return _estimated(pairs, listed).select("name", "other")
+
+
+def _stars(listed: DataFrame, lists: DataFrame) -> DataFrame:
+    """(name, other): for each set under common values, of the leaders of its lists the one that its sketch is closest to."""
+    leaders = stored(lists.groupBy("value").agg(F.min(F.struct("n", "name")).alias("l")).select("value", F.col("l.n").alias("m"), F.col("l.name").alias("other")), "leaders")
+    stars = lists.join(leaders.hint("merge"), "value").filter((F.col("name") != F.col("other")) & _alike("n", "m")).select("name", "other").distinct()
+    best = F.max(F.struct((F.col("shared") / F.col("union")).alias("near"), "other")).alias("b")
+    return _estimated(stored(stars, "stars"), listed).groupBy("name").agg(best).select("name", F.col("b.other").alias("other"))
 
 
 def _compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
@@ -172,42 +192,59 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def _placed(slim: DataFrame) -> DataFrame:
-    """(name, doc_id, block) from (name, doc_id, n, root, first): sets in order of class and smallest hash, cut by number and size.
+    """(name, block) from (name, n, near, root, first): sets in order of neighbourhood, class and smallest hash, cut by number and size.
 
     Each partition adds up the weights of its sets, then the partitions' totals; a block is a whole number of that sum.
     """
     parts = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["root", "first", "name"]
-    ranged = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("name", "doc_id", "n")
+    order = ["near", "root", "first", "name"]
+    ranged = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("name", "n")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, total = TaskContext.get().partitionId(), 0.0
         for batch in batches:
-            weight = np.maximum(1 / BLOCK, batch.column(2).to_numpy() * 8 / BLOCK_BYTES)
+            weight = np.maximum(1 / BLOCK, batch.column(1).to_numpy() * 8 / BLOCK_BYTES)
             upto = total + np.cumsum(weight)
             total = float(upto[-1]) if len(upto) else total
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.repeat(pa.scalar(part, pa.int32()), len(upto)), pa.array(upto)], ["name", "doc_id", "part", "upto"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.repeat(pa.scalar(part, pa.int32()), len(upto)), pa.array(upto)], ["name", "part", "upto"])
 
-    placed = stored(ranged.mapInArrow(each, "name binary, doc_id long, part int, upto double"), "placed")
+    placed = stored(ranged.mapInArrow(each, "name binary, part int, upto double"), "placed")
     # one row for each partition
     before = placed.groupBy("part").agg(F.max("upto").alias("sum")).select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
-    return placed.join(before.hint("merge"), "part").select("name", "doc_id", F.floor(F.col("before") + F.col("upto")).alias("block"))
+    return placed.join(before.hint("merge"), "part").select("name", F.floor(F.col("before") + F.col("upto")).alias("block"))
 
 
 def _wanted_sets(texts: DataFrame) -> DataFrame:
-    """(block, name, set) from (block, wanted, text), of those texts that have the wanted set."""
+    """(name, set) from (wanted, text), of those texts that have the wanted set."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in W.runs(batch, "text"):
                 sets, at = shingle_sets(data, off)
                 names = _names(sets, at)
-                hit = [k for k in range(j - i) if names[k] == batch.column(1)[i + k].as_py()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(hit, pa.int64())), pa.array([names[k] for k in hit], pa.binary()), pa.array([sets[at[k] : at[k + 1]].tobytes() for k in hit], pa.binary())], ["block", "name", "set"])
+                hit = [k for k in range(j - i) if names[k] == batch.column(0)[i + k].as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in hit], pa.binary()), pa.array([sets[at[k] : at[k + 1]].tobytes() for k in hit], pa.binary())], ["name", "set"])
+
+    return texts.select("wanted", "text").mapInArrow(each, "name binary, set binary")
+
+
+def _similar(rows: DataFrame) -> DataFrame:
+    """(a, b) of the rows (a, b, set, set2) whose full sets are at the threshold."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), W.U64) for v in (one, two))
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                near.append(100 * shared >= THRESHOLD * (len(x) + len(y) - shared))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    return texts.select("block", "wanted", "text").mapInArrow(each, "block long, name binary, set binary")
+    return rows.select("a", "b", "set", "set2").mapInArrow(each, "a binary, b binary")
 
 
 def _links(tasks: DataFrame) -> DataFrame:
@@ -241,26 +278,55 @@ def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     listed = one.join(held.hint("merge"), "name", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     own = F.array_except("sketch", "common")
     listed = stored(listed.select("name", "n", "sketch", F.slice(own, 1, PREFIX).alias("prefix"), F.when(F.size(own) <= OWN, F.slice(F.array_intersect("sketch", "common"), 1, PREFIX)).otherwise(F.array().cast("array<bigint>")).alias("shared")), "listed")
-    pairs = stored(_pairs(listed), "pairs")
-    # partners close together: sets joined by pairs, or by a common value, follow each other
-    lists = listed.select("name", F.explode("shared").alias("value"))
-    leaders = lists.groupBy("value").agg(F.min("name").alias("leader"))
-    stars = lists.join(leaders.hint("merge"), "value").filter("name <> leader").select("name", "leader").distinct()
-    coarse = components(pairs.select(F.col("name").alias("a"), F.col("other").alias("b")).unionByName(stars.select(F.col("name").alias("a"), F.col("leader").alias("b"))))
+    lists = listed.select("name", "n", F.explode("shared").alias("value"))
+    pairs, stars = stored(_pairs(listed), "pairs"), stored(_stars(listed, lists), "stars")
+    # full sets of all that has a partner or stands under a common value
+    some = pairs.select("name").unionByName(pairs.select(F.col("other").alias("name"))).unionByName(listed.filter(F.size("shared") > 0).select("name")).distinct()
     least = found.filter("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    slim = listed.select("name", "n", F.col("sketch")[0].alias("first")).join(coarse.withColumnRenamed("node", "name").hint("merge"), "name").join(least.hint("merge"), "name")
+    wanted = stored(least.join(some.hint("merge"), "name").select("doc_id", F.col("name").alias("wanted")), "wanted")
+    sets = _wanted_sets(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id"))
+    sets = stored(sets.groupBy("name").agg(F.first("set").alias("set")), "full")
+    other = sets.select(F.col("name").alias("other"), F.col("set").alias("set2"))
+    near = stars.join(sets.hint("merge"), "name").join(other.hint("merge"), "other").select(F.col("name").alias("a"), F.col("other").alias("b"), "set", "set2")
+    first = stored(_similar(near), "links", BATCH_ROWS * 8)
+    more = _rest(listed.join(sets.select("name").hint("merge"), "name", "left_semi"), pairs, components(first), sets)
+    for table in (one, common, held, listed, pairs, stars, wanted, sets):
+        discard(table)
+    return first.unionByName(more)
+
+
+def _rest(listed: DataFrame, pairs: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets that ``roots`` don't join yet: what their pairs and lists can still add."""
+    classes = listed.join(roots.withColumnRenamed("node", "name").hint("merge"), "name", "left").select("name", "n", F.coalesce("root", "name").alias("root"), F.col("sketch")[0].alias("first"), "shared")
+    classes = stored(classes, "classes")
+    root = classes.select("name", "root")
+    apart = pairs.join(root.hint("merge"), "name").join(root.select(F.col("name").alias("other"), F.col("root").alias("root2")).hint("merge"), "other")
+    pairs = stored(apart.filter("root <> root2").select("name", "other"), "pairs")
+    lists = classes.select("name", "root", F.explode("shared").alias("value"))
+    ends = lists.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("name").alias("leader"))
+    open_ = stored(ends.filter("lo <> hi").select("value", "leader"), "open")
+    lists = stored(lists.join(open_.hint("merge"), "value"), "lists")
+    # sets that a pair or a list joins follow each other
+    near = pairs.select(F.col("name").alias("a"), F.col("other").alias("b")).unionByName(lists.filter("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct())
+    slim = classes.join(components(near).select(F.col("node").alias("name"), F.col("root").alias("near")).hint("merge"), "name").select("name", "n", "near", "root", "first")
     member = stored(_placed(slim), "members")
-    wanted = member.select("doc_id", F.col("name").alias("wanted"), "block").hint("merge")
-    sets = _wanted_sets(docs.select("doc_id", text).join(wanted, "doc_id"))
-    blocks = stored(sets.groupBy("block").agg(F.collect_list(F.struct("name", "set")).alias("items")), "blocks")
+    blocks = stored(member.join(sets.hint("merge"), "name").groupBy("block").agg(F.collect_list(F.struct("name", "set")).alias("items")), "blocks")
     one, two = member.select("name", "block"), member.select(F.col("name").alias("other"), F.col("block").alias("block2"))
     cross = pairs.join(one.hint("merge"), "name").join(two.hint("merge"), "other").select("block", "block2")
-    values = lists.join(one.hint("merge"), "name").select("block", "value").distinct()
-    cross = cross.unionByName(values.join(values.select(F.col("block").alias("block2"), "value").hint("merge"), "value").select("block", "block2"))
+    # blocks of one class stand together under a list: only different classes, or blocks of several, meet
+    held = lists.join(one.hint("merge"), "name").groupBy("value", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    held = stored(held.select("value", "block", F.when(F.col("lo") == F.col("hi"), F.hex("lo")).otherwise(F.col("block").cast("string")).alias("kind")), "held")
+    kinds = stored(held.select("value", "kind").distinct(), "kinds")
+    meet = kinds.join(kinds.select("value", F.col("kind").alias("kind2")).hint("merge"), "value").filter("kind < kind2")
+    meet = meet.join(held.hint("merge"), ["value", "kind"]).join(held.select("value", F.col("kind").alias("kind2"), F.col("block").alias("block2")).hint("merge"), ["value", "kind2"])
+    cross = cross.unionByName(meet.select("block", "block2"))
     cross = cross.filter("block <> block2").select(F.least("block", "block2").alias("block"), F.greatest("block", "block2").alias("block2")).distinct()
     across = stored(cross, "cross").join(blocks.hint("merge"), "block").join(blocks.select(F.col("block").alias("block2"), F.col("items").alias("items2")).hint("merge"), "block2")
     within = blocks.withColumn("items2", F.lit(None).cast(blocks.schema["items"].dataType))
-    return stored(_links(within), "links", BATCH_ROWS).unionByName(stored(_links(across), "links", BATCH_ROWS))
+    links = stored(_links(within), "links", BATCH_ROWS).unionByName(stored(_links(across), "links", BATCH_ROWS))
+    for table in (classes, pairs, open_, lists, member, blocks, held, kinds):
+        discard(table)
+    return links
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,8 +337,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     smallest = found.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
     named = smallest.join(roots.withColumnRenamed("node", "name").hint("merge"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), "least")
     named = stored(named, "classes")
-    heads = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = stored(named.join(heads.hint("merge"), "root").select("name", "component"), "heads")
+    heads = stored(named.groupBy("root").agg(F.min("least").alias("component")), "heads")
+    classes = stored(named.join(heads.hint("merge"), "root").select("name", "component"), "components")
     out = found.select("doc_id", "n_shingles", "name").join(classes.hint("merge"), "name", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -7,7 +7,9 @@ counts by score, turns scores into probabilities. Labels beyond TRAIN_ROWS are
 thinned by a hash. Null and empty texts have the statistics of a text without
 words and get a score like any other. With no labelled row the score is a half,
 with labels of one kind the rate of that kind. Labels without a document and
-null labels are ignored; repeated rows count as often as they occur.
+null labels are ignored; repeated rows count as often as they occur; an empty
+table gives no row. ``classify`` ignores columns other than doc_id and text,
+``filtered`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestream.llm import words as W
-from lodestream.llm.store import stored
+from lodestream.llm.store import fresh, stored
 
 TRAIN_ROWS = 1_000_000
 FEATURES, WIDTH, RIDGE, SEED = 256, 4.0, 1e-3, 11
@@ -190,27 +193,42 @@ def bucket(key: str, of: int) -> F.Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of))
 
 
-def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows whose text scores ``least`` or more, with all their columns."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def filtered(docs: DataFrame, labels: DataFrame, least: float, text: str = "text") -> DataFrame:
+    """The rows whose text scores ``least`` or more, with all their columns, by a model learnt as ``learn`` does. Each text is measured once."""
+    (x,) = fresh(docs, "x")
+    schema = T.StructType([*docs.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in W.runs(batch, text):
-                yield batch.slice(i, j - i).filter(pa.array(held.value.score(statistics(data, off)) >= least))
+                found = statistics(data, off)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, STATISTICS), pa.int32()), pa.array(found.ravel()))], schema.names)
+
+    rows = stored(docs.mapInArrow(measure, schema), "measured")
+    held = docs.sparkSession.sparkContext.broadcast(fit(rows.select("doc_id", F.col(x).alias("x")), _known(labels)))
 
-    return docs.mapInArrow(each, docs.schema)
+    def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = held.value.score(_matrix(batch, batch.num_columns - 1)) >= least
+                yield batch.select(batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return rows.mapInArrow(verdict, docs.schema)
 
 
 HELD_OUT = (4, 2)
 ACCEPT = 0.7
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.col("quality").alias("label")).filter(bucket("doc_id", HELD_OUT[0]) != HELD_OUT[1])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
     """Stored statistics of every row, and a model learnt from (doc_id, quality) outside of the held-out rows."""
     stats = stored(measured(docs.select("doc_id", "text")), "statistics")
-    known = labels.select("doc_id", F.col("quality").alias("label")).filter(bucket("doc_id", HELD_OUT[0]) != HELD_OUT[1])
-    return stats, fit(stats, known)
+    return stats, fit(stats, _known(labels))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

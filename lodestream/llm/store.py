@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from lodestream.sources.store import discard, shared_path
+from lodestream.sources.store import shared_root as shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset (tests on one machine), a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestream-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+__all__ = ["discard", "fresh", "shared_dir", "stored"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -38,7 +31,7 @@ def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
     ``batch_rows``: rows that go to Python at once, where rows are large.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lodestream-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     usual = spark.conf.get(BATCH)
     if batch_rows:
         spark.conf.set(BATCH, batch_rows)

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestream.llm import best_fit_packing, chat_format, embedding_dedup, near_dedup, quality_classifier, quality_rules, secret_scan, source_mixing, token_files, toxicity
-from lodestream.llm.components import components
 from lodestream.llm.store import shared_dir, stored
 from lodestream.llm.tokens import Encoder, default_path
+from lodestream.operators.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -255,6 +255,25 @@ def test_vectors(spark):
     assert embedding_dedup.link_vectors(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_vectors_by_many_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(150, 8))
+    x = centres[rng.integers(0, 150, 1500)] + rng.normal(size=(1500, 8)) * 0.2
+    label = rng.choice([1, 1, 1, 2], 1500)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(1500)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(1500, dtype=bool)
+    root = np.arange(1500)
+    while True:
+        least = np.minimum(root, np.where(near, root[None, :], 1500).min(1))
+        if (least == root).all():
+            break
+        root = least
+    got = {r["vec_id"]: r for r in embedding_dedup.link_vectors(df).collect()}
+    assert [got[i]["n_links"] for i in range(1500)] == near.sum(1).tolist() and [got[i]["component_id"] for i in range(1500)] == root.tolist()
+
+
 # ---- tokens
 
 
@@ -534,6 +553,53 @@ def test_scores_of_awkward_rows(spark):
     assert quality_classifier.classify(docs_of(spark, []), given).count() == 0
 
 
+def test_fit_against_dense_least_squares(spark):
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(VOCAB) + rng.choice(["", "", "\n"]) for _ in range(rng.randint(1, 80))) for _ in range(300)]
+    label = [int(len(t) > 150) ^ int(rng.random() < 0.1) for t in texts]
+    stats = stored(quality_classifier.measured(docs_of(spark, texts).withColumn("x", F.lit("clash"))), "stats")
+    model = quality_classifier.fit(stats, spark.createDataFrame(list(enumerate(label)), "doc_id long, label int"))
+    x = np.array([r["x"] for r in stats.orderBy("doc_id").collect()])
+    y, n = np.array(label, float), len(texts)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum(1e-6, x.var(0))))
+    z = np.hstack([np.ones((n, 1)), np.cos(np.clip((x - model.mean) / model.scale, -6, 6) @ model.turn + model.phase) * math.sqrt(2 / quality_classifier.FEATURES)])
+    ridge = quality_classifier.RIDGE * n / quality_classifier.FEATURES * np.diag([0.0] + [1.0] * quality_classifier.FEATURES)
+    top, low = np.vstack([z, np.sqrt(ridge)]), np.concatenate([y, np.zeros(len(ridge))])
+    assert np.allclose(z @ np.linalg.lstsq(top, low, rcond=None)[0], model.raw(x), atol=1e-6)
+    # isotonic means by their definition: the least of the means upward of the greatest of the means downward
+    steps = np.clip(np.round(model.raw(x) * quality_classifier.STEPS), -quality_classifier.STEPS, 2 * quality_classifier.STEPS)
+    level, at = np.unique(steps, return_inverse=True)
+    rows, good = np.bincount(at), np.bincount(at, y)
+    r, g = np.concatenate([[0], np.cumsum(rows)]), np.concatenate([[0], np.cumsum(good)])
+    best = np.array([max(min((g[j] - g[i]) / (r[j] - r[i]) for j in range(k + 1, len(r))) for i in range(k + 1)) for k in range(len(level))])
+    for s, rate in zip(model.at, model.rate, strict=True):
+        mine = np.isclose(best, best[np.argmin(abs(level / quality_classifier.STEPS - s))])
+        assert math.isclose(rate, (good[mine].sum() + 0.5) / (rows[mine].sum() + 1))
+
+
+def test_markers_and_weights_against_brute_force(spark):
+    rng = random.Random(32)
+    words = ["alpha", "beta", "gammas", "gammaray", "delta", "omega", "Vile", "viler", "vilest"]
+    rows = [(" ".join(rng.choice(words[:6] + words[6:] * (y * 2)) for _ in range(12)), y) for y in [rng.random() < 0.4 for _ in range(400)]]
+    texts = stored(spark.createDataFrame([(t, int(y)) for t, y in rows], "text string, label int").repartition(3), "texts")
+    g = toxicity.markers(texts)
+    total = Counter(int(y) for _, y in rows)
+
+    def odds(has):
+        yes, no = (sum(has(t) for t, y in rows if y == k) for k in (True, False))
+        return yes, (yes + 0.5) / (total[1] + 1.0) / ((no + 0.5) / (total[0] + 1.0))
+
+    want = {w.lower() for w in words if (o := odds(lambda t, w=w: w.lower() in t.lower().split()))[0] >= toxicity.MARKER_LEAST and o[1] >= toxicity.MARKER_ODDS}
+    assert sorted(g.markers.tolist()) == sorted(toxicity._hash_words(sorted(want)).tolist()) and want == {"vile", "viler", "vilest"}
+    counts = spark.createDataFrame([(i, [float(rng.randint(0, 3)) for _ in toxicity.CONTEXTS]) for i in range(200)], "doc_id long, x array<double>")
+    label = spark.createDataFrame([(i, int(rng.random() < 0.3)) for i in range(150)], "doc_id long, label int")
+    w = toxicity.weigh(counts, label)
+    z = toxicity.terms(np.array([r["x"] for r in counts.orderBy("doc_id").limit(150).collect()]))
+    y = np.array([r["label"] for r in label.orderBy("doc_id").collect()], float)
+    pull, start = np.array([0.01] + [toxicity.PRIOR_ROWS] * len(toxicity.PRIOR)), np.concatenate([[toxicity.BIAS], toxicity.PRIOR])
+    assert np.abs(z.T @ (y - 1 / (1 + np.exp(-z @ w))) - pull * (w - start)).max() < 1e-2
+
+
 def test_isotonic():
     at, rate = quality_classifier.pool([(0.0, 10, 1), (0.2, 10, 0), (0.5, 10, 9), (0.7, 10, 8), (0.9, 10, 10)])
     assert (np.diff(at) > 0).all() and (np.diff(rate) > 0).all() and len(at) == 3
@@ -610,3 +676,26 @@ def test_pipeline(spark):
     assert tables[5].agg(F.sum("length")).first()[0] == sum(tokens[k] * n for k, n in copies.items())
     digest = hashlib.sha256(str(sorted(map(str, corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").collect()))).encode()).hexdigest()
     assert digest == hashlib.sha256(str(sorted(map(str, tables[5].drop("sequence_id", "offset").collect()))).encode()).hexdigest()
+
+
+def test_stages_with_awkward_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    texts = awkward(41, 25)
+    docs = docs_of(spark, texts + texts[:12], [*range(len(texts)), *range(6), *range(100, 106)])
+    docs = docs.unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for rows in (docs, docs.limit(0)):
+        table = rows
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            extra = table.withColumns({c: F.lit(c) for c in ("x", "copies", "copy", "key", "head", "secrets", "part", "name")})
+            kept = stored(stage(spark, extra, sf), "stage")
+            if k < 4:
+                assert kept.columns == corpus_pipeline.COLUMNS
+                before = Counter(map(str, table.select("doc_id", "source").collect()))
+                assert not Counter(map(str, kept.select("doc_id", "source").distinct().collect())) - before
+            else:
+                assert kept.count() == 0 if rows is not docs else kept.agg(F.sum("length")).first()[0] > 0
+            table = kept if k else table  # the classifier rejects nearly all of these
+    one = corpus_pipeline.drop_near_copies(spark, docs, sf).collect()
+    assert len({(r["doc_id"], r["text"]) for r in one}) == len(one) and {r["doc_id"] for r in one if r["doc_id"] is not None} <= {r["doc_id"] for r in docs.collect()}
