@@ -1,4 +1,12 @@
-"""A corpus pipeline over ``documents``: each stage's table is written and read again by the next."""
+"""A corpus pipeline over ``documents``: each stage's table is written and read again by the next.
+
+All stages take the columns of ``documents`` by name, ignore further ones,
+whatever their names, and give no row for an empty table. Null texts are empty
+ones: the classifier scores them as texts without words, near-dedup links them
+with nothing, the scan leaves them null, the mix never takes them, packing makes
+them one end id. Rows alike in doc_id and text are one after near-dedup; other
+stages judge each row for itself. Null doc_ids stay; a null source is a source.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.best_fit_packing import pack_documents
 from lodestream.llm.near_dedup import deduplicated
-from lodestream.llm.quality_classifier import ACCEPT, accepted, learn
+from lodestream.llm.quality_classifier import ACCEPT, filtered
 from lodestream.llm.secret_scan import secret_scan
 from lodestream.llm.source_mixing import mixed
 from lodestream.llm.store import stored
@@ -20,9 +28,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    docs = docs.select(*COLUMNS)
-    _, model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return accepted(docs, model, ACCEPT)
+    return filtered(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), ACCEPT)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
