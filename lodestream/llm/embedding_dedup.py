@@ -38,8 +38,6 @@ THRESHOLD = 0.93
 AXES, BLOCK, LEAF = 6, 512, 64
 #: Intervals that make one of the next level: 2 to this power.
 FAN_BITS = 4
-#: Pairs of blocks that go to Python at once.
-BATCH_ROWS = 32
 #: Longer vectors get their axes from their first so many components.
 AXES_FROM = 128
 
@@ -172,10 +170,10 @@ def _near_blocks(made: DataFrame, reach: float) -> DataFrame:
     for level in range(inner + outer - 1, -1, -1):
         kids = boxes.select(*keys, node(level).alias("kid"), node(level + 1).alias("a"), *sides)
         ends = [(F.min if c.startswith("lo") else F.max)(c).alias(c) for c in sides]
-        kids = stored(kids.groupBy(*keys, "a", "kid").agg(*ends), "intervals")
+        kids = kids.groupBy(*keys, "a", "kid").agg(*ends)
         others = kids.select(*keys, F.col("a").alias("b"), F.col("kid").alias("kid2"), *(F.col(c).alias(f"b_{c}") for c in sides))
         met = pairs.join(kids.hint("merge"), [*keys, "a"]).join(others.hint("merge"), [*keys, "b"])
-        pairs = stored(met.filter((F.col("kid") <= F.col("kid2")) & (apart <= reach)).select(*keys, F.col("kid").alias("a"), F.col("kid2").alias("b")), "near")
+        pairs = met.filter((F.col("kid") <= F.col("kid2")) & (apart <= reach)).select(*keys, F.col("kid").alias("a"), F.col("kid2").alias("b"))
     return pairs.select(F.col("a").alias("block"), F.col("b").alias("block2"))
 
 
@@ -261,7 +259,7 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label",
                 b = [None] * len(hit) + [names[j] for _, j in links]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([int(more[i]) for i in hit] + [0] * len(links), pa.int64())], ["a", "b", "more"])
 
-    found = stored(tasks.select((F.col("block") == F.col("block2")).alias("same"), *payload, *(f"{c}2" for c in payload[1:])).mapInArrow(link, "a binary, b binary, more long"), "links", BATCH_ROWS)
+    found = stored(tasks.select((F.col("block") == F.col("block2")).alias("same"), *payload, *(f"{c}2" for c in payload[1:])).mapInArrow(link, "a binary, b binary, more long"), "links")
     for table in (grid, made):
         discard(table)
     roots = components(found.filter("b is not null").select("a", "b"))

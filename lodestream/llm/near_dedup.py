@@ -56,8 +56,8 @@ COMMON = 32
 FLOOR = 0.48
 #: Sets, and bytes of sets, in a block.
 BLOCK, BLOCK_BYTES = 256, 2 << 20
-#: Columns of a comparison at once; pairs of blocks that go to Python at once.
-COLUMNS, BATCH_ROWS = 4096, 8
+#: Columns of a comparison at once.
+COLUMNS = 4096
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def _stars(listed: DataFrame, lists: DataFrame) -> DataFrame:
     leaders = stored(lists.groupBy("value").agg(F.min(F.struct("n", "name")).alias("l")).select("value", F.col("l.n").alias("m"), F.col("l.name").alias("other")), "leaders")
     stars = lists.join(leaders.hint("merge"), "value").filter((F.col("name") != F.col("other")) & _alike("n", "m")).select("name", "other").distinct()
     best = F.max(F.struct((F.col("shared") / F.col("union")).alias("near"), "other")).alias("b")
-    return _estimated(stored(stars, "stars"), listed).groupBy("name").agg(best).select("name", F.col("b.other").alias("other"))
+    return _estimated(stars, listed).groupBy("name").agg(best).select("name", F.col("b.other").alias("other"))
 
 
 def _compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
@@ -274,7 +274,7 @@ def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     one = stored(one, "sets")
     entries = one.select("name", F.explode("sketch").alias("value"))
     common = stored(entries.groupBy("value").count().filter(F.col("count") > COMMON).select("value"), "common")
-    held = stored(entries.join(common.hint("merge"), "value").groupBy("name").agg(F.collect_set("value").alias("common")), "held")
+    held = entries.join(common.hint("merge"), "value").groupBy("name").agg(F.collect_set("value").alias("common"))
     listed = one.join(held.hint("merge"), "name", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     own = F.array_except("sketch", "common")
     listed = stored(listed.select("name", "n", "sketch", F.slice(own, 1, PREFIX).alias("prefix"), F.when(F.size(own) <= OWN, F.slice(F.array_intersect("sketch", "common"), 1, PREFIX)).otherwise(F.array().cast("array<bigint>")).alias("shared")), "listed")
@@ -283,14 +283,13 @@ def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     # full sets of all that has a partner or stands under a common value
     some = pairs.select("name").unionByName(pairs.select(F.col("other").alias("name"))).unionByName(listed.filter(F.size("shared") > 0).select("name")).distinct()
     least = found.filter("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(least.join(some.hint("merge"), "name").select("doc_id", F.col("name").alias("wanted")), "wanted")
-    sets = _wanted_sets(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id"))
-    sets = stored(sets.groupBy("name").agg(F.first("set").alias("set")), "full")
+    wanted = least.join(some.hint("merge"), "name").select("doc_id", F.col("name").alias("wanted"))
+    sets = stored(_wanted_sets(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")), "full")  # rows alike come more than once
     other = sets.select(F.col("name").alias("other"), F.col("set").alias("set2"))
     near = stars.join(sets.hint("merge"), "name").join(other.hint("merge"), "other").select(F.col("name").alias("a"), F.col("other").alias("b"), "set", "set2")
-    first = stored(_similar(near), "links", BATCH_ROWS * 8)
+    first = stored(_similar(near), "links")
     more = _rest(listed.join(sets.select("name").hint("merge"), "name", "left_semi"), pairs, components(first), sets)
-    for table in (one, common, held, listed, pairs, stars, wanted, sets):
+    for table in (one, common, listed, pairs, stars, sets):
         discard(table)
     return first.unionByName(more)
 
@@ -305,6 +304,8 @@ def _rest(listed: DataFrame, pairs: DataFrame, roots: DataFrame, sets: DataFrame
     lists = classes.select("name", "root", F.explode("shared").alias("value"))
     ends = lists.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("name").alias("leader"))
     open_ = stored(ends.filter("lo <> hi").select("value", "leader"), "open")
+    if not pairs.take(1) and not open_.take(1):
+        return pairs.select(F.col("name").alias("a"), F.col("other").alias("b"))
     lists = stored(lists.join(open_.hint("merge"), "value"), "lists")
     # sets that a pair or a list joins follow each other
     near = pairs.select(F.col("name").alias("a"), F.col("other").alias("b")).unionByName(lists.filter("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct())
@@ -323,7 +324,7 @@ def _rest(listed: DataFrame, pairs: DataFrame, roots: DataFrame, sets: DataFrame
     cross = cross.filter("block <> block2").select(F.least("block", "block2").alias("block"), F.greatest("block", "block2").alias("block2")).distinct()
     across = stored(cross, "cross").join(blocks.hint("merge"), "block").join(blocks.select(F.col("block").alias("block2"), F.col("items").alias("items2")).hint("merge"), "block2")
     within = blocks.withColumn("items2", F.lit(None).cast(blocks.schema["items"].dataType))
-    links = stored(_links(within), "links", BATCH_ROWS).unionByName(stored(_links(across), "links", BATCH_ROWS))
+    links = stored(_links(within), "links").unionByName(stored(_links(across), "links"))
     for table in (classes, pairs, open_, lists, member, blocks, held, kinds):
         discard(table)
     return links

@@ -1,11 +1,12 @@
-"""Lineage cuts: a table written to the cluster's shared folder and read back."""
+"""Lineage cuts by the library's store, and names for columns. Rows go to Python in batches that Spark bounds by bytes, so large rows need no setting."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from lodestream.sources.store import discard, shared_path
+from lodestream.sources.store import discard
 from lodestream.sources.store import shared_root as shared_dir
+from lodestream.sources.store import written as stored
 
 __all__ = ["discard", "fresh", "shared_dir", "stored"]
 
@@ -19,24 +20,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back.
-
-    The copy survives lost executors, and its size is known to the planner.
-    ``batch_rows``: rows that go to Python at once, where rows are large.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    usual = spark.conf.get(BATCH)
-    if batch_rows:
-        spark.conf.set(BATCH, batch_rows)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH, usual)
-    return spark.read.schema(df.schema).parquet(path)
