@@ -19,6 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     links is no hot spot. Nodes without links don't appear.
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
+    if not both.take(1):
+        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "roots")
     none = F.lit(None).cast(roots.schema["root"].dataType)
     while True:
