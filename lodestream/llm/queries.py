@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import best_fit_packing, chat_format, embedding_dedup, near_dedup, quality_classifier, quality_rules, secret_scan, source_mixing, token_files, toxicity
+from lodestream.llm import best_fit_packing, chat_format, embedding_dedup, lm_scoring, near_dedup, quality_classifier, quality_rules, secret_scan, source_mixing, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8,
     "op9_token_files": token_files.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_lm_scoring": lm_scoring.op11,
 }
 
 #: The others are held against brute force, exact round trips or held-out labels in tests.
