@@ -2,10 +2,13 @@
 
 Patterns give the base spans; base64 and hex candidates are decoded, and key
 encodings (DER with nested lengths), PEM blocks and signed-token headers are
-parsed before they are reported. A key may begin anywhere in a run of base64 or
-hex digits and ends where its own length says; runs of base64 go on over single
-line breaks. No length is bounded, and each run is decoded a fixed number of
-times. Offsets are code points, ends exclusive. Null counts as empty text; empty
+parsed before they are reported. Tokens may be signed (three parts), detached (an
+empty payload) or encrypted (five parts). A key may begin anywhere in a run of
+base64 or hex digits and ends where its own length says; runs of base64 go on
+over single line breaks. No length or number of items is bounded; each run is
+decoded a fixed number of times and read once: a token's header is found from its
+end, and items of keys that several candidates share are visited once. A header
+nested more deeply than the JSON parser goes is none. Offsets are code points, ends exclusive. Null counts as empty text; empty
 texts and texts without a secret give no span; an empty table gives no row; rows
 are judged each for itself, so repeats and ties don't matter.
 """
@@ -29,21 +32,19 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der")
 ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-#: A dot and the payload between it and the next: what a signed token has in its middle.
-MIDDLE = re.compile(rb"\.(?=([A-Za-z0-9_-]{2,}+)\.)")
-URL_SAFE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+#: Parts between dots, two dots at least, from the start of a run.
+DOTTED = re.compile(rb"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
+#: What a JSON object is balanced by.
+STRUCTURE = re.compile(rb'["{}\[\]]')
 BEGIN, END = re.compile(rb"-----BEGIN ([A-Z0-9 ]+)-----"), re.compile(rb"-----END ([A-Z0-9 ]+)-----")
 #: Header lines of an armoured block, up to an empty line.
 HEADERS = re.compile(rb"\s*(?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+\S[^\n]*\n)*)+[ \t\r]*\n")
-READ, BLANKS = json.JSONDecoder().raw_decode, re.compile(r"[ \t\r\n]*+")
-#: How an object with a member begins.
-MEMBER = re.compile(r'\{[ \t\r\n]*+"(?:[^"\\]|\\.)*+"[ \t\r\n]*+:')
 ARMOURED = re.compile(rb"[A-Za-z0-9+/=\s]*")
 #: Runs that may hold a key: base64, over single line breaks too, from its first possible start; hex.
 BASE64 = re.compile(rb"M(?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/])){39,}+")
 HEX_KEY = re.compile(rb"30[0-9a-fA-F]{58,}+")
-#: The shortest key, in bytes, and the most items that one of its sequences has.
-KEY_BYTES, ITEMS = 30, 32
+#: The shortest key, in bytes.
+KEY_BYTES = 30
 VALUE = np.zeros(256, np.uint8)
 VALUE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")] = np.arange(64)
 NIBBLE = np.zeros(256, np.uint8)
@@ -63,29 +64,82 @@ def _der_size(data: bytes | memoryview, at: int) -> tuple[int, int] | None:
     return at, at + size
 
 
-def _der_items(data: memoryview) -> list[tuple[int, memoryview]] | None:
-    """The items that fill ``data`` exactly, or None."""
-    out, at = [], 0
-    while at < len(data):
-        found = _der_size(data, at)
-        if found is None or found[1] > len(data) or len(out) == ITEMS:
-            return None
-        out.append((data[at], data[found[0] : found[1]]))
-        at = found[1]
-    return out
-
-
-def is_der(data: bytes | memoryview) -> bool:
-    """One outer sequence whose nested lengths add up, with an integer, bit or octet string inside."""
-    data = memoryview(data)
-    outer = _der_size(data, 0) if len(data) and data[0] == 0x30 else None
-    if outer is None or outer[1] != len(data) or data[outer[0] : outer[0] + 1] not in (b"\x02", b"\x30"):
-        return False  # keys begin with a version or an algorithm
-    inner = _der_items(data[outer[0] :])
-    if not inner or len(inner) < 2:
-        return False
-    nested = [_der_items(body) for tag, body in inner if tag == 0x30]
-    return all(nested) and any(tag in (0x02, 0x03, 0x04) for tag, _ in inner)
+class Items:
+    """Items that follow each other in ``data``, from any place on; every place is visited once, whichever chains lead to it.
+
+    Where a chain goes from a place depends on nothing before it, so chains that
+    meet stay together: a forest, in which each place also keeps a jump further
+    along. The jumps tell in a logarithmic number of steps whether a chain passes
+    through a given end.
+    """
+
+    def __init__(self, data: memoryview):
+        self.data, self.links, self.wrong, self.value = data, {}, {}, {}
+
+    def _visit(self, at: int) -> None:
+        """Links from ``at`` to the end of its chain: (next, depth, jump)."""
+        path, links, data = [], self.links, self.data
+        while at not in links:
+            found = _der_size(data, at)
+            if found is None or found[1] > len(data):
+                links[at] = at, 0, at
+                break
+            path.append((at, found[1]))
+            at = found[1]
+        for at, after in reversed(path):
+            _, depth, jump = links[after]
+            _, d1, further = links[jump]
+            d2 = links[further][1]
+            links[at] = after, depth + 1, further if depth - d1 == d1 - d2 else after
+
+    def fill(self, at: int, end: int) -> int:
+        """How many items fill ``at`` to ``end`` exactly; 0 if they don't."""
+        self._visit(at)
+        first = depth = self.links[at][1]
+        while at < end:
+            after, depth, jump = self.links[at]
+            if after == at:
+                return 0
+            at = jump if jump <= end else after
+        return first - self.links[at][1] if at == end else 0
+
+    def _first(self, at: int, end: int, known: dict[int, int], test: Callable[[int], bool]) -> bool:
+        """Whether an item of the chain before ``end`` passes the test. ``known`` maps a place to itself if it does, else to a later one before which none does."""
+        path = []
+        while at < end:
+            to = known.get(at)
+            if to == at:
+                break
+            if to is None and test(at):
+                known[at] = at
+                break
+            path.append(at)
+            at = self.links[at][0] if to is None else to
+        for p in path:
+            known[p] = at
+        return at < end
+
+    def is_key(self, at: int, end: int) -> bool:
+        """The content ``at`` to ``end`` of a sequence: two items or more, an integer, bit or octet string, and only sequences that items fill."""
+        data = self.data
+
+        def hollow(x: int) -> bool:
+            return data[x] == 0x30 and not self.fill(*_der_size(data, x))
+
+        return self.fill(at, end) >= 2 and not self._first(at, end, self.wrong, hollow) and self._first(at, end, self.value, lambda x: data[x] in (0x02, 0x03, 0x04))
+
+
+def _key_end(items: Items, at: int) -> int | None:
+    """Where the key that begins at ``at`` ends: one outer sequence whose nested lengths add up, with an integer, bit or octet string inside."""
+    data = items.data
+    outer = _der_size(data, at) if at < len(data) and data[at] == 0x30 else None
+    if outer is None or outer[1] > len(data) or outer[1] == outer[0] or data[outer[0]] not in (0x02, 0x30):
+        return None  # keys begin with a version or an algorithm
+    return outer[1] if items.is_key(*outer) else None
+
+
+def is_der(data: bytes) -> bool:
+    return bool(data) and _key_end(Items(memoryview(data)), 0) == len(data)
 
 
 def _object(data: bytes) -> dict | None:
@@ -96,14 +150,6 @@ def _object(data: bytes) -> dict | None:
         return None
 
 
-def _fills(text: str, at: int) -> bool:
-    """A JSON value begins at ``at`` and nothing but blanks follows it."""
-    try:
-        return MEMBER.match(text, at) is not None and BLANKS.fullmatch(text, READ(text, at)[1]) is not None
-    except (ValueError, RecursionError):
-        return False
-
-
 def _decoded(data: bytes, altchars: bytes | None = None) -> bytes:
     try:
         return base64.b64decode(data + b"=" * (-len(data) % 4), altchars, validate=True)
@@ -111,46 +157,67 @@ def _decoded(data: bytes, altchars: bytes | None = None) -> bytes:
         return b""
 
 
-def _token_start(run: bytes) -> int | None:
-    """Where in ``run``, which ends before the first dot, a signed token's header begins.
+def _last_object(data: bytes) -> int | None:
+    """Where the object that ends ``data`` begins, by its brackets alone, read from the end: outside of it, no quote is open."""
+    stack, quoted = [], False
+    for at in reversed([m.start() for m in STRUCTURE.finditer(data)]) if data.rstrip(b" \t\r\n").endswith(b"}") else ():
+        c = data[at]
+        if c == 0x22:
+            before = at
+            while before and data[before - 1] == 0x5C:
+                before -= 1
+            quoted ^= (at - before) % 2 == 0
+        elif quoted:
+            continue
+        elif c in b"}]":
+            stack.append(c - 2)
+        elif not stack or stack.pop() != c:
+            return None
+        elif not stack:
+            return at if c == 0x7B else None
+    return None
 
-    Every grid of four characters is decoded once; a header is an object that names an algorithm and ends the run.
-    """
-    starts = []
+
+def _header(run: bytes) -> tuple[int, dict] | None:
+    """Where in ``run``, which ends before a dot, a token's header begins: an object that names an algorithm and ends the run. Every grid of four characters is decoded once."""
+    best = None
     for phase in range(min(4, len(run))):
         if len(run) % 4 == (phase + 1) % 4:  # a digit left over
             continue
         data = _decoded(run[phase:], b"-_")
-        shown = data.decode("latin-1")  # read in place, from each brace
-        brace, last = data.find(b"{"), 0
-        while brace >= 0:
-            first = brace
-            while first > last and data[first - 1] in b" \t\r\n":
-                first -= 1
-            first = -(-first // 3) * 3  # on the grid
-            found = _object(data[first:]) if first <= brace and _fills(shown, brace) else None
-            if found is not None and isinstance(found.get("alg"), str):
-                starts.append(phase + first // 3 * 4)
-                break
-            last, brace = brace + 1, data.find(b"{", brace + 1)
-    return min(starts, default=None)
+        brace = _last_object(data)
+        if brace is None:
+            continue
+        first = brace
+        while first and data[first - 1] in b" \t\r\n":
+            first -= 1
+        first = -(-first // 3) * 3  # on the grid
+        found = _object(data[first:]) if first <= brace else None
+        if found is not None and isinstance(found.get("alg"), str) and (best is None or phase + first // 3 * 4 < best[0]):
+            best = phase + first // 3 * 4, found
+    return best
 
 
 def _tokens(data: bytes) -> Iterator[tuple[int, int, str]]:
-    done = 0
-    for m in MIDDLE.finditer(data):
-        if m.start() < done or _object(_decoded(m[1], b"-_")) is None:
-            continue
-        begin = m.start()
-        while begin > done and data[begin - 1] in URL_SAFE:
-            begin -= 1
-        start = _token_start(data[begin : m.start()])
-        if start is not None:
-            end = m.end(1) + 1
-            while end < len(data) and data[end] in URL_SAFE:
-                end += 1
-            yield begin + start, end, "jwt"
-            done = end
+    for m in DOTTED.finditer(data):
+        parts = m[0].split(b".")
+        at = [m.start()]
+        for p in parts:
+            at.append(at[-1] + len(p) + 1)
+        i = 0
+        while i + 2 < len(parts):
+            signed = len(parts[i + 1]) >= 2 and _object(_decoded(parts[i + 1], b"-_")) is not None
+            detached, five = not parts[i + 1] and bool(parts[i + 2]), i + 4 < len(parts) and all(parts[i + 2 : i + 5])
+            head = _header(parts[i]) if parts[i] and (signed or detached or five) else None
+            if head is None:
+                i += 1
+                continue
+            last = i + 4 if five and isinstance(head[1].get("enc"), str) else i + 2
+            if last == i + 2 and not (signed or detached):
+                i += 1
+                continue
+            yield at[i] + head[0], at[last + 1] - 1, "jwt"
+            i = last + 1
 
 
 def is_pem(label: bytes, body: bytes) -> bool:
@@ -197,11 +264,11 @@ def _keys_in(value: np.ndarray, bits: int, decode: Callable[[int], bytes]) -> It
             continue
         phase = p % group
         if phase not in held:
-            held[phase] = memoryview(decode(phase))
-        data, at = held[phase], p // group * (3 if bits == 6 else 1)
-        size = _der_size(data, at)
-        if size is not None and KEY_BYTES <= size[1] - at and size[1] <= len(data) and is_der(data[at : size[1]]):
-            done = p + -(-8 * (size[1] - at) // bits)
+            held[phase] = Items(memoryview(decode(phase)))
+        items, at = held[phase], p // group * (3 if bits == 6 else 1)
+        size = _der_size(items.data, at)
+        if size is not None and KEY_BYTES <= size[1] - at and (end := _key_end(items, at)) is not None:
+            done = p + -(-8 * (end - at) // bits)
             yield p, done
 
 
@@ -267,8 +334,8 @@ def redact(text: str | None, spans: list[tuple[int, int, str]], mark: str = "[SE
 
 
 def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``secrets``, an array of (kind, start, end), and ``redacted``; columns of these names are replaced."""
-    keep = [c for c in docs.columns if c not in ("secrets", "redacted")]
+    """``docs`` with ``secrets``, an array of (kind, start, end), and ``redacted``; columns of these names, in any case, are replaced."""
+    keep = [c for c in docs.columns if c.lower() not in ("secrets", "redacted")]
     docs = docs.select(*keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "secrets array<struct<kind:string,start:bigint,end:bigint>>, redacted string"])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -507,15 +507,92 @@ def test_structures_anywhere():
     assert not _spans(f"{url(b'{"alg":1}')}.{url(b'{}')}.x", "jwt") and not _spans(f"{url(b'{"alg":"x"}')}.{url(b'[1]')}.x", "jwt")
 
 
+def test_keys_of_many_items():
+    item = lambda tag, body: bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
+    for n in (2, 32, 33, 500):
+        key = item(0x30, b"".join(item(0x02, bytes([1 + i % 100] * 20)) for i in range(n)))
+        assert _spans(f"x {base64.b64encode(key).decode()} y", "der") == [base64.b64encode(key).decode()], n
+        nested = item(0x30, item(0x02, b"\x00") + item(0x30, item(0x06, b"\x2a\x03") * n) + item(0x04, bytes(range(1, 40))))
+        assert _spans(nested.hex(), "der") == [nested.hex()], n
+        broken = item(0x30, item(0x02, b"\x00") + item(0x30, item(0x06, b"\x2a\x03") * n + b"\x06") + item(0x04, bytes(range(1, 40))))
+        assert not _spans(broken.hex(), "der"), n
+
+
+def test_keys_by_a_slow_reader():
+    """Random short encodings, right and wrong, against a reader that walks every item anew."""
+    rng = random.Random(12)
+
+    def items(data):
+        out, at = [], 0
+        while at < len(data):
+            found = secret_scan._der_size(data, at)
+            if found is None or found[1] > len(data):
+                return None
+            out.append((data[at], data[found[0] : found[1]]))
+            at = found[1]
+        return out
+
+    def slow(data):
+        outer = items(data)
+        if not data or data[0] != 0x30 or outer is None or len(outer) != 1 or not outer[0][1] or outer[0][1][0] not in (2, 0x30):
+            return False
+        inner = items(outer[0][1])
+        return bool(inner) and len(inner) >= 2 and all(items(b) for t, b in inner if t == 0x30) and any(t in (2, 3, 4) for t, _ in inner)
+
+    def make(depth):
+        body = b"".join(make(depth - 1) if depth and rng.random() < 0.4 else bytes([rng.choice([2, 3, 4, 5, 6, 0x30, 0x31])]) + (b := bytes(rng.choice([2, 0, 1, 0x30, 5]) for _ in range(rng.randint(0, 5))), bytes([len(b) + (rng.random() < 0.03)]) + b)[1] for _ in range(rng.randint(0, 5)))
+        return b"\x30" + bytes([len(body)]) + body if len(body) < 128 else body[:100]
+
+    kinds = set()
+    for _ in range(4000):
+        data = make(3)
+        kinds.add(slow(data))
+        assert secret_scan.is_der(data) == slow(data), data.hex()
+        # places inside share their chains
+        held = secret_scan.Items(memoryview(data))
+        for at in range(len(data)):
+            size = secret_scan._der_size(data, at)
+            want = at + size[1] - at if size and size[1] <= len(data) and slow(data[at : size[1]]) else None
+            assert secret_scan._key_end(held, at) == want
+    assert kinds == {True, False}
+
+
+def test_tokens_of_all_shapes():
+    url = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    head, sealed, payload = url(b'{"alg":"RS256"}'), url(b'{"alg":"dir","enc":"A128GCM","x":{"y":["}\\"{"]}}'), url(b'{"sub":1}')
+    for token in (f"{head}.{payload}.c2ln", f"{head}.{payload}.", f"{head}..c2ln", f"{sealed}.a2V5.aXY.Y3Q.dGFn", f"{sealed}..aXY.Y3Q.dGFn"):
+        for front in ("", "Bearer ", "x.y.", "ab_eyJ", "é"):
+            assert _spans(f"{front}{token} end", "jwt") == [token], (token, front)
+    for other in (f"{head}.a2V5.aXY.Y3Q.dGFn", f"{sealed}.a2V5.aXY..dGFn", f"{head}..", f"{head}.x", f"{payload}..c2ln"):
+        assert not _spans(f"{other} end", "jwt"), other
+    assert _spans(f"{head}.{payload}.c2ln.{sealed}..aXY.Y3Q.dGFn", "jwt") == [f"{head}.{payload}.c2ln", f"{sealed}..aXY.Y3Q.dGFn"]
+
+
 def test_scan_is_linear():
     import time
 
     n = 1 << 18
-    for unit in ("M", "30", "-----BEGIN A KEY-----\n", "MIIB", "e", "ew", "eyJ", "a.", "eyJh.", "{", "ICAg", "-", "AKIA", "token=", "M\n", "Proc-Type: 4,ENCRYPTED\n", "-----BEGIN A-----\n-----END B-----\n"):
+    for unit in ("M", "30", "-----BEGIN A KEY-----\n", "MIIB", "e", "ew", "eyJ", "a.", "eyJh.", "{", "ICAg", "-", "AKIA", "token=", "M\n", "Proc-Type: 4,ENCRYPTED\n", "-----BEGIN A-----\n-----END B-----\n", "300202003003020100", "a..", "3080"):
         began = time.time()
         secret_scan.scan(unit * (n // len(unit)))
         secret_scan.scan(unit * (n // len(unit)) + ".e30.x")
         assert time.time() - began < 10, unit
+    url = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    for unit in (b'{"a":[', b'{"a":', b'"', b'\\"', b"}", b'{"alg":"x"}', b'{"a":{"alg":"'):
+        for tail in (b"", b"}", b'"}]}'):
+            began = time.time()
+            secret_scan.scan(url(unit * ((1 << 20) // len(unit)) + tail) + ".e30.x")
+            assert time.time() - began < 5, (unit, tail)
+    # candidates that each claim a long tail of items which a wrong one ends
+    tail = bytes.fromhex("020100") * 20_000 + b"\x30\x01\x05"
+    heads, size = b"", 10 * 3000
+    for i in range(3000):
+        left = size - 10 * i
+        heads += b"\x30\x83" + (left - 5 + len(tail)).to_bytes(3, "big") + b"\x30\x83" + (left - 10).to_bytes(3, "big")
+    began = time.time()
+    secret_scan.scan((heads + tail).hex())
+    secret_scan.scan(base64.b64encode(heads + tail).decode())
+    assert time.time() - began < 10
 
 
 # ---- learnt scores
