@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import best_fit_packing, chat_format, embedding_dedup, lm_scoring, near_dedup, quality_classifier, quality_rules, secret_scan, source_divergence, source_mixing, token_files, toxicity
+from lodestream.llm import best_fit_packing, chat_format, embedding_dedup, lm_scoring, near_dedup, quality_classifier, quality_rules, secret_scan, source_divergence, source_mixing, token_alignment, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_files.op9,
     "op10_toxicity": toxicity.op10,
     "op11_lm_scoring": lm_scoring.op11,
+    "op12_token_alignment": token_alignment.op12,
     "op13_source_divergence": source_divergence.op13,
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_chat_format": chat_format.ORACLE,
     "op5_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op12_token_alignment": token_alignment.op12,
     "op13_source_divergence": source_divergence.ORACLE,
 }
