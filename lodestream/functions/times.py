@@ -15,6 +15,11 @@ DAYS = [("昨天", 1), ("前天", 2)]
 DATE_TIME = r"(\d{4})-(\d{1,2})-(\d{1,2})[T\s](\d{1,2}):(\d{1,2})"
 DATE = r"(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})"
 
+# A feed's time as mail has it; months; zones by hours from UTC.
+RFC_822 = r"^(?:[A-Za-z]+,? )?(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[ -](\d{4}|\d{2}) (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ([A-Za-z]+|[+-]\d{2}:?\d{2}))?$"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+ZONES = {"GMT": 0, "UT": 0, "UTC": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+
 
 def free_time(text: Column | str, reference: Column | str) -> Column:
     """Null where the text holds no time, or an impossible one."""
@@ -39,6 +44,28 @@ def wall_time(c: Column | str) -> Column:
     return F.coalesce(whole, F.regexp_extract(raw, r"^\d{4}-\d{2}-\d{2}", 0).try_cast("timestamp_ntz"))
 
 
+def feed_time(c: Column | str) -> Column:
+    """A feed's time in UTC: RFC 822 (the day's name and seconds may be missing, years may have two digits) or ISO 8601 (no zone: UTC). Null for anything else."""
+    raw = F.trim(F.regexp_replace(_c(c), r"\s+", " "))
+    part = lambda i: F.regexp_extract(raw, RFC_822, i)
+    month = F.element_at(F.create_map(*(x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(f"{i + 1:02d}")))), F.lower(part(2)))
+    year = F.when(F.length(part(3)) == 2, F.concat(F.when(part(3) < "50", "20").otherwise("19"), part(3))).otherwise(part(3))
+    seconds = F.when(part(6) == "", "00").otherwise(part(6))
+    mail = F.concat(year, F.lit("-"), month, F.lit("-"), F.lpad(part(1), 2, "0"), F.lit(" "), F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), seconds).try_cast("timestamp_ntz")
+    named = F.element_at(F.create_map(*(F.lit(x) for z, h in ZONES.items() for x in (z, h * 60))), F.upper(part(7)))
+    mail = F.timestamp_add("MINUTE", -F.coalesce(named, _minutes(part(7)), F.lit(0)), mail)
+    zone = F.regexp_extract(raw, r"[T ]\d{1,2}:\d{2}.*?(Z|[+-]\d{2}:?\d{2})$", 1)
+    iso = F.timestamp_add("MINUTE", -F.coalesce(_minutes(zone), F.lit(0)), wall_time(raw))
+    return F.when(raw.rlike(RFC_822), mail).when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), iso)
+
+
+def _minutes(zone: Column) -> Column:
+    """Of +hh:mm or +hhmm; null for anything else."""
+    digits = F.regexp_replace(zone, ":", "")
+    n = (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")) * F.when(F.startswith(digits, F.lit("-")), -1).otherwise(1)
+    return F.when(digits.rlike(r"^[+-]\d{4}$"), n)
+
+
 def date_range(start: Column, end: Column, days: Column) -> Column:
     """range_start (``days`` before the end where not given), range_end and outcome."""
     begin = F.coalesce(start, end - F.make_dt_interval(days))

@@ -58,6 +58,42 @@ def c5(spark: SparkSession, sf: str) -> DataFrame:
     return topics.connected_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), by="category", max_members=3).select("ingest_seq", "category", "topic_id", "role")
 
 
+def _pass(by: str, most: int = 0, titles: bool = False) -> str:
+    """SQL of the greedy pass itself: one step a row, with the topics so far as a list."""
+    fits = lambda t, w: f"(CASE WHEN len(t_.{t}) = 0 OR len(w.{w}) = 0 THEN 0 ELSE len(list_intersect(t_.{t}, w.{w})) / (len(t_.{t}) + len(w.{w}) - len(list_intersect(t_.{t}, w.{w}))) END)"
+    close = f"greatest({fits('terms', 't')}, {fits('titles', 'u')})" if titles else fits("terms", "t")
+    full = f" AND t_.n < {most}" if most else ""
+    return f"""WITH RECURSIVE {ARTICLES}, {ANALYSES}, w AS (SELECT *, row_number() OVER (ORDER BY rank_score DESC, ingest_seq) AS rn, {by} AS grp FROM
+   (SELECT ingest_seq, source_code, category, info_type, relevance, trend, engineering, depth, fresh, {RANK_SQL} AS rank_score, {TERMS_SQL} || {"['c' || category, 's' || source_code]" if titles else "[]::VARCHAR[]"} AS t, {TERMS_SQL} AS u FROM articles JOIN analyses ON ingest_seq = article_id)),
+ st(i, topics, topic_id) AS (SELECT 0::BIGINT, []::STRUCT(lead BIGINT, grp VARCHAR, terms VARCHAR[], titles VARCHAR[], n INT)[], NULL::BIGINT UNION ALL
+   SELECT i + 1, CASE WHEN hit IS NULL THEN list_append(topics, {{'lead': w.ingest_seq, 'grp': w.grp, 'terms': w.t, 'titles': w.u, 'n': 1}})
+     ELSE list_transform(topics, lambda t_, j_: CASE WHEN j_ = hit THEN {{'lead': t_.lead, 'grp': t_.grp, 'terms': list_distinct(t_.terms || w.t), 'titles': list_distinct(t_.titles || w.u), 'n': (t_.n + 1)::INT}} ELSE t_ END) END, coalesce(topics[hit].lead, w.ingest_seq)
+   FROM (SELECT st.i, st.topics, w, nullif(list_position(list_transform(topics, lambda t_: t_.grp = w.grp AND {close} >= 0.34{full}), true), 0) AS hit FROM st JOIN w ON w.rn = st.i + 1)),
+ f AS (SELECT w.*, topic_id FROM w JOIN st ON st.i = w.rn)
+"""
+
+
+@query("C4_greedy_topics", _pass("category") + "SELECT ingest_seq, category, topic_id, CASE WHEN topic_id = ingest_seq THEN 'lead' ELSE 'member' END AS role FROM f")
+def c4_greedy(spark: SparkSession, sf: str) -> DataFrame:
+    """As the pass in order finds them: each row against grown term sets."""
+    return topics.greedy_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), by="category").select("ingest_seq", "category", "topic_id", "role")
+
+
+@query("C5_greedy_capped", _pass("category", 3) + "SELECT ingest_seq, category, topic_id, CASE WHEN topic_id = ingest_seq THEN 'lead' ELSE 'member' END AS role FROM f")
+def c5_greedy(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics of three rows are full: a later row goes to another or opens one."""
+    return topics.greedy_topics(_rows(spark, sf), "ingest_seq", "terms", _order(), by="category", max_members=3).select("ingest_seq", "category", "topic_id", "role")
+
+
+@query("C3_greedy_boost", _pass("''", titles=True) + f""", g AS (SELECT topic_id, count(DISTINCT source_code) AS n_sources FROM f GROUP BY topic_id), u AS (SELECT * REPLACE (CASE WHEN up THEN 10.0 ELSE trend END AS trend) FROM (SELECT f.*, ingest_seq = topic_id AND n_sources >= 2 AND {EVENT_SQL} AND relevance >= 6 AND trend < 10 AS up FROM f JOIN g USING (topic_id)))
+ SELECT ingest_seq, topic_id, up AS boosted, trend, {RANK_SQL} AS rank_score FROM u""")
+def c3_greedy(spark: SparkSession, sf: str) -> DataFrame:
+    """All terms (those of the title, category and source) or title terms alone, whichever are closer."""
+    rows = _rows(spark, sf).withColumn("all", F.concat("terms", F.array(F.concat(F.lit("c"), "category"), F.concat(F.lit("s"), "source_code"))))
+    found = topics.greedy_topics(rows, "ingest_seq", "all", _order(), titles="terms")
+    return topics.trend_boost(found, "ingest_seq", "source_code").select("ingest_seq", "topic_id", "boosted", "trend", "rank_score")
+
+
 @query("F4_cluster_routine", _connected("lang") + "SELECT topic_id, count(*) AS related, min(ingest_seq) AS first_id, count(DISTINCT source_code) AS n_sources FROM f GROUP BY topic_id")
 def f4(spark: SparkSession, sf: str) -> DataFrame:
     """Topics of a language and their summary, by one call each."""

