@@ -78,7 +78,7 @@ def quality_rules(docs: DataFrame, text: str = "text", max_cover: dict[int, floa
     limits = dict(MAX_COVER if max_cover is None else max_cover)
     lengths = tuple(sorted(limits))
     new = [*COUNTS, *_new(lengths)]
-    keep = [c for c in docs.columns if c not in {*new, "base_failed", "kept"}]
+    keep = [c for c in docs.columns if c.lower() not in {*new, "base_failed", "kept"}]
     docs = docs.select(*keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} long" for c in new)])
 

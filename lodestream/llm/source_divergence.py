@@ -48,8 +48,8 @@ LEAST = 3
 #: Ranks of the term part.
 RANKS = 200
 UNIT = 1_000_000_000
-#: Cells (terms times sources) of one block of the pair part and counts of one part of a skyband; skybands merged at a time.
-CELLS, FAN = 2_000_000, 16
+#: Cells (terms times sources) of one block of the pair part; counts of one part of a skyband; skybands merged at a time.
+BLOCK, CELLS, FAN = 1 << 18, 2_000_000, 16
 #: Bytes of text counted at once.
 RUN = 16 << 20
 LETTER = np.zeros(256, bool)
@@ -242,9 +242,9 @@ def vocabulary(docs: DataFrame, lang: str = "lang", source: str = "source", text
 def pair_sums(kept: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
     """(lang, source, item, value): distances of each source from each other one of its language, over all kept terms.
 
-    ``groups``: (lang, source, n); ``langs``: (lang, v, sources). A language is cut into blocks of about CELLS cells.
+    ``groups``: (lang, source, n); ``langs``: (lang, v, sources). A language is cut into blocks of about BLOCK cells.
     """
-    blocks = F.greatest(F.ceil(F.col("v") * F.col("n_sources") / CELLS), F.lit(1)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("v") * F.col("n_sources") / BLOCK), F.lit(1)).cast("int")
     langs = langs.select("lang", "v", blocks.alias("blocks"))
     left = kept.join(small(langs.select("lang", "blocks")), "lang").select("lang", "sources", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"))
     right = groups.join(small(langs), "lang").select("lang", "source", "n", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))

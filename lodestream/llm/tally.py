@@ -31,15 +31,15 @@ def summed(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.
 class Tally:
     """What one task has counted. ``add`` gives parts to hand on once there are very many keys."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.held, self.size = names, [], 0
+    def __init__(self, names: list[str], most: int = MOST):
+        self.names, self.most, self.held, self.size = names, most, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(summed(keys, counts, *more))
         self.size += len(self.held[-1][0])
-        if self.size > 2 * MOST:
+        if self.size > 2 * self.most:
             self._merge()
-            if self.size > MOST:
+            if self.size > self.most:
                 yield from self.rest()
 
     def _merge(self) -> None:

@@ -42,9 +42,9 @@ from lodestream.llm.store import stored
 from lodestream.llm.tally import Tally, common, lists
 from lodestream.llm.tokens import PRINTABLE, Encoder, cut_points, default_path
 
-RUN = 4 << 20
-#: Pieces that a worker remembers the B ids of.
-KEPT = 300_000
+RUN = 1 << 20
+#: Pieces that a worker remembers the B ids of, and pairs at which it hands its counts on.
+KEPT, PAIRS = 60_000, 1 << 18
 SHIFT = 32
 _made: dict[tuple[str, str], Aligner] = {}
 
@@ -227,7 +227,7 @@ def pair_counts(docs: DataFrame, a: str, b: str, text: str = "text") -> DataFram
     """(h, n): links of each pair of ids over all texts; h holds the A id above SHIFT and the B id below."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, tally = Aligner.of(a, b), Tally(["h", "n"])
+        both, tally = Aligner.of(a, b), Tally(["h", "n"], PAIRS)
         for batch in batches:
             for i, j, data, off in W.runs(_spaced(batch, text), "text", RUN):
                 p = both.read(data, off)

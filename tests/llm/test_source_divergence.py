@@ -62,6 +62,7 @@ def corpus(seed, n=250):
 def test_against_plain_python(spark, monkeypatch, ranks, cells):
     """Also in many small blocks and parts, with few ranks, so that skybands cut."""
     monkeypatch.setattr(D, "CELLS", cells)
+    monkeypatch.setattr(D, "BLOCK", min(cells, D.BLOCK))
     monkeypatch.setattr(D, "FAN", 2)
     rows = corpus(ranks)
     docs = spark.createDataFrame(rows, "lang string, source string, text string").withColumns({"Item": F.lit(1), "n": F.lit("x"), "term": F.lit(0)})
