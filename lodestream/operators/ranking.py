@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.filters import small
+from lodestream.sources.store import discard, written
 
 
 def candidate_pool(df: DataFrame, source: str, order: list[Column], limit: int, initial: int) -> DataFrame:
@@ -30,30 +31,39 @@ def top_outcomes(df: DataFrame, key: str, order: list[Column], k: int) -> DataFr
 
 
 def select_capped(topics: DataFrame, group: str, order: list[Column], caps: dict[str, int], target: int, key: str) -> DataFrame:
-    """Greedy choice in order under several caps (0: none), tested as listed, then the target. One outcome for each topic.
+    """Greedy choice in order under several caps (0: none), tested as listed, then the target: one outcome for each topic.
 
-    Caps interact, so the fold is sequential within a report's group; a topic
-    past ``cap x values`` or the target can't be skipped ahead of time. The
-    fold's rows are the topics of one report, which are bounded by its batch.
+    Found in rounds of windows, with no group in one value. A row's verdict
+    depends on how many earlier ones of its value were selected. A round counts, for
+    each row, those known to be selected and those still open; a row is full if the
+    selected alone reach the cap, and free if even all open ones before it wouldn't.
+    The first open row of a group is always decided, and mostly all but a few are.
     """
-    fields = list(caps)
-    ordered = topics.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    items = F.array_sort(F.collect_list(F.struct("_n", F.col(key).alias("key"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields))))
-    start = F.struct(F.lit(0).alias("taken"), F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<key:bigint,outcome:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        tag = lambda c: F.concat(F.lit(f"{c}="), x[c])
-        same = lambda c: lambda u: u == tag(c)
-        verdict = None
-        for c in fields:
-            full = F.lit(caps[c] > 0) & (F.size(F.filter(acc["used"], same(c))) >= caps[c])
-            verdict = F.when(full, f"{c}_cap") if verdict is None else verdict.when(full, f"{c}_cap")
-        verdict = verdict.when(acc["taken"] >= target, "capacity").otherwise("selected")
-        new = F.when(verdict == "selected", F.concat(acc["used"], F.array(*(tag(c) for c in fields)))).otherwise(acc["used"])
-        return F.struct((acc["taken"] + (verdict == "selected").cast("int")).alias("taken"), new.alias("used"), F.concat(acc["out"], F.array(F.struct(x["key"].alias("key"), verdict.alias("outcome")))).alias("out"))
-
-    folded = ordered.groupBy(group).agg(items.alias("items")).select(group, F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
-    return folded.withColumnRenamed("key", key)
+    fields = [c for c in caps if caps[c] > 0]
+    rows = topics.select(group, F.col(key).alias("_key"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_c_{c}") for c in fields), F.row_number().over(Window.partitionBy(group).orderBy(*order)).alias("_n"), F.lit(None).cast("string").alias("_done"))
+    rows = written(rows, "caps")
+    chosen, free = F.col("_done") == "selected", F.col("_done").isNull()
+    within = lambda *by: Window.partitionBy(group, *by).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda what, w: F.coalesce(F.sum(what.cast("int")).over(w), F.lit(0))
+    while True:
+        marked = F.coalesce(chosen, F.lit(False))
+        seen = rows
+        for c in (*fields, None):
+            w, name = within(*([f"_c_{c}"] if c else [])), c or "target"
+            seen = seen.withColumn(f"_in_{name}", count(marked, w)).withColumn(f"_open_{name}", count(free, w))
+        verdict, sure = None, F.lit(True)
+        for c in (*fields, None):
+            name, cap, reason = c or "target", caps[c] if c else target, f"{c}_cap" if c else "capacity"
+            full, spare = F.col(f"_in_{name}") >= cap, F.col(f"_in_{name}") + F.col(f"_open_{name}") < cap
+            # what comes before in the list must be known not to hold
+            verdict = F.when(full, reason) if verdict is None else verdict.when(sure & full, reason)
+            sure = sure & spare
+        verdict = verdict.when(sure, "selected")
+        new = written(seen.withColumn("_done", F.coalesce("_done", verdict)).select(*rows.columns), "caps")
+        discard(rows)
+        rows = new
+        if not rows.filter(free).take(1):
+            return rows.select(group, F.col("_key").alias(key), F.col("_done").alias("outcome"))
 
 
 def display_order(df: DataFrame, category: str, order: list[str], score: str, key: str) -> DataFrame:

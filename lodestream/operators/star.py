@@ -111,6 +111,57 @@ def briefing_candidates(relations: DataFrame, batches: DataFrame, articles: Data
     return rows.join(analyses, "analysis_id").join(sources, "source_id")
 
 
+def target_batch(batches: DataFrame, relations: DataFrame, batch_no: str | None = None) -> DataFrame:
+    """(batch_id): the last successful batch, by number, that has relations; or the one named, under the same conditions. At most one row."""
+    good = batches.filter(F.col("status") == "success")
+    if batch_no:
+        good = good.filter(F.col("batch_no") == batch_no)
+    return good.join(relations.select("batch_id").distinct(), "batch_id", "left_semi").agg(F.max("batch_id").alias("batch_id")).filter("batch_id is not null")
+
+
+def detail_text(detail: str, field: str) -> Column:
+    """A text in a JSON column; null where the JSON is broken, lacks it, or holds an empty text."""
+    return F.nullif(F.try_variant_get(F.try_parse_json(detail), f"$.{field}", "string"), F.lit(""))
+
+
+def star_report(batches: DataFrame, relations: DataFrame, articles: DataFrame, analyses: DataFrame, insights: DataFrame, batch_no: str | None = None, least: float = 6.0) -> DataFrame:
+    """The numbered report of one batch: its relations with article and successful analysis, and the insight where there is a successful one of the batch.
+
+    ``relations``: batch_id, article_id, analysis_id, insight_id, chosen. The
+    score is the rank score, else the value score; a row is selected ('是') if it
+    scores ``least``, was chosen and has an insight. Reasons come from the JSON
+    column ``detail``, empty ones as null. Order: score and time down (null last),
+    then article_id. Without such a batch there is no row.
+    """
+    target = F.broadcast(target_batch(batches, relations, batch_no))  # one row at most
+    ours = lambda df: df.join(target, "batch_id")
+    told = ours(insights.filter(F.col("status") == "success").select("batch_id", "insight_id")).select("insight_id", F.lit(True).alias("told"))
+    fields = [c for c in analyses.columns if c not in ("batch_id", "status", "article_id")]
+    rows = ours(relations).join(ours(analyses.filter(F.col("status") == "success")).select(*fields), "analysis_id").join(articles.select("article_id", "title", "publish_time"), "article_id").join(told, "insight_id", "left")
+    score = F.coalesce("rank_score", "value_score")
+    rows = rows.withColumn("score", score).withColumn("selected", F.when((score >= least) & F.col("chosen") & F.col("told"), "是").otherwise("否"))
+    rows = rows.withColumns({f: detail_text("detail", f) for f in REASONS})
+    return numbered(rows.select("article_id", "title", "publish_time", "category", *REASONS, "score", "selected"), [F.col("score").desc_nulls_last(), F.col("publish_time").desc_nulls_last(), F.col("article_id")])
+
+
+REASONS = ("org_relevance_reason", "trend_reason")
+
+
+def star_briefing(batch_id: int, relations: DataFrame, articles: DataFrame, analyses: DataFrame, insights: DataFrame, sources: DataFrame, start: Column, end: Column, aliases: dict[str, str], other: str) -> DataFrame:
+    """Candidates of a briefing: chosen relations of one batch with article (its time within the range), source, successful analysis and successful insight of that batch.
+
+    The title is the one in the analysis' detail, else the article's, which also
+    stays as original_title; a category has its alias, and ``other`` where there is none.
+    """
+    of = lambda df: df.filter(F.col("batch_id") == batch_id)
+    good = lambda df: of(df).filter(F.col("status") == "success").drop("batch_id", "status")
+    inside = articles.filter(F.col("publish_time").between(start, end)).select("article_id", "source_id", F.col("title").alias("original_title"), "url", "publish_time")
+    rows = of(relations).filter("chosen").select("article_id", "analysis_id", "insight_id").join(inside, "article_id").join(good(analyses).drop("article_id"), "analysis_id").join(good(insights).drop("article_id"), "insight_id").join(sources, "source_id")
+    named = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)), F.col("category")), F.nullif("category", F.lit("")), F.lit(other))
+    title = F.coalesce(F.nullif(F.trim(detail_text("detail", "title_cn")), F.lit("")), F.col("original_title"))
+    return rows.withColumns({"title": title, "category": named, "score": F.coalesce("rank_score", "value_score", F.lit(0.0))}).drop("detail", "rank_score", "value_score")
+
+
 def link_selected(relations: DataFrame, insights: DataFrame, keys: list[str]) -> DataFrame:
     """Relations with ``selected``: an insight of the same keys exists."""
     marks = insights.select(*keys).distinct().withColumn("_has", F.lit(True))

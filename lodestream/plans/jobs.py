@@ -204,11 +204,30 @@ def t1(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.drain(jobs.dedup_stream(stream, "user_id", "ts", "60 days"), "dedup").select("user_id")
 
 
-@query("T2_incremental_import", "SELECT event_id, event_type FROM events")
+@query("T2_incremental_import", "SELECT 'h' || event_id AS url_hash, event_type AS title, event_id % 2 = 0 AS analysed, event_id % 10 = 0 AS selected FROM events")
 def t2(spark: SparkSession, sf: str) -> DataFrame:
+    """Each micro-batch of events is a delivery into the star: an article each, an analysis for every second, an insight for every tenth. The whole runs twice."""
     path = shared_path(spark, "import")
-    jobs.import_stream(jobs.stream_table(spark, f"{sf}/events.parquet").select("event_id", "event_type"), path, "event_id")
-    return spark.read.parquet(path).select("event_id", "event_type")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    star_ = {
+        "articles": none("url_hash string, article_id long, author string, publish_time timestamp, crawl_time timestamp, title string"), "analyses": none("batch_no string, article_id long, trend double"),
+        "insights": none("batch_no string, article_id long, text string"), "links": none("batch_no string, article_id long, analysed boolean, selected boolean"),
+        "batches": none("batch_no string, status string, article_count long, success_count long, failed_count long"),
+    }
+
+    def payload(batch: DataFrame) -> dict[str, DataFrame]:
+        name = F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("url_hash")
+        none = F.lit(None).cast("timestamp")
+        return {
+            "articles": batch.select(name, F.lit("").alias("author"), none.alias("publish_time"), none.alias("crawl_time"), F.col("event_type").alias("title")),
+            "analyses": batch.filter("event_id % 2 = 0").select(name, F.col("value").alias("trend")), "insights": batch.filter("event_id % 10 = 0").select(name, F.lit("told").alias("text")),
+        }
+
+    events = jobs.stream_table(spark, f"{sf}/events.parquet").select("event_id", "event_type", "value")
+    for _ in range(2):  # without the first run's state: all comes again
+        jobs.import_stream(events, path, star_, payload)
+    made = jobs.read_star(spark, path)
+    return made["articles"].join(made["links"], "article_id").select("url_hash", "title", "analysed", "selected")
 
 
 @query("T3_stream_health", repeatable(RUNS) + ", s AS (SELECT *, sum((status = 'success')::INT) OVER (PARTITION BY source_id ORDER BY finished_at, run_id) AS g FROM runs), m AS (SELECT source_id, max(g) AS g FROM s GROUP BY source_id) SELECT source_id, count(*) FILTER (status <> 'success') AS failures FROM s JOIN m USING (source_id, g) GROUP BY source_id")

@@ -78,7 +78,10 @@ def w5(spark: SparkSession, sf: str) -> DataFrame:
     return a.withColumn("n", n).select("batch_id", "article_id", F.when(F.col("c") > 3, "category_cap").when(F.col("n") > 14, "capacity").otherwise("selected").alias("outcome"))
 
 
-@query("W5_capped_many_caps")
+@query("W5_capped_many_caps", "WITH RECURSIVE " + N.strip().removeprefix("WITH ") + """, w AS (SELECT batch_id, article_id, category, info_type, row_number() OVER (PARTITION BY batch_id ORDER BY trend DESC, article_id) AS n FROM analyses),
+ f(batch_id, n, article_id, outcome, held) AS (SELECT DISTINCT batch_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::VARCHAR[] FROM w UNION ALL
+   SELECT batch_id, n, article_id, o, CASE WHEN o = 'selected' THEN held || [category, info_type] ELSE held END FROM (SELECT w.*, held, CASE WHEN len(list_filter(held, lambda x_: x_ = category)) >= 3 THEN 'category_cap' WHEN len(list_filter(held, lambda x_: x_ = info_type)) >= 5 THEN 'info_type_cap' WHEN len(held) >= 28 THEN 'capacity' ELSE 'selected' END AS o FROM f JOIN w ON w.batch_id = f.batch_id AND w.n = f.n + 1))
+ SELECT batch_id, article_id, outcome FROM f WHERE n > 0""")
 def w5b(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.select_capped(analyses(spark, sf), "batch_id", [F.col("trend").desc(), F.col("article_id")], {"category": 3, "info_type": 5}, 14, "article_id")
 

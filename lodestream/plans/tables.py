@@ -253,6 +253,58 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("batch_id").alias("l_orderkey"), "l_linenumber", "p_name", "s_name", "c_name", F.col("batch_time").alias("o_orderdate"))
 
 
+#: A star of five tables from the labelled documents: four batches, one of them failed; analyses of another batch, without success or without a rank; details that are empty, broken or missing; insights that failed or don't exist.
+FIVE = """b AS (SELECT DISTINCT doc_id % 4 AS batch_id, 'IMP-' || (doc_id % 4) AS batch_no, CASE WHEN doc_id % 4 = 3 THEN 'failed' ELSE 'success' END AS status FROM labels),
+ rel AS (SELECT doc_id % 4 AS batch_id, doc_id AS article_id, doc_id * 10 + 1 AS analysis_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id * 10 + 2 END AS insight_id, doc_id % 3 <> 1 AS chosen FROM labels),
+ aa AS (SELECT CASE WHEN doc_id % 13 = 0 THEN 1 - doc_id % 4 ELSE doc_id % 4 END AS batch_id, doc_id AS article_id, doc_id * 10 + 1 AS analysis_id, CASE WHEN doc_id % 17 = 5 THEN 'failed' ELSE 'success' END AS status,
+   CASE doc_id * 17 % 8 WHEN 0 THEN '金融应用' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'cat' || (doc_id * 17 % 8) END AS category, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 101)::DOUBLE / 10 END AS rank_score, (doc_id % 7)::DOUBLE AS value_score,
+   CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '{broken' WHEN 2 THEN '{"trend_reason":""}' WHEN 4 THEN '{"title_cn":"  "}' ELSE '{"org_relevance_reason":"r' || doc_id || '","title_cn":" t' || doc_id || ' ","trend_reason":"u"}' END AS detail FROM labels),
+ di AS (SELECT doc_id % 4 AS batch_id, doc_id AS article_id, doc_id * 10 + 2 AS insight_id, CASE WHEN doc_id % 6 = 1 THEN 'failed' ELSE 'success' END AS status, 'p' || doc_id AS core_problem FROM labels WHERE doc_id % 7 <> 3)"""
+
+
+def _five(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    l = table(spark, sf, "labels")  # noqa: E741
+    return {
+        "batches": l.selectExpr("doc_id % 4 AS batch_id", "concat('IMP-', CAST(doc_id % 4 AS STRING)) AS batch_no", "CASE WHEN doc_id % 4 = 3 THEN 'failed' ELSE 'success' END AS status").distinct(),
+        "relations": l.selectExpr("doc_id % 4 AS batch_id", "doc_id AS article_id", "doc_id * 10 + 1 AS analysis_id", "CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id * 10 + 2 END AS insight_id", "doc_id % 3 <> 1 AS chosen"),
+        "analyses": l.selectExpr(
+            "CASE WHEN doc_id % 13 = 0 THEN 1 - doc_id % 4 ELSE doc_id % 4 END AS batch_id", "doc_id AS article_id", "doc_id * 10 + 1 AS analysis_id", "CASE WHEN doc_id % 17 = 5 THEN 'failed' ELSE 'success' END AS status",
+            "CASE doc_id * 17 % 8 WHEN 0 THEN '金融应用' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE concat('cat', CAST(doc_id * 17 % 8 AS STRING)) END AS category", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 101 AS DOUBLE) / 10 END AS rank_score", "CAST(doc_id % 7 AS DOUBLE) AS value_score",
+            """CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '{broken' WHEN 2 THEN '{"trend_reason":""}' WHEN 4 THEN '{"title_cn":"  "}' ELSE concat('{"org_relevance_reason":"r', CAST(doc_id AS STRING), '","title_cn":" t', CAST(doc_id AS STRING), ' ","trend_reason":"u"}') END AS detail""",
+        ),
+        "insights": l.filter("doc_id % 7 <> 3").selectExpr("doc_id % 4 AS batch_id", "doc_id AS article_id", "doc_id * 10 + 2 AS insight_id", "CASE WHEN doc_id % 6 = 1 THEN 'failed' ELSE 'success' END AS status", "concat('p', CAST(doc_id AS STRING)) AS core_problem"),
+    }
+
+
+_TEXT = "nullif(json_extract_string(CASE WHEN json_valid(detail) THEN detail END, '$.{}'), '')"
+
+
+@query("J1_star_report", repeatable(ARTICLES, FIVE) + f"""SELECT row_number() OVER (ORDER BY score DESC, publish_time DESC NULLS LAST, article_id) AS n, * FROM (
+  SELECT rel.article_id, title, publish_time, category, {_TEXT.format('org_relevance_reason')} AS org_relevance_reason, {_TEXT.format('trend_reason')} AS trend_reason, coalesce(rank_score, value_score) AS score,
+   CASE WHEN coalesce(rank_score, value_score) >= 6 AND chosen AND di.insight_id IS NOT NULL THEN '是' ELSE '否' END AS selected
+  FROM (SELECT max(b.batch_id) AS batch_id FROM b WHERE status = 'success' AND batch_id IN (SELECT batch_id FROM rel)) tb JOIN rel USING (batch_id) JOIN articles ON ingest_seq = rel.article_id
+  JOIN aa ON aa.analysis_id = rel.analysis_id AND aa.batch_id = tb.batch_id LEFT JOIN di ON di.insight_id = rel.insight_id AND di.batch_id = tb.batch_id AND di.status = 'success' WHERE aa.status = 'success')""")
+def j1_star(spark: SparkSession, sf: str) -> DataFrame:
+    """The last successful batch over all five tables."""
+    five = _five(spark, sf)
+    a = articles(spark, sf).select(F.col("ingest_seq").alias("article_id"), "title", "publish_time")
+    return star.star_report(five["batches"], five["relations"], a, five["analyses"], five["insights"]).withColumn("n", F.col("n").cast("long"))
+
+
+@query("J2_star_briefing", repeatable(ARTICLES, FIVE) + f"""SELECT rel.article_id, coalesce(nullif(trim({_TEXT.format('title_cn')}), ''), title) AS title, title AS original_title, publish_time, source_code,
+   CASE category WHEN '金融应用' THEN 'AI在金融领域应用' ELSE coalesce(nullif(category, ''), '其他AI相关') END AS category, coalesce(rank_score, value_score, 0) AS score, core_problem
+  FROM rel JOIN articles ON ingest_seq = rel.article_id JOIN aa ON aa.analysis_id = rel.analysis_id AND aa.batch_id = 2 AND aa.status = 'success' JOIN di ON di.insight_id = rel.insight_id AND di.batch_id = 2 AND di.status = 'success'
+  WHERE rel.batch_id = 2 AND chosen AND publish_time BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-06-30'""")
+def j2_star(spark: SparkSession, sf: str) -> DataFrame:
+    """One batch's candidates of half a year, with source, alias of the category and the localized title."""
+    five = _five(spark, sf)
+    a = articles(spark, sf).select(F.col("ingest_seq").alias("article_id"), F.col("source_code").alias("source_id"), "title", "url", "publish_time")
+    sources = a.groupBy("source_id").agg(F.first("source_id").alias("source_code"))
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-15", "2024-06-30"))
+    rows = star.star_briefing(2, five["relations"], a, five["analyses"], five["insights"], sources, start, end, {"金融应用": "AI在金融领域应用"}, "其他AI相关")
+    return rows.select("article_id", "title", "original_title", "publish_time", "source_code", "category", "score", "core_problem")
+
+
 BATCHES = "SELECT o_orderkey AS batch_id, 'COL-' || o_orderkey::VARCHAR AS batch_no, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'partial_success' END AS status FROM orders"
 
 
