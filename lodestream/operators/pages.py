@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,6 +150,46 @@ def expand_links(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def expand_site(seeds: DataFrame, links: DataFrame, depth: int = 2, max_pages: int = 20, max_urls: int = 100, rules: DataFrame | None = None) -> DataFrame:
+    """(source, url, title, rank): articles found by following listing pages breadth-first from each source's start, within its budgets.
+
+    ``seeds``: source, url, domain; ``links``: page, position, url, title, a row for
+    each link. The result is that of a queue: pages are taken in the order in which
+    they were put in, each once, if on the domain and allowed by robots, until
+    ``max_pages`` were taken; links to articles with a title of six characters are
+    kept in order, each URL once, until there are ``max_urls``; other links that look
+    like listings go into the queue, up to ``depth``. A level of all queues is one round.
+    """
+    from lodestream.operators.filters import robots_filter
+    from lodestream.sources.store import written
+
+    def allowed(df: DataFrame) -> DataFrame:
+        on = df.filter((urls.bare_host("url") == F.col("domain")) | F.endswith(urls.bare_host("url"), F.concat(F.lit("."), "domain")))
+        return robots_filter(on, "url", rules) if rules is not None else on
+
+    title = F.length(F.coalesce("title", F.lit(""))) >= 6
+    marked = links.withColumn("article", urls.looks_like_article("url") & title)
+    level = seeds.select("source", "url", "domain", urls.host("url").alias("home"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")).alias("at"))
+    taken = None
+    for d in range(depth + 1):
+        level = allowed(level).groupBy("source", "url", "domain", "home").agg(F.min("at").alias("at"))
+        if taken is not None:
+            before = taken.groupBy("source").agg(F.max("visit").alias("before"))
+            level = level.join(taken.select("source", "url"), ["source", "url"], "left_anti").join(before, "source")
+        else:
+            level = level.withColumn("before", F.lit(0))
+        visit = F.col("before") + F.row_number().over(Window.partitionBy("source").orderBy("at", "url"))
+        now = written(level.withColumn("visit", visit).filter(F.col("visit") <= max_pages).select("source", "url", "domain", "home", "visit"), "level")
+        taken = now if taken is None else taken.unionByName(now)
+        if d < depth:
+            out = now.withColumnRenamed("url", "page").join(marked.filter("not article"), "page")
+            level = out.filter(urls.looks_like_listing(F.col("url"), F.col("home"))).select("source", "url", "domain", "home", F.struct(F.col("visit").alias("a"), F.col("position").alias("b")).alias("at"))
+    found = allowed(taken.select("source", F.col("url").alias("page"), "domain", "visit").join(marked.filter("article"), "page"))
+    first = found.groupBy("source", "url").agg(F.min(F.struct("visit", "position", "title")).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("f.visit", "f.position", "url"))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= max_urls).select("source", "url", "f.title", "rank")
+
+
 @F.pandas_udf(T.StringType())
 def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
     def one(b: str | None, u: str | None) -> str | None:

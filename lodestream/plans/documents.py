@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream import config as C
-from lodestream.functions import scores, text
-from lodestream.operators import answers, pages, report, retrieval, topics
+from lodestream.functions import scores, text, urls
+from lodestream.operators import answers, details, pages, report, retrieval, topics
 from lodestream.plans.catalog import query
 from lodestream.plans.fixtures import ANALYSES, ARTICLES, RANK_SQL, analyses, articles, contains_any, repeatable, table
 from lodestream.sources.store import written
@@ -136,6 +136,22 @@ def h4(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract_links(pages.parse_pages(table(spark, sf, "pages"), "page_id"), "page_id")
 
 
+@query("H2_H3_page_details")
+def h23(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields and the longest content node by selectors."""
+    got = details.page_details(table(spark, sf, "pages"), "page_id", F.lit("2024-06-01 12:00:00").cast("timestamp_ntz"))
+    return got.select("page_id", "title", "author", "published", "publish_time", "summary", "content")
+
+
+@query("H5_site_expansion")
+def h5b(spark: SparkSession, sf: str) -> DataFrame:
+    """From each page as a source's start, the articles that its site's listings lead to."""
+    p = table(spark, sf, "pages").withColumn("url", urls.strip_fragment("url"))
+    links = written(pages.parse_pages(p, "url").select(F.col("url").alias("page"), F.inline("links")).withColumn("url", urls.strip_fragment("url")).groupBy("page", "position", "url").agg(F.min("title").alias("title")), "links")
+    seeds = p.select(F.col("page_id").alias("source"), "url", urls.bare_host("url").alias("domain"))
+    return pages.expand_site(seeds, links)
+
+
 EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem UNION SELECT DISTINCT l_partkey, l_suppkey + 1 FROM lineitem WHERE l_linenumber = 1)"
 
 
