@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream import config as C
 from lodestream.functions import scores, text, urls
-from lodestream.operators import answers, details, pages, report, retrieval, topics
+from lodestream.operators import answers, details, pages, report, retrieval, topics, vector_index
 from lodestream.plans.catalog import query
 from lodestream.plans.fixtures import ANALYSES, ARTICLES, RANK_SQL, analyses, articles, contains_any, repeatable, table
 from lodestream.sources.store import written
@@ -248,6 +248,33 @@ def h14b(spark: SparkSession, sf: str) -> DataFrame:
     return _bm25(spark, sf, 10).select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
+@query("H14_vector_index", "SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings i ON len(q.embedding) = len(i.embedding) WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) DESC, i.vec_id) <= 10")
+def h14_index(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors through the index of blocks."""
+    e = table(spark, sf, "embeddings")
+    index = vector_index.build_index(e.select(F.col("vec_id").alias("item_id"), "embedding"))
+    found = vector_index.index_search(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), index, 10)
+    return found.select("query_id", "item_id", F.round("score", 6).alias("score"))
+
+
+@query("H14_H16_hybrid", f"""WITH d AS (SELECT doc_id AS id, lang, {WORDS_SQL} AS t, regexp_extract_all(lower(left(text, 60)), '[^\\x20\\x09-\\x0D]+') AS head, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id),
+ i AS (SELECT id AS item_id, t, v FROM d WHERE lang = 'en'), q AS (SELECT id AS query_id, head, v FROM d WHERE id % 50 = 0),
+ r1 AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q.v, i.v) DESC, item_id) AS rank FROM q JOIN i ON len(q.v) = len(i.v) QUALIFY rank <= 20),
+ tot AS (SELECT count(*) AS items, avg(len(t)) AS mean FROM i), u AS (SELECT item_id, len(t) AS n, unnest(t) AS term FROM i), p AS (SELECT item_id, n, term, count(*) AS tf FROM u GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+ s AS (SELECT query_id, item_id, round(sum(ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 9) AS score FROM (SELECT query_id, unnest(list_distinct(head)) AS term FROM q) JOIN p USING (term) JOIN f USING (term), tot GROUP BY query_id, item_id),
+ r2 AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 20),
+ a AS (SELECT query_id, item_id, 1.0::DOUBLE / (60 + rank) AS s FROM r1 UNION ALL SELECT query_id, item_id, 1.0::DOUBLE / (60 + rank) FROM r2)
+ SELECT query_id, item_id, round(s, 9) AS score FROM (SELECT query_id, item_id, round(sum(s), 12) AS s FROM a GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) <= 10""")
+def h14_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and vectors of documents under a tag, by both recalls: what lies near, and what shares the words of a beginning."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    d = table(spark, sf, "documents").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    items = d.select(F.col("doc_id").alias("item_id"), words(F.col("text")).alias("terms"), "embedding", F.create_map(F.lit("lang"), F.col("lang")).alias("tags"))
+    asked = d.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), words(F.substring("text", 1, 60)).alias("terms"), "embedding")
+    found = vector_index.retrieve(asked, items, 10, {"lang": "en"}, F.col("tags"))
+    return found.select("query_id", "item_id", F.round("score", 9).alias("score"))
+
+
 @query("H15_result_shape", "SELECT event_id % 97 AS query_id, CASE WHEN max(CASE WHEN event_type = 'error' THEN 'answer' END) IS NOT NULL THEN 'answer' ELSE 'sources: ' || array_to_string(list(event_type ORDER BY event_id)[1:20], '; ') END AS shown FROM events GROUP BY 1")
 def h15(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select((F.col("event_id") % 97).alias("query_id"), F.col("event_id").alias("rank"), "event_type", F.when(F.col("event_type") == "error", "answer").alias("answer"))
