@@ -49,9 +49,9 @@ LEAST = 3
 RANKS = 200
 UNIT = 1_000_000_000
 #: Cells (terms times sources) of one block of the pair part; counts of one part of a skyband; skybands merged at a time.
-BLOCK, CELLS, FAN = 1 << 18, 2_000_000, 16
+BLOCK, CELLS, FAN = 1 << 18, 500_000, 16
 #: Bytes of text counted at once.
-RUN = 16 << 20
+RUN = 4 << 20
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
 
