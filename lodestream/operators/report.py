@@ -44,6 +44,38 @@ def check_report(sections: DataFrame, by: str) -> DataFrame:
     return sections.groupBy(by).agg(F.bool_and(F.size("errors") == 0).alias("ok"), F.sum(F.size("errors")).alias("n_errors"))
 
 
+def topic_index(members: DataFrame, by: str, topic: str, order: list[str], title: str, source: str, ts: str, url: str) -> DataFrame:
+    """The source index of a report: a line for each topic with its first member's title, source, date and link, and the sources of the others in order ('-' if none)."""
+    cols = F.struct(*order, F.col(title).alias("_title"), F.col(source).alias("_source"), F.col(ts).alias("_ts"), F.col(url).alias("_url"))
+    held = members.groupBy(by, topic).agg(F.array_sort(F.collect_list(cols)).alias("m"))
+    others = F.array_join(F.transform(F.slice("m", 2, 2**31 - 2), lambda x: x["_source"]), "、")
+    first = F.col("m")[0]
+    day = F.coalesce(F.date_format(first["_ts"], "yyyy-MM-dd"), F.lit("日期未知"))
+    cells = [table_cell(first["_title"]), table_cell(first["_source"]), table_cell(F.coalesce(F.nullif(others, F.lit("")), F.lit("-"))), day, F.concat(F.lit("[原文]("), F.coalesce(first["_url"], F.lit("")), F.lit(")"))]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    return lines(held.select(by, topic, line.alias("_text")), by, [topic], F.col("_text"), "index", "| 主题 | 主来源 | 补充来源 | 发布日期 | 链接 |\n|---|---|---|---|---|\n")
+
+
+def report_counts(members: DataFrame, contents: DataFrame, by: str, topic: str, order: list[str], title: str, category: str, url: str) -> DataFrame:
+    """A report's text against its topics: how many stand in the overview, the body (marks ``[[topic]]``) and the index, the links that are missing, and whether all is as it should be.
+
+    ``members``: a row for each article of a topic; ``contents``: (by, content).
+    A group is a report, whose topics its selection bounds.
+    """
+    one = members.groupBy(by, topic).agg(F.min(F.struct(*order, F.col(title).alias("_title"), F.col(category).alias("_category"))).alias("f"), F.collect_set(F.nullif(url, F.lit(""))).alias("urls"))
+    held = one.groupBy(by).agg(F.count(F.lit(1)).alias("topics"), F.collect_list(F.struct(F.col(topic).cast("string").alias("topic"), F.col("f._title").alias("title"), F.col("f._category").alias("category"))).alias("ts"), F.flatten(F.collect_list("urls")).alias("urls"))
+    rows = held.join(contents, by, "left").withColumn("content", F.coalesce("content", F.lit("")))
+    has = lambda text: F.contains(F.col("content"), text)
+    marks = F.regexp_extract_all("content", F.lit(r"\[\[(\d+)\]\]"), F.lit(1))
+    out = rows.withColumns({
+        "in_overview": F.size(F.filter("ts", lambda t: has(F.concat(F.lit("【"), t["category"], F.lit("】["), t["title"], F.lit("]"))))), "in_body": F.size(marks),
+        "in_index": F.size(F.filter("ts", lambda t: has(F.concat(F.lit("| "), table_cell(t["title"]), F.lit(" |"))))), "missing_urls": F.array_sort(F.filter(F.array_distinct("urls"), lambda u: ~has(u))),
+    })
+    same = F.array_sort(marks) == F.array_sort(F.transform("ts", lambda t: t["topic"]))
+    valid = same & (F.col("in_overview") == F.col("topics")) & (F.col("in_index") == F.col("topics")) & (F.size("missing_urls") == 0)
+    return out.select(by, "topics", "in_overview", "in_body", "in_index", "missing_urls", valid.alias("valid"))
+
+
 def draft(rows: DataFrame, by: str, article: str) -> DataFrame:
     return rows.groupBy(by).agg(F.array_sort(F.collect_set(article)).alias("article_ids")).withColumn("review_status", F.lit("pending"))
 

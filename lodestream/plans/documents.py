@@ -337,6 +337,39 @@ def r6(spark: SparkSession, sf: str) -> DataFrame:
     return report.check_report(_sections(spark, sf), "batch_id")
 
 
+#: Topics of three articles by number, reports of four topics.
+MEMBERS = T_SQL + ", m AS (SELECT article_id, article_id // 12 AS report, article_id // 3 AS topic, 't' || article_id AS name, category, source_code, publish_time, url FROM t)"
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    number = lambda n: F.floor(F.col("article_id") / n).cast("long")
+    return _topics(spark, sf).select("article_id", number(12).alias("report"), number(3).alias("topic"), F.concat(F.lit("t"), F.col("article_id").cast("string")).alias("name"), "category", "source_code", "publish_time", "url")
+
+
+@query("R3_topic_index", MEMBERS + """, l AS (SELECT report, topic, '| ' || first(name ORDER BY article_id) || ' | ' || first(source_code ORDER BY article_id) || ' | ' || coalesce(nullif(array_to_string((list(source_code ORDER BY article_id))[2:], '、'), ''), '-') || ' | '
+  || coalesce(strftime((list(publish_time ORDER BY article_id))[1], '%Y-%m-%d'), '日期未知') || ' | [原文](' || first(url ORDER BY article_id) || ') |' AS line FROM m GROUP BY ALL)
+ SELECT report, '| 主题 | 主来源 | 补充来源 | 发布日期 | 链接 |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY topic) AS index FROM l GROUP BY report""")
+def r3b(spark: SparkSession, sf: str) -> DataFrame:
+    return report.topic_index(_members(spark, sf), "report", "topic", ["article_id"], "name", "source_code", "publish_time", "url")
+
+
+@query("R6_report_counts", MEMBERS + """, o AS (SELECT report, topic, first(name ORDER BY article_id) AS name, first(category ORDER BY article_id) AS category, list(DISTINCT url) AS urls FROM m GROUP BY ALL),
+ c AS (SELECT report, string_agg(CASE WHEN topic % 7 <> 0 THEN '【' || category || '】[' || name || ']' ELSE '' END || CASE WHEN topic % 11 <> 0 THEN '[[' || topic || ']]' ELSE '' END || '| ' || name || ' |' || array_to_string(list_sort(CASE WHEN topic % 5 = 0 THEN [] ELSE urls END), ' '), chr(10) ORDER BY topic) AS content FROM o GROUP BY report),
+ g AS (SELECT report, count(*) AS topics, count(*) FILTER (contains(content, '【' || category || '】[' || name || ']')) AS in_overview, count(*) FILTER (contains(content, '| ' || name || ' |')) AS in_index, len(regexp_extract_all(any_value(content), '\\[\\[\\d+\\]\\]')) AS in_body, bool_and(contains(content, '[[' || topic || ']]')) AS marked,
+  list_sort(list_distinct(list_filter(flatten(list(urls)), lambda x_: NOT contains(any_value(content), x_)))) AS missing FROM o JOIN c USING (report) GROUP BY report)
+ SELECT report, topics, in_overview, in_body, in_index, array_to_string(missing, ' ') AS missing_urls, marked AND in_body = topics AND in_overview = topics AND in_index = topics AND len(missing) = 0 AS valid FROM g""")
+def r6b(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports written from the topics, some of which lack their overview line, mark or links."""
+    m = _members(spark, sf)
+    o = m.groupBy("report", "topic").agg(F.min_by("name", "article_id").alias("name"), F.min_by("category", "article_id").alias("category"), F.array_sort(F.collect_set("url")).alias("urls"))
+    part = F.concat(
+        F.when(F.col("topic") % 7 != 0, F.concat(F.lit("【"), "category", F.lit("】["), "name", F.lit("]"))).otherwise(""), F.when(F.col("topic") % 11 != 0, F.concat(F.lit("[["), F.col("topic").cast("string"), F.lit("]]"))).otherwise(""),
+        F.lit("| "), "name", F.lit(" |"), F.when(F.col("topic") % 5 == 0, "").otherwise(F.array_join("urls", " ")),
+    )
+    contents = report.lines(o.withColumn("part", part), "report", ["topic"], F.col("part"), "content")
+    return report.report_counts(m, contents, "report", "topic", ["article_id"], "name", "category", "url").withColumn("missing_urls", F.array_join("missing_urls", " "))
+
+
 @query("R7_draft", N + "SELECT batch_id, array_to_string(list_sort(list(DISTINCT article_id)), ',') AS article_ids, 'pending' AS review_status FROM analyses GROUP BY batch_id")
 def r7(spark: SparkSession, sf: str) -> DataFrame:
     return report.draft(analyses(spark, sf), "batch_id", "article_id").withColumn("article_ids", F.array_join("article_ids", ","))

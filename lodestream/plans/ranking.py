@@ -100,8 +100,8 @@ def w7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("W8_report_target", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 8 WHEN '2-HIGH' THEN 14 WHEN '3-MEDIUM' THEN 18 ELSE 12 END AS target FROM orders")
 def w8(spark: SparkSession, sf: str) -> DataFrame:
-    targets = F.create_map(*(F.lit(x) for p in (("1-URGENT", 8), ("2-HIGH", 14), ("3-MEDIUM", 18)) for x in p))
-    return table(spark, sf, "orders").select("o_orderkey", F.coalesce(F.try_element_at(targets, F.col("o_orderpriority")), F.lit(12)).alias("target"))
+    targets = {"1-URGENT": 8, "2-HIGH": 14, "3-MEDIUM": 18}
+    return table(spark, sf, "orders").select("o_orderkey", scores.target_for(F.col("o_orderpriority"), targets, 12).alias("target"))
 
 
 @query("W9_round_robin", N + "SELECT article_id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY trend DESC, article_id) AS turn FROM analyses) ORDER BY turn, category LIMIT 30")
