@@ -10,11 +10,6 @@ def distribution(df: DataFrame, key: str, default: str = "unknown") -> DataFrame
     return df.groupBy(F.coalesce(F.nullif(F.col(key), F.lit("")), F.lit(default)).alias(key)).count()
 
 
-def distribution_map(df: DataFrame, key: str, default: str = "unknown") -> Column:
-    """For use over distribution(): one map."""
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "count"))))
-
-
 def pool_stats(ranked: DataFrame, source: str, rank: str, limit: int, initial: int) -> DataFrame:
     n = F.col(rank)
     return ranked.groupBy(source).agg(F.count(F.lit(1)).alias("discovered"), F.count_if(n <= limit).alias("candidates"), (F.count(F.lit(1)) > limit).alias("cap_hit"), F.count_if(n <= initial).alias("initial"), F.count_if((n > initial) & (n <= limit)).alias("deferred"))
@@ -105,6 +100,20 @@ def operation_metrics(df: DataFrame, batch: str, scored: Column, chosen: Column,
     return df.groupBy(batch).agg(F.count(F.lit(1)).alias("l1"), F.count_if(scored).alias("l2"), F.count_if(chosen).alias("l3"), F.countDistinct(category).alias("categories"))
 
 
+def operation_maps(df: DataFrame, batch: str, stages: dict[str, Column], by: list[str]) -> DataFrame:
+    """Of each batch: how many rows each stage has, and maps of their counts by each column of ``by`` ('unknown' where it is empty), keys in order.
+
+    Counted by value first, so a map is made of as many rows as it has keys.
+    """
+    out = df.groupBy(batch).agg(*(F.count_if(c).alias(f"{s}_count") for s, c in stages.items()))
+    for column in by:
+        value = F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit("unknown"))
+        counts = df.groupBy(batch, value.alias("_v")).agg(*(F.count_if(c).alias(s) for s, c in stages.items()))
+        made = counts.groupBy(batch).agg(*(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(s) > 0, F.struct("_v", s))))).alias(f"{s}_by_{column}") for s in stages))
+        out = out.join(made, batch)
+    return out
+
+
 def never_less(df: DataFrame, group: str, stored: Column, name: str = "n") -> DataFrame:
     """A count that a later import can't shrink: the stored one, or the rows there are."""
     return df.groupBy(group).agg(F.greatest(F.max(stored), F.count(F.lit(1))).alias(name))

@@ -90,3 +90,29 @@ def render_cards(df: DataFrame, key: str, title: str, body: str, score: str) ->
     value = lambda c: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), missing)
     number = F.when(F.col(score).isNotNull(), F.format_string("%.1f", F.col(score))).otherwise(missing)
     return df.select(key, F.concat_ws("\n", F.concat(F.lit("# "), value(title)), F.concat(F.lit("Score: "), number), F.lit(""), value(body)).alias("card"))
+
+
+def term_bullets(terms: Column) -> Column:
+    """An array of (term, abbr, zh, aliases) as lines ``- term (abbr) -> zh；别名：aliases``; what is missing is left out, N/A where nothing is left."""
+    some = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+
+    def line(t: Column) -> Column:
+        term, abbr, zh = some(t["term"]), some(t["abbr"]), some(t["zh"])
+        abbr = F.when(~abbr.eqNullSafe(term), abbr)
+        head = F.when(term.isNotNull() & abbr.isNotNull(), F.concat(term, F.lit(" ("), abbr, F.lit(")"))).otherwise(F.coalesce(term, abbr))
+        head = F.when(head.isNotNull() & zh.isNotNull(), F.concat(head, F.lit(" -> "), zh)).otherwise(F.coalesce(head, zh))
+        other = F.nullif(F.array_join(F.filter(F.transform(t["aliases"], some), lambda a: a.isNotNull()), "，"), F.lit(""))
+        return F.when(other.isNotNull(), F.concat(F.coalesce(head, F.lit("")), F.lit("；别名："), other)).otherwise(head)
+
+    lines_ = F.filter(F.transform(F.coalesce(terms, F.array().cast("array<struct<term:string,abbr:string,zh:string,aliases:array<string>>>")), line), lambda x: x.isNotNull())
+    return F.when(F.size(lines_) > 0, F.array_join(F.transform(lines_, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise("N/A")
+
+
+def render_insights(df: DataFrame, key: str, fields: dict[str, str], sections: dict[str, str], title: str, score: Column) -> DataFrame:
+    """(key, card): a title, labelled fields, the score with one decimal, then a section for each text; N/A for what is empty."""
+    value = lambda c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("N/A"))
+    number = F.when(score.isNotNull(), F.format_string("%.1f", score)).otherwise("N/A")
+    head = [F.concat(F.lit(f"**{label}**："), value(c)) for label, c in fields.items()]
+    parts = [F.concat(F.lit(f"## {label}\n"), value(c)) for label, c in sections.items()]
+    top = F.concat_ws("\n", *head, F.concat(F.lit("**统一排序分**："), number, F.lit("/10")))
+    return df.select(key, F.concat_ws("\n\n", F.concat(F.lit("# "), value(title), F.lit(" — 深度洞察")), top, *parts).alias("card"))

@@ -107,6 +107,14 @@ def c7(spark: SparkSession, sf: str) -> DataFrame:
     return topics.topic_summary(given, "article_id", "category").withColumn("members", F.array_join("members", ","))
 
 
+@query("C7_selected_topics", N + "SELECT topic_id, rank, related, n_sources, boosted, topics, shortfall FROM (SELECT batch_id AS topic_id, row_number() OVER (ORDER BY max(CASE WHEN article_id = batch_id * 500 THEN trend END) DESC NULLS LAST, batch_id)::INT AS rank, count(*) AS related, count(DISTINCT category) AS n_sources, coalesce(bool_or(article_id = batch_id * 500 AND deep), false) AS boosted FROM analyses GROUP BY batch_id), (SELECT count(DISTINCT batch_id) AS topics, greatest(0, 12 - count(DISTINCT batch_id)) AS shortfall FROM analyses) WHERE rank <= 12")
+def c7b(spark: SparkSession, sf: str) -> DataFrame:
+    """The best dozen of given topics, whose lead is the row of the topic's own number, with what the choice lacks."""
+    given = analyses(spark, sf).withColumn("topic_id", F.col("batch_id")).withColumn("key", F.when(F.col("article_id") == F.col("batch_id") * 500, F.col("batch_id")).otherwise(-1 - F.col("article_id")))
+    chosen, counts = topics.topic_report(given, "key", "category", "deep", "trend", 12)
+    return chosen.join(F.broadcast(counts.select("topics", "shortfall")))  # one row
+
+
 @query("C8_similar_pairs", A + f", t AS (SELECT ingest_seq, {TERMS_SQL} AS s FROM articles) SELECT a, b, round(similarity, 9) AS similarity FROM (SELECT a.ingest_seq AS a, b.ingest_seq AS b, len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS similarity FROM t a JOIN t b ON a.ingest_seq < b.ingest_seq AND len(a.s) > 0 AND len(b.s) > 0) WHERE similarity >= 0.34")
 def c8(spark: SparkSession, sf: str) -> DataFrame:
     rows = articles(spark, sf).select("ingest_seq", text.term_set("title").alias("terms"))

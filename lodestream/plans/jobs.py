@@ -158,6 +158,18 @@ def s13(spark: SparkSession, sf: str) -> DataFrame:
     return report.render_cards(rows, "article_id", "title", "summary", "score")
 
 
+@query("S13_insight_cards", repeatable(ANALYSES, ARTICLES) + """SELECT article_id, '# ' || coalesce(nullif(title, ''), 'N/A') || ' — 深度洞察' || chr(10) || chr(10) || '**来源**：' || source_code || chr(10) || '**资讯分类**：' || category || chr(10) || '**统一排序分**：' || CASE WHEN article_id % 5 = 0 THEN 'N/A' ELSE format('{:.1f}', trend) END || '/10' || chr(10) || chr(10)
+ || '## 技术背景' || chr(10) || coalesce(nullif(trim(summary, ' '), ''), 'N/A') || chr(10) || chr(10) || '## 标准术语' || chr(10) || CASE article_id % 4 WHEN 0 THEN 'N/A' WHEN 1 THEN '- ' || category || ' (' || info_type || ') -> 词；别名：' || lang || '，x' WHEN 2 THEN '- ' || category || chr(10) || '- ' || info_type ELSE '- 词' END AS card FROM analyses JOIN articles ON article_id = ingest_seq""")
+def s13b(spark: SparkSession, sf: str) -> DataFrame:
+    """Insight cards with a list of terms, some of whose parts are missing."""
+    rows = analyses(spark, sf).join(articles(spark, sf), F.col("article_id") == F.col("ingest_seq"))
+    term = lambda t, a, z, *other: F.struct(t.cast("string").alias("term"), a.cast("string").alias("abbr"), z.cast("string").alias("zh"), F.array(*other).cast("array<string>").alias("aliases"))
+    none, kind = F.lit(None), F.col("article_id") % 4
+    terms = F.when(kind == 1, F.array(term(F.col("category"), F.col("info_type"), F.lit("词"), F.col("lang"), F.lit(" "), F.lit("x")))).when(kind == 2, F.array(term(F.col("category"), F.col("category"), none), term(none, F.col("info_type"), F.lit(" ")), term(none, none, none))).when(kind == 3, F.array(term(F.lit(""), none, F.lit("词"))))
+    rows = rows.withColumn("terms", report.term_bullets(terms))
+    return report.render_insights(rows, "article_id", {"来源": "source_code", "资讯分类": "category"}, {"技术背景": "summary", "标准术语": "terms"}, "title", F.when(F.col("article_id") % 5 > 0, F.col("trend")))
+
+
 @query("S14_hydrate", f"SELECT p.page_id, coalesce(CASE WHEN d.page_id % 3 > 0 THEN length(d.html) END, -1) AS size FROM (SELECT page_id, {STRIP_TRACKING} AS u FROM pages) p LEFT JOIN (SELECT page_id, html, {STRIP_TRACKING} AS u FROM pages) d ON p.u = d.u AND d.page_id % 3 > 0")
 def s14(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", "html", urls.strip_tracking("url").alias("u"))

@@ -467,6 +467,17 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.operation_metrics(analyses(spark, sf), "batch_id", F.col("status") == "success", F.col("deep"), "category")
 
 
+def _maps(stage: str, rule: str, column: str) -> str:
+    return f"coalesce((SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT {column} AS v, count(*) AS n FROM analyses a WHERE a.batch_id = b.batch_id AND {rule} GROUP BY 1)), '') AS {stage}_by_{column}"
+
+
+@query("A13_operation_maps", N + "SELECT batch_id, count(*) AS l1_count, count(*) FILTER (status = 'success') AS l2_count, count(*) FILTER (deep) AS l3_count, " + ", ".join(_maps(s, r, c) for c in ("category", "info_type") for s, r in (("l1", "true"), ("l2", "a.status = 'success'"), ("l3", "a.deep"))) + " FROM analyses b GROUP BY batch_id")
+def a13_maps(spark: SparkSession, sf: str) -> DataFrame:
+    made = metrics.operation_maps(analyses(spark, sf), "batch_id", {"l1": F.lit(True), "l2": F.col("status") == "success", "l3": F.col("deep")}, ["category", "info_type"])
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias(c)
+    return made.select("batch_id", "l1_count", "l2_count", "l3_count", *(shown(f"{s}_by_{c}") for c in ("category", "info_type") for s in ("l1", "l2", "l3")))
+
+
 @query("A14_tag_distribution", "SELECT tag, count(*) AS count FROM (SELECT unnest(string_split(lower(text), ' ')) AS tag FROM documents) GROUP BY tag")
 def a14(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.explode_counts(table(spark, sf, "documents").select(F.split(F.lower("text"), " ").alias("tags")), "tags", "tag")
