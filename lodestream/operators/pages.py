@@ -6,7 +6,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,29 +97,53 @@ def read_page(html: str | None, base: str | None) -> _Reader:
 
 
 FIELDS = "text string, main string, title string, author string, published string, summary string, links array<struct<url:string,title:string,position:int>>, feeds array<string>"
+#: Bytes of HTML that are read to rows at once.
+RUN = 1 << 20
+
+
+def _runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about RUN bytes of a column; a longer value stands alone."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + RUN, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def _fields(h: str | None, u: str | None) -> tuple:
+    """FIELDS of one page."""
+    r = read_page(h, u)
+    m = r.meta
+    body = "\n".join(r.text)
+    links = []
+    for i, (href, title) in enumerate(r.links):
+        try:
+            links.append({"url": urljoin(u or "", href), "title": title, "position": i})
+        except ValueError:
+            continue
+    return body, r.main() or body, (m.get("og:title") or r.heading or r.title).strip(), m.get("author") or m.get("article:author"), m.get("article:published_time") or r.time or None, (m.get("description") or m.get("og:description") or body)[:1000], links, r.feeds
+
 
+def parse_pages(pages: DataFrame, key: str, html: str = "html", url: str = "url", fields: list[str] | None = None) -> DataFrame:
+    """One pass: text, main content, metadata, links and feeds of each page, or those of them in ``fields``. ``key`` may be the column of URLs.
 
-def parse_pages(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
-    """One pass: text, main content, metadata, links and feeds of each page."""
+    A task holds a batch of pages as it came, and what it makes of RUN bytes of them.
+    """
     kind = pages.schema[key].dataType.simpleString()
+    names = [f.split(" ")[0] for f in FIELDS.split(", ")]
+    wanted = [n for n in names if fields is None or n in fields]
+    types = {"links": pa.list_(pa.struct([("url", pa.string()), ("title", pa.string()), ("position", pa.int32())])), "feeds": pa.list_(pa.string())}
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _runs(batch, 1):
+                rows = [_fields(h.as_py(), u.as_py()) for h, u in zip(part.column(1), part.column(2), strict=True)]
+                made = [pa.array([r[names.index(n)] for r in rows], types.get(n, pa.string())) for n in wanted]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], [key, *wanted])
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, h, u in zip(f[key], f[html], f[url], strict=True):
-                r = read_page(h, u)
-                m = r.meta
-                body = "\n".join(r.text)
-                links = []
-                for i, (href, title) in enumerate(r.links):
-                    try:
-                        links.append((urljoin(u or "", href), title, i))
-                    except ValueError:
-                        continue
-                rows.append((k, body, r.main() or body, (m.get("og:title") or r.heading or r.title).strip(), m.get("author") or m.get("article:author"), m.get("article:published_time") or r.time or None, (m.get("description") or m.get("og:description") or body)[:1000], links, r.feeds))
-            yield pd.DataFrame(rows, columns=[key, "text", "main", "title", "author", "published", "summary", "links", "feeds"])
-
-    return pages.select(key, html, url).mapInPandas(each, f"{key} {kind}, {FIELDS}")
+    schema = ", ".join(f for f in FIELDS.split(", ") if f.split(" ")[0] in wanted)
+    return pages.select(F.col(key).alias("key"), F.col(html).alias("html"), F.col(url).alias("url")).mapInArrow(each, f"`{key}` {kind}, {schema}")
 
 
 def extract_links(parsed: DataFrame, key: str, include: Column | None = None, exclude: Column | None = None) -> DataFrame:
@@ -133,7 +160,7 @@ def feed_links(pages: DataFrame, key: str, html: str = "html", url: str = "url")
     at = F.array_min(F.filter(F.array(*places), lambda i: i > 0))
     starts = pages.withColumn("_at", at)
     held = starts.filter("_at > 0").select(key, F.lit("embedded").alias("kind"), F.expr(f"substring(`{html}`, _at)").alias("feed"))
-    linked = parse_pages(starts.filter("coalesce(_at, 0) = 0"), key, html, url).select(key, F.lit("link").alias("kind"), F.explode(F.array_distinct("feeds")).alias("feed"))
+    linked = parse_pages(starts.filter("coalesce(_at, 0) = 0"), key, html, url, ["feeds"]).select(key, F.lit("link").alias("kind"), F.explode(F.array_distinct("feeds")).alias("feed"))
     return held.unionByName(linked)
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestream.functions import urls
@@ -76,3 +77,25 @@ def test_expansion_equals_a_plain_queue(spark):
                     queue.append((u, d + 1))
         got = pages.expand_site(spark.createDataFrame([("s", home + "/", "s.example.org")], "source string, url string, domain string"), spark.createDataFrame(rows, "page string, position int, url string, title string"), depth, max_pages, max_urls, rules)
         assert [(r["url"], r["title"]) for r in got.orderBy("rank").collect()] == list(out.items()), (depth, max_pages, max_urls)
+
+
+def test_pages_by_their_url_and_in_runs(spark, monkeypatch):
+    rows = [(i, f"https://s.example.org/{i}/", f"<title>T{i}</title><p>{'x' * (i % 7) * 50}</p><a href='a'>first link</a><a href='/b'>second</a>") for i in range(40)] + [(40, "https://s.example.org/n/", None), (41, None, "<p>t")]
+    df = spark.createDataFrame(rows, "k long, url string, html string").coalesce(1)
+    by_url = {r["url"]: [x["url"] for x in r["links"]] for r in pages.parse_pages(df.filter("url is not null"), "url").collect()}
+    assert len(by_url) == 41 and by_url["https://s.example.org/3/"] == ["https://s.example.org/3/a", "https://s.example.org/b"]
+    assert pages.parse_pages(df, "url", fields=["links"]).columns == ["url", "links"]
+    whole = sorted(map(tuple, pages.parse_pages(df, "k").collect()))
+    monkeypatch.setattr(pages, "RUN", 300)
+    batch = pa.RecordBatch.from_pydict({"k": [r[0] for r in rows], "html": [r[2] for r in rows]})
+    parts = list(pages._runs(batch, 1))
+    assert sum(p.num_rows for p in parts) == 42 and len(parts) > 10 and max(p.num_rows for p in parts) < 10
+    assert sorted(map(tuple, pages.parse_pages(df, "k").collect())) == whole and len(whole) == 42
+    assert {r["k"]: r["text"] for r in pages.parse_pages(df, "k", fields=["text"]).collect()} == {r[0]: r[1] for r in whole}
+
+
+def test_site_expansion_query(spark):
+    from lodestream.plans import documents
+
+    got = documents.h5b(spark, "/root/testdata/sf0.01").collect()
+    assert len({(r["source"], r["url"]) for r in got}) == len(got) and all(r["rank"] <= 100 for r in got)
