@@ -337,3 +337,30 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError):
         store.shared_root(Session)
+
+
+def test_similar_classes_and_counts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topics, "LIST", 7)
+    rng = random.Random(11)
+    rows = [(i, rng.sample([f"w{j}" for j in range(60)], rng.randint(1, 9))) for i in range(150)]
+    rows += [(i, ["a", "b", *rng.sample([f"v{j}" for j in range(12)], 4)]) for i in range(150, 260)] + [(300, ["w1", "w2"]), (301, ["w2", "w1"]), (302, []), (303, None)]
+    similar = lambda a, b: bool(a and b) and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.34
+    near = {k: [j for j, b in rows if j != k and similar(a, b)] for k, a in rows}
+    least = {k: k for k, _ in rows}
+    while (new := {k: min([least[k], *(least[j] for j in near[k])]) for k in least}) != least:
+        least = new
+    df = spark.createDataFrame(rows, "k long, t array<string>")
+    got = topics.similar_rows(df, "k", "t").collect()
+    assert {r["k"]: (r["n_links"], r["component_id"]) for r in got} == {k: (len(near[k]), least[k]) for k in near} and len(got) == len(rows)
+    assert {(r["a"], r["b"]) for r in topics.similar_pairs(df, "k", "t").collect()} == {(a, b) for a in near for b in near[a] if a < b}
+    assert {r["k"]: r["topic_id"] for r in topics.connected_topics(df, "k", "t", [F.col("k")]).collect()} == least
+    assert topics.similar_rows(df.limit(0), "k", "t").count() == 0
+
+
+def test_pairs_within_a_class_are_not_made(spark):
+    """A row of similar sets is one class by what stands side by side: no pairs are left to look for."""
+    many = spark.createDataFrame([(i, "", ["x", "y", "z", f"{i:04d}"]) for i in range(3000)], "id long, by string, set array<string>")
+    listed = topics._listed(many, 0.34)
+    one = topics.similar_classes(many)
+    assert one.select("root").distinct().count() == 1 and one.count() == 3000
+    assert topics._met(listed.join(one.withColumnRenamed("root", "class"), "id"), 0.34, ["class"], "class").count() == 0
