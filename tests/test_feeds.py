@@ -77,3 +77,10 @@ def test_feed_times(spark, text, want):
         spark.conf.set("spark.sql.session.timeZone", z)
         assert spark.createDataFrame([(text,)], "t string").select(feed_time("t").alias("t")).first()["t"] == want
     spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_sitemap_scan_of_many_addresses(spark, tmp_path):
+    from lodestream.plans import jobs
+
+    spark.range(150_000).selectExpr("id AS o_orderkey", "TIMESTAMP_NTZ '2024-01-02 03:04:05' AS o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert jobs.s2(spark, str(tmp_path)).count() == 150_000
