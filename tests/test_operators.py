@@ -131,6 +131,18 @@ def test_greedy_topics_of_hot_rows(spark):
         assert {r["k"]: r["topic_id"] for r in got} == greedy(rows, 0.34, most)
 
 
+def test_greedy_topics_in_rounds_that_no_chain_adds_to(spark):
+    """Rounds follow from the number of rows of a ``by`` alone, also where full topics hand rows on; topics of earlier rounds take rows of later ones."""
+    rng = random.Random(5)
+    rows = [(i, "u" if i % 4 else "v", {"a", "b", "c"} if i % 3 else {rng.choice("abcdefghijk") for _ in range(rng.randint(0, 6))}) for i in range(160)]
+    df = spark.createDataFrame([(k, b, sorted(t)) for k, b, t in rows], "k long, b string, t array<string>")
+    for most in (0, 3):
+        trace = []
+        got = topics.greedy_topics(df, "k", "t", [F.col("k")], by="b", max_members=most, trace=trace, step=40).collect()
+        assert {r["k"]: r["topic_id"] for r in got} == greedy(rows, 0.34, most)
+        assert trace == [2, 1, 0]  # 120 rows of u
+
+
 def test_greedy_topics_by_titles_too(spark):
     """The larger of two similarities counts; both sets grow."""
     rng = random.Random(8)
