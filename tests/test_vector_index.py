@@ -1,10 +1,13 @@
 """The index of blocks against all products, and retrieval by both recalls."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import vector_index
+from lodestream.operators import retrieval, vector_index
 
 
 def brute(asked, items, k):
@@ -52,3 +55,23 @@ def test_recalls_and_tags(spark):
     assert len(get("vector", 99, lang="en")) == 20 and len(get("vector", 0, lang="en")) == 1
     with pytest.raises(ValueError):
         get("other")
+
+
+def test_bm25_in_blocks_matches_brute_force(spark, monkeypatch):
+    """Several blocks of items and of queries, items alike, an item and a query without terms."""
+    monkeypatch.setattr(retrieval, "ITEMS", 16)
+    monkeypatch.setattr(retrieval, "ASKED", 4)
+    rng = random.Random(6)
+    texts = {i: [rng.choice("aaaabbbcdefghij") for _ in range(rng.randint(0, 12))] for i in range(60)} | {60 + i: list("abca") for i in range(9)}
+    asked = {i: [rng.choice("abcdefghijz") for _ in range(rng.randint(0, 4))] for i in range(10)}
+    n, mean = len(texts), sum(map(len, texts.values())) / len(texts)
+    df = {t: sum(t in x for x in texts.values()) for t in "abcdefghijz"}
+    part = lambda t, x: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / mean))
+    want = set()
+    for q, terms in asked.items():
+        met = sorted((-round(sum(part(t, x) for t in set(terms) & set(x)), 9), i) for i, x in texts.items() if set(terms) & set(x))
+        want |= {(q, i, r, round(-s, 6)) for r, (s, i) in enumerate(met[:5], 1)}
+    frame = lambda rows, name: spark.createDataFrame(list(rows.items()), f"{name} long, terms array<string>")
+    got = retrieval.bm25(frame(asked, "query_id"), frame(texts, "item_id"), 5).collect()
+    assert {(r["query_id"], r["item_id"], r["rank"], round(r["score"], 6)) for r in got} == want and len(got) == len(want)
+    assert retrieval.bm25(frame(asked, "query_id"), frame(texts, "item_id").limit(0), 5).count() == 0
