@@ -274,7 +274,8 @@ def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     one = stored(one, "sets")
     entries = one.select("name", F.explode("sketch").alias("value"))
     common = stored(entries.groupBy("value").count().filter(F.col("count") > COMMON).select("value"), "common")
-    held = entries.join(common.hint("merge"), "value").groupBy("name").agg(F.collect_set("value").alias("common"))
+    # each value is common once, so a set keeps each of its entries at most once
+    held = entries.join(common.hint("merge"), "value", "left_semi").groupBy("name").agg(F.collect_set("value").alias("common"))
     listed = one.join(held.hint("merge"), "name", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     own = F.array_except("sketch", "common")
     listed = stored(listed.select("name", "n", "sketch", F.slice(own, 1, PREFIX).alias("prefix"), F.when(F.size(own) <= OWN, F.slice(F.array_intersect("sketch", "common"), 1, PREFIX)).otherwise(F.array().cast("array<bigint>")).alias("shared")), "listed")
