@@ -274,11 +274,13 @@ def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     one = stored(one, "sets")
     entries = one.select("name", F.explode("sketch").alias("value"))
     common = stored(entries.groupBy("value").count().filter(F.col("count") > COMMON).select("value"), "common")
-    # each value is common once, so a set keeps each of its entries at most once
-    held = entries.join(common.hint("merge"), "value", "left_semi").groupBy("name").agg(F.collect_set("value").alias("common"))
+    # each value is common once, so a set keeps each of its entries at most once; the table is read back, so where it is small the entries aren't shuffled again
+    held = entries.join(common, "value", "left_semi").groupBy("name").agg(F.collect_set("value").alias("common"))
     listed = one.join(held.hint("merge"), "name", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     own = F.array_except("sketch", "common")
     listed = stored(listed.select("name", "n", "sketch", F.slice(own, 1, PREFIX).alias("prefix"), F.when(F.size(own) <= OWN, F.slice(F.array_intersect("sketch", "common"), 1, PREFIX)).otherwise(F.array().cast("array<bigint>")).alias("shared")), "listed")
+    for table in (one, common):
+        discard(table)
     lists = listed.select("name", "n", F.explode("shared").alias("value"))
     pairs, stars = stored(_pairs(listed), "pairs"), stored(_stars(listed, lists), "stars")
     # full sets of all that has a partner or stands under a common value
@@ -290,7 +292,7 @@ def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     near = stars.join(sets.hint("merge"), "name").join(other.hint("merge"), "other").select(F.col("name").alias("a"), F.col("other").alias("b"), "set", "set2")
     first = stored(_similar(near), "links")
     more = _rest(listed.join(sets.select("name").hint("merge"), "name", "left_semi"), pairs, components(first), sets)
-    for table in (one, common, listed, pairs, stars, sets):
+    for table in (listed, pairs, stars, sets):
         discard(table)
     return first.unionByName(more)
 

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,7 +18,9 @@ from pyspark.sql import types as T
 from lodestream.llm import best_fit_packing, chat_format, embedding_dedup, near_dedup, quality_classifier, quality_rules, secret_scan, source_mixing, token_files, toxicity
 from lodestream.llm.store import shared_dir, stored
 from lodestream.llm.tokens import Encoder, default_path
+from lodestream.operators import components as components_module
 from lodestream.operators.components import components
+from lodestream.sources.store import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -223,6 +226,34 @@ def test_components_of_long_chains(spark):
     assert len(got) == 2000 and {bytes(r["node"]): bytes(r["root"]) for r in got} == want
 
 
+def test_components_leave_tables_of_few_links_to_tasks(spark, monkeypatch):
+    """Links of several partitions meet without rounds of joins; what is left after the levels goes by rounds."""
+    made = []
+    monkeypatch.setattr(components_module, "written", lambda df, name: made.append(name) or written(df, name))
+    rng = random.Random(4)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(999, i) for i in range(100, 160)]
+    top = {i: i for x in links for i in x}
+    while any(top[a] != top[b] for a, b in links):
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    want = {i: t for i, t in top.items() if any(i in x and x[0] != x[1] for x in links)}
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want and len(made) < 8
+    assert {r["node"]: r["root"] for r in components(df, 1).collect()} == want
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    table = written(spark.range(1000).groupBy(F.col("id") % 7).count(), "counts")
+    for _ in range(50):  # files go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 # ---- vectors
 
 
