@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,33 @@ def test_greedy_topics_in_rounds_that_no_chain_adds_to(spark):
         assert trace == [2, 1, 0]  # 120 rows of u
 
 
+def test_greedy_topics_of_many_rows_in_one_round(spark):
+    """20,000 rows of one group are one round, and each topic is found by what it shares besides the word that all rows have."""
+    df = spark.range(20_000).select(F.col("id").alias("k"), F.expr("array('the', concat('a', id div 5), concat('b', id div 5), concat('c', id))").alias("t"))
+    trace = []
+    got = {r["k"]: r["topic_id"] for r in topics.greedy_topics(df, "k", "t", [F.col("k")], trace=trace).collect()}
+    want = greedy([(k, "", {"the", "a", "b", f"c{k}"}) for k in range(5)], 0.34, 0)  # those of other fives share one word of seven or more
+    assert trace == [0] and got == {k: k - k % 5 + want[k % 5] for k in range(20_000)}
+
+
+def test_topics_near_a_set(spark):
+    """Lists that are left out as the longest ones lose no topic: the same as all pairs give, also for sets that grew."""
+    rng = np.random.default_rng(3)
+    pick = lambda: np.unique(np.minimum(rng.zipf(1.3, rng.integers(1, 14)), 60))
+    for threshold in (0.2, 0.34, 0.5, 1.0):
+        sets = [pick() for _ in range(300)]
+        held = topics._Held(sets, 100, threshold)
+        for i in range(100):
+            held.add(int(rng.integers(0, 300)) if i % 2 else len(held.sets), pick())
+        for _ in range(200):
+            terms = pick()
+            own = set(terms.tolist())
+            want = [i for i, s in enumerate(held.sets) if len(own & s) / len(own | s) >= threshold]
+            assert list(held.near(terms)) == want
+            known = rng.random(len(held.size)) < 0.5
+            assert list(held.near(terms, known)) == [i for i in want if not known[i]]
+
+
 def test_greedy_topics_by_titles_too(spark):
     """The larger of two similarities counts; both sets grow."""
     rng = random.Random(8)
