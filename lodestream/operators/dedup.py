@@ -25,7 +25,7 @@ def dedup_history(df: DataFrame, history: DataFrame, key: str) -> DataFrame:
     return df.join(history.select(key).distinct(), key, "left_anti")
 
 
-def dedup_content(df: DataFrame, text: str, order: list[str], history: DataFrame) -> DataFrame:
+def dedup_content(df: DataFrame, text: str, order: list[Column | str], history: DataFrame) -> DataFrame:
     """By digest of the text; history holds content_hash. Rows without text pass."""
     keyed = df.withColumn("content_hash", F.when(F.coalesce(F.col(text), F.lit("")) != "", digest(text)))
     first = dedup_first(keyed.filter("content_hash is not null"), "content_hash", order)

@@ -57,6 +57,17 @@ def test_any_partitioning(spark, name):
     assert found[0] == found[1] and len(found[0]) > 1
 
 
+@pytest.mark.parametrize("known", ["a", None])
+def test_content_dedup_of_rows_without_text(spark, tmp_path, known):
+    rows = [(1, "b"), (2, None), (3, ""), (5, "b"), (None, "c"), (6, "c"), (7, "a"), (4, "a"), (13, known), (22, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = content(catalog.QUERIES["D3_content_dedup"](spark, str(tmp_path)).toPandas())
+    assert found == content(c.execute(catalog.ORACLES["D3_content_dedup"]).df())
+    assert len(found) == (3 if known else 1)
+
+
 def test_entry_imports_without_a_session_or_the_llm_folder(tmp_path):
     import shutil
     import subprocess
