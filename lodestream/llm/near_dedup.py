@@ -19,10 +19,16 @@ A document's set is that of its distinct shingles of five words, in lower case
    member is compared, on full sets, with the leader that its sketch is closest
    to. A large group of near copies is joined by that, one comparison each.
 5. What can still join classes is left: pairs and lists whose sets are of several
-   classes. Their sets are dealt to blocks, in order of the classes, so that most
-   blocks hold one class. Blocks that share a pair or a list are compared by
-   exact counts, unless both hold the same one class, and a spanning forest of
-   the links leaves each comparison.
+   classes. The lists are fewer here: sets at the threshold that share no listed
+   uncommon value share MET common ones at least (all but some eight in a billion), so
+   of its common values a set is listed under the largest alone, all but MET - 1 of
+   them. A set that mostly holds other things than what many share is under few
+   lists or none. The sets are dealt to blocks, in order of the classes and then
+   of the smallest value that many share, so that most blocks hold one class or one
+   passage. Blocks that share a pair or a list are compared by exact counts,
+   unless both hold the same one class, and a spanning forest of the links leaves
+   each comparison. Copies of blocks that meet are made in rounds, each of about
+   as many bytes as two copies of all blocks, so disk doesn't grow with the number of comparisons.
 6. Connected components of all links give each document its class.
 
 Sets hold 64-bit hashes of the shingles (of 64-bit hashes of the words), and a
@@ -36,6 +42,7 @@ no row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,11 +60,14 @@ SKETCH = 64
 PREFIX = 24
 OWN = 40
 COMMON = 32
+MET = 26
 FLOOR = 0.48
 #: Sets, and bytes of sets, in a block.
 BLOCK, BLOCK_BYTES = 256, 2 << 20
 #: Columns of a comparison at once.
 COLUMNS = 4096
+#: Bytes of blocks that a round copies at least.
+ROUND_BYTES = 256 << 20
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +288,10 @@ def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     held = entries.join(common, "value", "left_semi").groupBy("name").agg(F.collect_set("value").alias("common"))
     listed = one.join(held.hint("merge"), "name", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     own = F.array_except("sketch", "common")
-    listed = stored(listed.select("name", "n", "sketch", F.slice(own, 1, PREFIX).alias("prefix"), F.when(F.size(own) <= OWN, F.slice(F.array_intersect("sketch", "common"), 1, PREFIX)).otherwise(F.array().cast("array<bigint>")).alias("shared")), "listed")
+    most, none = F.array_intersect("sketch", "common"), F.array().cast("array<bigint>")
+    met = F.least(F.lit(MET), F.ceil(F.size("sketch") * THRESHOLD / 100).cast("int"))
+    listed = listed.select("name", "n", "sketch", F.slice(own, 1, PREFIX).alias("prefix"), F.when(F.size(own) <= OWN, F.slice(most, 1, PREFIX)).otherwise(none).alias("shared"), F.when(F.size(most) >= met, F.slice(most, met, F.size(most) - met + 1)).otherwise(none).alias("rest"))
+    listed = stored(listed, "listed")
     for table in (one, common):
         discard(table)
     lists = listed.select("name", "n", F.explode("shared").alias("value"))
@@ -297,14 +310,28 @@ def similar_links(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     return first.unionByName(more)
 
 
+def _rounds(cross: DataFrame, blocks: DataFrame) -> int:
+    """So many that a round copies no more than about twice all blocks, or ROUND_BYTES."""
+    size = blocks.select("block", "bytes")
+    held = size.agg(F.sum("bytes")).first()[0] or 0
+    copied = cross.join(size.hint("merge"), "block").join(size.select(F.col("block").alias("block2"), F.col("bytes").alias("bytes2")).hint("merge"), "block2").agg(F.sum(F.col("bytes") + F.col("bytes2"))).first()[0] or 0
+    return math.ceil(copied / max(2 * held, ROUND_BYTES))
+
+
+def _copies(cross: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(items, items2) of each pair of blocks."""
+    items = blocks.select("block", "items")
+    return cross.join(items.hint("merge"), "block").join(items.select(F.col("block").alias("block2"), F.col("items").alias("items2")).hint("merge"), "block2")
+
+
 def _rest(listed: DataFrame, pairs: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between sets that ``roots`` don't join yet: what their pairs and lists can still add."""
-    classes = listed.join(roots.withColumnRenamed("node", "name").hint("merge"), "name", "left").select("name", "n", F.coalesce("root", "name").alias("root"), F.col("sketch")[0].alias("first"), "shared")
+    """Links between sets that ``roots`` don't join yet: what their pairs and the lists of ``rest`` can still add."""
+    classes = listed.join(roots.withColumnRenamed("node", "name").hint("merge"), "name", "left").select("name", "n", F.coalesce("root", "name").alias("root"), F.coalesce(F.get("shared", F.lit(0)), F.get("sketch", F.lit(0))).alias("first"), "rest")
     classes = stored(classes, "classes")
     root = classes.select("name", "root")
     apart = pairs.join(root.hint("merge"), "name").join(root.select(F.col("name").alias("other"), F.col("root").alias("root2")).hint("merge"), "other")
     pairs = stored(apart.filter("root <> root2").select("name", "other"), "pairs")
-    lists = classes.select("name", "root", F.explode("shared").alias("value"))
+    lists = classes.select("name", "root", F.explode("rest").alias("value"))
     ends = lists.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("name").alias("leader"))
     open_ = stored(ends.filter("lo <> hi").select("value", "leader"), "open")
     if not pairs.take(1) and not open_.take(1):
@@ -314,7 +341,7 @@ def _rest(listed: DataFrame, pairs: DataFrame, roots: DataFrame, sets: DataFrame
     near = pairs.select(F.col("name").alias("a"), F.col("other").alias("b")).unionByName(lists.filter("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct())
     slim = classes.join(components(near).select(F.col("node").alias("name"), F.col("root").alias("near")).hint("merge"), "name").select("name", "n", "near", "root", "first")
     member = stored(_placed(slim), "members")
-    blocks = stored(member.join(sets.hint("merge"), "name").groupBy("block").agg(F.collect_list(F.struct("name", "set")).alias("items")), "blocks")
+    blocks = stored(member.join(sets.hint("merge"), "name").groupBy("block").agg(F.sum(F.length("set")).alias("bytes"), F.collect_list(F.struct("name", "set")).alias("items")), "blocks")
     one, two = member.select("name", "block"), member.select(F.col("name").alias("other"), F.col("block").alias("block2"))
     cross = pairs.join(one.hint("merge"), "name").join(two.hint("merge"), "other").select("block", "block2")
     # blocks of one class stand together under a list: only different classes, or blocks of several, meet
@@ -325,10 +352,12 @@ def _rest(listed: DataFrame, pairs: DataFrame, roots: DataFrame, sets: DataFrame
     meet = meet.join(held.hint("merge"), ["value", "kind"]).join(held.select("value", F.col("kind").alias("kind2"), F.col("block").alias("block2")).hint("merge"), ["value", "kind2"])
     cross = cross.unionByName(meet.select("block", "block2"))
     cross = cross.filter("block <> block2").select(F.least("block", "block2").alias("block"), F.greatest("block", "block2").alias("block2")).distinct()
-    across = stored(cross, "cross").join(blocks.hint("merge"), "block").join(blocks.select(F.col("block").alias("block2"), F.col("items").alias("items2")).hint("merge"), "block2")
-    within = blocks.withColumn("items2", F.lit(None).cast(blocks.schema["items"].dataType))
-    links = stored(_links(within), "links").unionByName(stored(_links(across), "links"))
-    for table in (classes, pairs, open_, lists, member, blocks, held, kinds):
+    cross = stored(cross, "cross")
+    links = stored(_links(blocks.withColumn("items2", F.lit(None).cast(blocks.schema["items"].dataType))), "links")
+    rounds = _rounds(cross, blocks)
+    for i in range(rounds):
+        links = links.unionByName(stored(_links(_copies(cross.filter(F.pmod(F.xxhash64("block", "block2"), F.lit(rounds)) == i), blocks)), "links"))
+    for table in (classes, pairs, open_, lists, member, blocks, held, kinds, cross):
         discard(table)
     return links
 

@@ -205,6 +205,35 @@ def test_near_dedup_of_a_large_group_with_text_appended(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_near_dedup_of_texts_around_one_passage(spark, monkeypatch):
+    """Blocks that meet are copied in rounds, and texts that hold little of the passage meet few others."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "ROUND_BYTES", 1, raising=False)
+    tasks, links = [], near_dedup._links
+
+    def counted(t):
+        tasks.append(t.filter("items2 IS NOT NULL").count())
+        return links(t)
+
+    monkeypatch.setattr(near_dedup, "_links", counted)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(120)]
+
+    def run(owns):
+        tasks.clear()
+        texts = [" ".join(passage + [word() for _ in range(n)]) for n in owns]
+        want = classes({i: shingles(t) for i, t in enumerate(texts)}, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs_of(spark, texts)).collect()} == want
+        return len(set(want.values()))
+
+    assert 1 < run([rng.choice((2, 10, 25, 45, 60, 200)) for _ in range(96)]) < 96
+    assert run([60] * 96) == 96
+    assert 0 < max(tasks) < 24 and sum(tasks) > 48  # 12 blocks and some 66 pairs, of which a round copies 12 by the mean
+    assert run([200] * 96) == 96
+    assert sum(tasks) <= 10
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.near_dedup(docs_of(spark, [])).count() == 0
     assert [r["kept"] for r in near_dedup.near_dedup(docs_of(spark, [None, ""])).collect()] == [True, True]
