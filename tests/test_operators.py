@@ -404,3 +404,16 @@ def test_pairs_within_a_class_are_not_made(spark):
     one = topics.similar_classes(many)
     assert one.select("root").distinct().count() == 1 and one.count() == 3000
     assert topics._met(listed.join(one.withColumnRenamed("root", "class"), "id"), 0.34, ["class"], "class").count() == 0
+
+
+def test_similar_pairs_lists_every_two_rows_and_their_similarity(spark, monkeypatch, tmp_path):
+    from lodestream.plans import documents
+
+    monkeypatch.setattr(topics, "LIST", 5)
+    rng = random.Random(12)
+    titles = [" ".join(rng.sample([f"word{j}" for j in range(14)], 4)) for _ in range(40)] + ["one two three"] * 23 + ["three two One", "one two four", "", None]
+    spark.createDataFrame([(i, t, "src0", "en") for i, t in enumerate(titles)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: set(t.lower().split()) for i, t in enumerate(titles) if t}
+    want = {(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.34}
+    got = [tuple(r) for r in documents.c8(spark, str(tmp_path)).select("a", "b", "similarity").collect()]
+    assert set(got) == want and len(got) == len(want) > 276
